@@ -1,0 +1,73 @@
+"""Aggregate and ratio building blocks.
+
+Money is summed as DECIMAL and cast to DOUBLE only after the sum (D2), which
+keeps results exact and engine-independent. Ratios divide DOUBLEs and are
+guarded: ANSI mode raises on a zero divisor, the dashboard shows 0 instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dsum(col: Column) -> Column:
+    """Exact sum, 0 on no rows, then DOUBLE."""
+    return F.coalesce(F.sum(col), F.lit(0)).cast("double")
+
+
+def lsum(col: Column) -> Column:
+    """Integer sum, 0 on no rows, as BIGINT."""
+    return F.coalesce(F.sum(col), F.lit(0)).cast("bigint")
+
+
+def count_if(cond: Column) -> Column:
+    """Conditional count as BIGINT."""
+    return F.count(F.when(cond, F.lit(1)))
+
+
+def routing_saving(baseline: Column, cost: Column) -> Column:
+    """Per-row clamped saving, only for rows that carry a baseline."""
+    return F.when(baseline > 0, F.greatest(baseline - cost, F.lit(0)))
+
+
+def baseline_carried(baseline: Column) -> Column:
+    """Baseline of rows with a baseline (the save-rate denominator)."""
+    return F.when(baseline > 0, baseline)
+
+
+def ratio(num: Column, den: Column) -> Column:
+    """``num / den`` in DOUBLE, 0 when ``den`` is not positive."""
+    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+
+
+def total_tokens() -> Column:
+    """Input plus output tokens of one row."""
+    return F.col("input_tokens") + F.col("output_tokens")
+
+
+def decode_output() -> Column:
+    """G8 numerator: output tokens of rows that have a generation span."""
+    cond = F.col("ttft_ms").isNotNull() & (F.col("latency_ms") > F.col("ttft_ms"))
+    return F.when(cond, F.col("output_tokens"))
+
+
+def decode_ms() -> Column:
+    """G8 denominator: generation time ``latency - ttft`` of the same rows."""
+    cond = F.col("ttft_ms").isNotNull() & (F.col("latency_ms") > F.col("ttft_ms"))
+    return F.when(cond, F.col("latency_ms") - F.col("ttft_ms"))
+
+
+def tokens_per_sec(out_sum: Column, ms_sum: Column) -> Column:
+    """Output tokens per generation second, null without evidence."""
+    return (out_sum.cast("double") / F.nullif(ms_sum, F.lit(0)).cast("double")) * F.lit(1000.0)
+
+
+def lsum_of(name: str) -> Column:
+    """An already-summed integer measure: 0 when absent, BIGINT."""
+    return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
+
+
+def dsum_of(name: str) -> Column:
+    """An already-summed decimal measure: 0 when absent, then DOUBLE."""
+    return F.coalesce(F.col(name), F.lit(0)).cast("double")
