@@ -22,6 +22,7 @@ from relaywatch.operators import metrics as Mt
 from relaywatch.operators import partials as P
 from relaywatch.operators import series as Se
 from relaywatch.plans import oracle as O
+from relaywatch.plans import rollup as R
 from relaywatch.sources.calls import window_scan
 from relaywatch.sources.fixture import AS_OF, fixture_calls
 
@@ -85,7 +86,34 @@ def _provider_table(window, spark, sf_dir):
 
 def _events(window, spark, sf_dir):
     sc, _ = _scan(spark, sf_dir, window)
-    return E.failover_events(sc).select(*E.EVENT_COLUMNS, "served_by")
+    # TIMESTAMP_NTZ under the UTC session: the same wall-clock value a
+    # zone-less engine reports, independent of the reader's machine zone
+    out = E.failover_events(sc).select(*E.EVENT_COLUMNS, "served_by")
+    return out.withColumn("ts", out["ts"].cast("timestamp_ntz"))
+
+
+# An instant off the 300 s grid, so both rollup edges hold partial buckets.
+UNALIGNED_AS_OF = "2024-01-29 17:03:27"
+
+
+def _rollup_measures(spark, sf_dir, window, as_of=AS_OF):
+    """Measures for the window from the rollup plus raw edges.
+
+    The rollup is aggregated from the same calls in the same job here; in
+    production it is a stored table (:func:`relaywatch.plans.rollup.write`).
+    """
+    calls = fixture_calls(spark, sf_dir)
+    rng = W.current(window, as_of)
+    return R.measures(calls, R.build(calls), rng), rng
+
+
+def _rollup_op(op, window, spark, sf_dir, as_of=AS_OF):
+    m, rng = _rollup_measures(spark, sf_dir, window, as_of)
+    if op is Se.timeseries:
+        return op(spark, m, rng)
+    if op is Se.project_timeline_long:
+        return op(m, rng)
+    return op(m)
 
 
 def spark_queries() -> dict[str, Query]:
@@ -108,6 +136,16 @@ def spark_queries() -> dict[str, Query]:
     q["project_table_7d"] = partial(_project_table, "7d")
     q["provider_table_7d"] = partial(_provider_table, "7d")
     q["failover_events_7d"] = partial(_events, "7d")
+    q["rollup_metrics_7d"] = partial(_rollup_op, Mt.metrics, "7d")
+    q["rollup_metrics_30d"] = partial(_rollup_op, Mt.metrics, "30d")
+    q["rollup_metrics_24h_unaligned"] = partial(_rollup_op, Mt.metrics, "24h", as_of=UNALIGNED_AS_OF)
+    q["rollup_timeseries_30d"] = partial(_rollup_op, Se.timeseries, "30d")
+    q["rollup_project_timeline_24h"] = partial(_rollup_op, Se.project_timeline_long, "24h")
+    q["rollup_fleet_7d"] = partial(_rollup_op, B.fleet, "7d")
+    q["rollup_provider_stats_30d"] = partial(_rollup_op, B.provider_stats, "30d")
+    q["rollup_model_stats_7d"] = partial(_rollup_op, B.model_stats, "7d")
+    q["rollup_model_stats_24h_unaligned"] = partial(_rollup_op, B.model_stats, "24h",
+                                                    as_of=UNALIGNED_AS_OF)
     return q
 
 
@@ -131,4 +169,13 @@ def oracle_sql() -> dict[str, str]:
     o["project_table_7d"] = O.project_table("7d")
     o["provider_table_7d"] = O.provider_table("7d")
     o["failover_events_7d"] = O.failover_events("7d")
+    o["rollup_metrics_7d"] = O.metrics("7d")
+    o["rollup_metrics_30d"] = O.metrics("30d")
+    o["rollup_metrics_24h_unaligned"] = O.metrics("24h", as_of=UNALIGNED_AS_OF)
+    o["rollup_timeseries_30d"] = O.timeseries("30d")
+    o["rollup_project_timeline_24h"] = O.project_timeline("24h")
+    o["rollup_fleet_7d"] = O.fleet("7d")
+    o["rollup_provider_stats_30d"] = O.provider_stats("30d")
+    o["rollup_model_stats_7d"] = O.model_stats("7d")
+    o["rollup_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
     return o
