@@ -21,6 +21,7 @@ from relaywatch.operators import health as H
 from relaywatch.operators import metrics as Mt
 from relaywatch.operators import partials as P
 from relaywatch.operators import series as Se
+from relaywatch.plans import ingest as I
 from relaywatch.plans import oracle as O
 from relaywatch.plans import rollup as R
 from relaywatch.sources.calls import window_scan
@@ -146,6 +147,8 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_model_stats_7d"] = partial(_rollup_op, B.model_stats, "7d")
     q["rollup_model_stats_24h_unaligned"] = partial(_rollup_op, B.model_stats, "24h",
                                                     as_of=UNALIGNED_AS_OF)
+    q["ingest_dedupe"] = I.fixture_ingest
+    q["ingest_quarantine"] = I.fixture_quarantine
     return q
 
 
@@ -178,4 +181,6 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_provider_stats_30d"] = O.provider_stats("30d")
     o["rollup_model_stats_7d"] = O.model_stats("7d")
     o["rollup_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
+    o["ingest_dedupe"] = O.stored_calls()
+    o["ingest_quarantine"] = O.ingest_rejects()
     return o

@@ -48,7 +48,7 @@ def write(rollup: DataFrame, path: str) -> None:
     present in ``rollup``, so rebuilding a date range (T3) or re-running a
     failed job is idempotent.
     """
-    (rollup.repartition("ts_date").sortWithinPartitions("t0", *GROUP)
+    (rollup.hint("rebalance", "ts_date").sortWithinPartitions("t0", *GROUP)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("ts_date").parquet(path))
 

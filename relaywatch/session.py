@@ -46,6 +46,9 @@ def build_session(master: str | None = None, app_name: str = "relaywatch",
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")
+    if master and master.startswith("local"):
+        # local mode runs every task in the driver JVM
+        builder = builder.config("spark.driver.memory", os.environ.get("RELAYWATCH_DRIVER_MEMORY", "12g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():

@@ -146,3 +146,53 @@ def calls_from_events(events: DataFrame) -> DataFrame:
 def fixture_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 calls for a driver scale-factor directory."""
     return calls_from_events(read_events(spark, sf_dir))
+
+
+# Fixed markers of the ingest feed derived from the fixture (F3 shapes).
+RESEND_MODEL = "retry-resend"
+
+
+def record_lines(calls: DataFrame) -> DataFrame:
+    """F3-style JSON lines from F1 calls: one wire record per call, a resend
+    of every failed-over call (same id, other model: must be dropped), and a
+    few malformed lines, with an arrival order column ``_seq``.
+
+    Keys are the camelCase wire names; optional fields that are null are
+    left out of the JSON, and ``ts`` is carried for the bulk-load path (S7).
+    """
+    n = F.regexp_extract(F.col("id"), r"(\d+)$", 1).cast("bigint")
+    k = F.col("_k")
+    attempt = lambda a: F.struct(a["provider"].alias("provider"), a["ok"].alias("ok"),
+                                 a["latency_ms"].alias("latencyMs"), a["error_class"].alias("errorClass"))
+
+    def wire(model: "Column") -> "Column":
+        return F.to_json(F.struct(
+            F.col("id").alias("id"), F.col("project").alias("project"), model.alias("model"),
+            F.transform("attempts", attempt).alias("attempts"), F.col("winner").alias("winner"),
+            F.col("ok").alias("ok"), F.col("failed_over").alias("failedOver"),
+            F.col("latency_ms").alias("latencyMs"), F.col("ttft_ms").alias("ttftMs"),
+            F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"),
+            F.col("cost_usd").alias("costUsd"), F.col("baseline_usd").alias("baselineUsd"),
+            F.col("cached_saving_usd").alias("cachedSavingUsd"),
+            F.col("cached_input_tokens").alias("cachedInputTokens"),
+            F.col("modality").alias("modality"), F.col("media_usage").alias("usage"),
+            F.col("baseline_kind").alias("baselineKind"), F.col("official_usd").alias("officialUsd"),
+            F.col("est_cost_usd").alias("estCostUsd"),
+            F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"),
+        ))
+
+    base = calls.select("*", n.alias("_n"), (n % 100).alias("_k"))
+    originals = base.select(wire(F.col("model")).alias("value"), (F.col("_n") * 4).alias("_seq"))
+    resends = base.where(F.col("failed_over")).select(
+        wire(F.lit(RESEND_MODEL)).alias("value"), (F.col("_n") * 4 + 1).alias("_seq"))
+    junk = base.where(k.isin(13, 14, 15, 16)).select(
+        F.when(k == 13, F.concat(F.lit("not json "), F.col("id")))
+         .when(k == 14, F.lit("[1]"))
+         .when(k == 15, F.to_json(F.struct(F.col("_n").alias("id"), F.col("model").alias("model"),
+                                           F.lit(True).alias("ok"), F.array().alias("attempts"))))
+         .otherwise(F.to_json(F.struct(F.concat(F.lit("bad-"), F.col("id")).alias("id"),
+                                       F.col("model").alias("model"), F.lit(True).alias("ok"),
+                                       F.array().alias("attempts"), F.lit(12.5).alias("latencyMs"))))
+        .alias("value"),
+        (F.col("_n") * 4 + 2).alias("_seq"))
+    return originals.unionByName(resends).unionByName(junk)
