@@ -13,6 +13,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relaywatch.functions import domains as Dom
 from relaywatch.functions import windows as W
 from relaywatch.operators import breakdowns as B
 from relaywatch.operators import drift as D
@@ -117,6 +118,25 @@ def _rollup_op(op, window, spark, sf_dir, as_of=AS_OF):
     return op(m)
 
 
+def _project_domains(window, spark, sf_dir):
+    sc, _ = _scan(spark, sf_dir, window)
+    fleet = B.fleet(P.row_measures(sc)).select("project", "calls")
+    return Dom.project_domains(fleet)
+
+
+def _provider_domains(window, spark, sf_dir):
+    sc, _ = _scan(spark, sf_dir, window)
+    stats = B.provider_stats(P.row_measures(sc)).select("provider", "calls")
+    return Dom.provider_domains(stats)
+
+
+def _stat_flags(window, spark, sf_dir):
+    sc, _ = _scan(spark, sf_dir, window)
+    return Mt.stat_flags(Mt.metrics(P.row_measures(sc))).select(
+        "calls", "failovers", "caught", "failures", "caught_share", "caught_good",
+        "failover_tone", "leaked_tone", "save_tone")
+
+
 def spark_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for w in WINDOWS:
@@ -147,6 +167,9 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_model_stats_7d"] = partial(_rollup_op, B.model_stats, "7d")
     q["rollup_model_stats_24h_unaligned"] = partial(_rollup_op, B.model_stats, "24h",
                                                     as_of=UNALIGNED_AS_OF)
+    q["project_domains_7d"] = partial(_project_domains, "7d")
+    q["provider_domains_7d"] = partial(_provider_domains, "7d")
+    q["stat_flags_7d"] = partial(_stat_flags, "7d")
     q["ingest_dedupe"] = I.fixture_ingest
     q["ingest_quarantine"] = I.fixture_quarantine
     return q
@@ -181,6 +204,9 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_provider_stats_30d"] = O.provider_stats("30d")
     o["rollup_model_stats_7d"] = O.model_stats("7d")
     o["rollup_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
+    o["project_domains_7d"] = O.project_domains("7d")
+    o["provider_domains_7d"] = O.provider_domains("7d")
+    o["stat_flags_7d"] = O.stat_flags("7d")
     o["ingest_dedupe"] = O.stored_calls()
     o["ingest_quarantine"] = O.ingest_rejects()
     return o
