@@ -58,8 +58,20 @@ def _kind(stem: str) -> Column:
     return F.col(f"_k_{stem}")
 
 
+# typed candidates extracted once per row: (type, column prefix, field stems)
+_CANDIDATES = [
+    ("double", "_d_", ["lat", "ttft", "inp", "out", "cin"]),
+    ("string", "_s_", ["id", "project", "model", "winner", "mod", "bk", "fo"]),
+    ("boolean", "_b_", ["ok", "fo"]),
+    ("timestamp", "_t_", ["ts"]),
+]
+_MONEY_STEMS = ["cost", "base", "csave", "off", "est"]
+_PREFIX = {dtype: prefix for dtype, prefix, _ in _CANDIDATES}
+
+
 def _get(stem: str, dtype: str) -> Column:
-    return F.try_variant_get(_f(stem), "$", dtype)
+    """A field already cast to ``dtype`` (see ``_CANDIDATES``)."""
+    return F.col(f"{_PREFIX[dtype]}{stem}")
 
 
 def _absent(stem: str) -> Column:
@@ -93,7 +105,7 @@ def _money_value(stem: str, numbers_only: bool) -> tuple[Column, Column]:
     bad. With ``numbers_only`` a non-number is simply not kept (null);
     otherwise a missing value is 0.
     """
-    value = F.round(_get(stem, "decimal(38,12)"), 6).try_cast(MONEY)
+    value = F.col(f"_m_{stem}")
     if numbers_only:
         keep = _is_number(stem)
         return F.when(keep, value), F.coalesce(keep & value.isNull(), F.lit(False))
@@ -113,13 +125,13 @@ def _bool_value(stem: str, default: bool) -> tuple[Column, Column]:
 
 
 def _attempts() -> Column:
-    arr = _get("att", "array<variant>")
+    arr = F.col("_att")
 
     def one(e: Column) -> Column:
-        k_ok = F.schema_of_variant(F.try_variant_get(e, "$.ok", "variant"))
+        ok = F.try_variant_get(e, "$.ok", "variant")
         return F.struct(
             F.try_variant_get(e, "$.provider", "string").alias("provider"),
-            F.when(k_ok == "BOOLEAN", F.try_variant_get(e, "$.ok", "boolean")).alias("ok"),
+            F.when(F.schema_of_variant(ok) == "BOOLEAN", F.try_variant_get(ok, "$", "boolean")).alias("ok"),
             F.try_variant_get(e, "$.latencyMs", "double").alias("latency_ms"),
             F.try_variant_get(e, "$.errorClass", "string").alias("error_class"),
         ).cast(ATTEMPT)
@@ -151,18 +163,29 @@ def parse(lines: DataFrame, text_col: str = "value", arrival_ts: Column | None =
     keep = [c for c in lines.columns if c != text_col]
     parsed = lines.select(*keep, F.col(text_col).alias("raw"),
                           F.try_parse_json(F.col(text_col)).alias("v"))
+    # Type names only for scalar fields: ``schema_of_variant`` renders the whole
+    # nested type, so the root and ``attempts`` are tested structurally instead
+    # (a parsed line is an object iff its text starts with "{"; a non-array
+    # ``attempts`` gives null as ARRAY<VARIANT>).
     fields = parsed.select(
-        *keep, "raw", "v", F.schema_of_variant(F.col("v")).alias("_k_root"),
+        *keep, "raw", "v",
+        (F.col("v").isNotNull() & F.col("raw").rlike(r"^[ \t\r\n]*\{")).alias("_root_obj"),
         *[F.try_variant_get(F.col("v"), f"$.{wire}", "variant").alias(f"_f_{stem}")
-          for wire, stem in FIELDS.items()])
+          for wire, stem in FIELDS.items() if stem != "att"],
+        F.try_variant_get(F.col("v"), "$.attempts", "array<variant>").alias("_att"))
     fields = fields.select(
-        "*", *[F.schema_of_variant(F.col(f"_f_{stem}")).alias(f"_k_{stem}") for stem in FIELDS.values()])
-
-    shape_ok = (F.coalesce(F.col("_k_root").startswith("OBJECT"), F.lit(False))
+        "*", *[F.schema_of_variant(F.col(f"_f_{stem}")).alias(f"_k_{stem}")
+               for stem in FIELDS.values() if stem != "att"],
+        *[F.try_variant_get(_f(stem), "$", dtype).alias(f"{prefix}{stem}")
+          for dtype, prefix, stems in _CANDIDATES for stem in stems],
+        *[F.round(F.try_variant_get(_f(stem), "$", "decimal(38,12)"), 6).try_cast(MONEY).alias(f"_m_{stem}")
+          for stem in _MONEY_STEMS])
+
+    shape_ok = (F.col("_root_obj")
                 & F.coalesce(_kind("id") == "STRING", F.lit(False))
                 & F.coalesce(_kind("model") == "STRING", F.lit(False))
                 & F.coalesce(_kind("ok") == "BOOLEAN", F.lit(False))
-                & F.coalesce(_kind("att").startswith("ARRAY"), F.lit(False)))
+                & F.col("_att").isNotNull())
 
     latency, bad_latency = _int_value("lat")
     ttft_raw = _get("ttft", "double")
