@@ -36,7 +36,7 @@ def provider_mix(measures: DataFrame) -> DataFrame:
     return P.aggregate(measures, "project", "provider_key")
 
 
-def fleet(measures: DataFrame) -> DataFrame:
+def fleet(measures: DataFrame, sort: bool = True) -> DataFrame:
     """A6 with J2 folded in: per project totals and the top provider.
 
     The provider mix (A7) is aggregated first; the project totals are the sum
@@ -51,29 +51,52 @@ def fleet(measures: DataFrame) -> DataFrame:
         F.max("calls").alias("top_calls"))
     out = P.project(per_project, "calls", "cost_usd", "saved_usd", "save_pct", "failover_rate",
                     "failures", "fail_rate", keys=["project", "top_provider", "top_calls"])
-    return out.select(
+    out = out.select(
         *FLEET_COLUMNS[:-2], F.coalesce(F.col("top_provider"), F.lit("—")).alias("top_provider"),
         F.when(F.col("calls") > 0, F.col("top_calls").cast("double") / F.col("calls").cast("double"))
-        .otherwise(F.lit(0.0)).alias("top_provider_pct"),
-    ).orderBy(F.desc("calls"), "project")
+        .otherwise(F.lit(0.0)).alias("top_provider_pct"))
+    return out.orderBy(F.desc("calls"), "project") if sort else out
 
 
 def project_table(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
-    """A16 with J3: fleet rows, the whole-window status (X9) and strip counts.
-
-    Both sides of the join hold one row per project (aggregates), so the
-    join is between two small results.
+    """A16 with J2 and J3: fleet rows, whole-window status (X9), strip counts.
+
+    One pass over the measures instead of a fleet query, a timeline query and
+    a join: a GROUPING SETS aggregate produces the (project, provider) mix and
+    the (project, bucket) cells together (one scan, one shuffle), and a single
+    per-project aggregate then takes the totals and the top provider from the
+    mix rows and the status strip from the cell rows, told apart by
+    ``grouping_id``.
     """
-    f = fleet(measures)
-    tl = project_timeline(measures, rng).select("project", "buckets")
-    joined = f.join(tl, "project", "left").withColumn(
-        "buckets", F.coalesce(F.col("buckets"), F.array().cast("array<string>")))
+    from relaywatch.operators.series import axis_array
+
+    cube = (measures.withColumn("t", P.bucket(rng.bucket_seconds))
+            .groupingSets([["project", "provider_key"], ["project", "t"]], "project", "provider_key", "t")
+            .agg(*P.sums(), F.grouping_id().alias("gid")))
+    mix = F.col("gid") == 1      # t rolled up: one row per (project, provider)
+    cell = F.col("gid") == 2     # provider rolled up: one row per (project, bucket)
+    status = S.project_status(F.col("calls"), F.col("failures"), F.col("failovers"))
+    per_project = cube.groupBy("project").agg(
+        *[F.sum(F.when(mix, F.col(n))).alias(n) for n in P.MEASURES],
+        F.max(F.when(mix, F.col("modality"))).alias("modality"),
+        F.min_by(F.col("provider_key"),
+                 F.when(mix, F.struct(-F.col("calls"), F.col("provider_key")))).alias("top_provider"),
+        F.max(F.when(mix, F.col("calls"))).alias("top_calls"),
+        F.map_from_entries(F.collect_list(F.when(cell, F.struct("t", status.alias("status")))))
+        .alias("cells"))
+    strip = F.transform(axis_array(rng),
+                        lambda t: F.coalesce(F.element_at(F.col("cells"), t), F.lit("none")))
+    base = P.project(per_project, "calls", "cost_usd", "saved_usd", "save_pct", "failover_rate",
+                     "failures", "fail_rate", keys=["project", "top_provider", "top_calls", strip.alias("buckets")])
     down, warn = S.strip_counts(F.col("buckets"))
     whole = (F.when(F.col("fail_rate") > S.PROJECT_DOWN_FAIL_RATE, F.lit("down"))
               .when(F.col("failover_rate") > S.PROJECT_WARN_FAILOVER_RATE, F.lit("warn"))
               .otherwise(F.lit("ok")))
-    return (joined.select(*FLEET_COLUMNS, whole.alias("status"), down.alias("down_buckets"),
-                          warn.alias("warn_buckets"), "buckets")
+    top_pct = F.when(F.col("calls") > 0, F.col("top_calls").cast("double") / F.col("calls").cast("double")) \
+        .otherwise(F.lit(0.0))
+    return (base.select(*FLEET_COLUMNS[:-2], F.coalesce(F.col("top_provider"), F.lit("—")).alias("top_provider"),
+                        top_pct.alias("top_provider_pct"), whole.alias("status"),
+                        down.alias("down_buckets"), warn.alias("warn_buckets"), "buckets")
             .withColumn("strip_summary", S.strip_summary(F.col("down_buckets"), F.col("warn_buckets")))
             .orderBy(F.desc("calls"), "project"))
 
@@ -93,7 +116,7 @@ def _with_share(df: DataFrame) -> DataFrame:
                          F.greatest(total, F.lit(1)).cast("double"))
 
 
-def provider_stats(measures: DataFrame) -> DataFrame:
+def provider_stats(measures: DataFrame, sort: bool = True) -> DataFrame:
     """Per serving provider, including ``(failed)``; by calls desc."""
     agg = P.aggregate(measures, F.col("provider_key").alias("provider"))
     f = P.finish()
@@ -102,8 +125,8 @@ def provider_stats(measures: DataFrame) -> DataFrame:
         f["cost_per_call"].alias("cost_per_call"), f["avg_latency_ms"].alias("avg_latency_ms"),
         f["saved_usd"].alias("saved_usd"), f["cache_hit_rate"].alias("cache_hit_rate"),
         f["tokens"].alias("tokens"))
-    return _with_share(out).select("provider", "calls", "share", *STAT_COLUMNS[1:]) \
-        .orderBy(F.desc("calls"), "provider")
+    out = _with_share(out).select("provider", "calls", "share", *STAT_COLUMNS[1:])
+    return out.orderBy(F.desc("calls"), "provider") if sort else out
 
 
 MODEL_COLUMNS = ["model", "calls", "share", "tokens", "spent_usd", "cost_per_call", "avg_latency_ms",

@@ -45,7 +45,7 @@ def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
 
 
 def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
-                    sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+                    sample_limit: int | None = HEALTH_SAMPLE, sort: bool = True) -> DataFrame:
     """A11 (array form): provider, attempts, fail_rate, buckets; by attempts desc."""
     cells = attempt_cells(scoped_calls, rng, sample_limit).withColumn(
         "status", S.attempt_status(F.col("attempts"), F.col("fails")))
@@ -56,15 +56,15 @@ def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
                         lambda t: F.coalesce(F.element_at(F.col("cells"), t), F.lit("none")))
     fail_rate = F.when(F.col("attempts") > 0,
                        F.col("fails").cast("double") / F.col("attempts").cast("double")).otherwise(0.0)
-    return (per.select("provider", F.col("attempts").cast("bigint").alias("attempts"),
-                       fail_rate.alias("fail_rate"), strip.alias("buckets"))
-            .orderBy(F.desc("attempts"), "provider"))
+    out = per.select("provider", F.col("attempts").cast("bigint").alias("attempts"),
+                     fail_rate.alias("fail_rate"), strip.alias("buckets"))
+    return out.orderBy(F.desc("attempts"), "provider") if sort else out
 
 
 def provider_health_long(scoped_calls: DataFrame, rng: W.TimeRange,
                          sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
     """A11 in long form: provider, attempts, fail_rate, t, status."""
-    h = provider_health(scoped_calls, rng, sample_limit)
+    h = provider_health(scoped_calls, rng, sample_limit, sort=False)
     z = F.arrays_zip(axis_array(rng).alias("t"), F.col("buckets").alias("status"))
     return h.select("provider", "attempts", "fail_rate", F.inline(z))
 
@@ -82,8 +82,8 @@ def provider_table(measures: DataFrame, scoped_calls: DataFrame, rng: W.TimeRang
     results. A provider that only ever failed appears with calls 0; one
     without attempts has attempts 0 and an empty strip.
     """
-    stats = provider_stats(measures)
-    health = provider_health(scoped_calls, rng, sample_limit)
+    stats = provider_stats(measures, sort=False)
+    health = provider_health(scoped_calls, rng, sample_limit, sort=False)
     j = stats.join(health, "provider", "full")
     zero = {"calls": F.lit(0).cast("bigint"), "share": F.lit(0.0), "tokens": F.lit(0).cast("bigint"),
             "spent_usd": F.lit(0.0), "cost_per_call": F.lit(0.0), "saved_usd": F.lit(0.0),

@@ -43,7 +43,7 @@ def timeseries(spark: SparkSession, measures: DataFrame, rng: W.TimeRange) -> Da
     ).orderBy("t")
 
 
-def project_timeline(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
+def project_timeline(measures: DataFrame, rng: W.TimeRange, sort: bool = True) -> DataFrame:
     """A5 (array form): project, calls, buckets ARRAY<STRING> over the axis.
 
     Two aggregation levels, each with map-side partial aggregation: (project,
@@ -60,13 +60,13 @@ def project_timeline(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("t", "status"))).alias("cells"))
     strip = F.transform(axis_array(rng),
                         lambda t: F.coalesce(F.element_at(F.col("cells"), t), F.lit("none")))
-    return (per_project.select("project", "calls", strip.alias("buckets"))
-            .orderBy(F.desc("calls"), "project"))
+    out = per_project.select("project", "calls", strip.alias("buckets"))
+    return out.orderBy(F.desc("calls"), "project") if sort else out
 
 
 def project_timeline_long(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
     """A5 in long form: project, calls, t, status (one row per axis bucket)."""
-    tl = project_timeline(measures, rng)
+    tl = project_timeline(measures, rng, sort=False)
     z = F.arrays_zip(axis_array(rng).alias("t"), F.col("buckets").alias("status"))
     return (tl.select("project", "calls", F.inline(z))
             .select("project", "calls", "t", "status"))
