@@ -137,6 +137,14 @@ def _stat_flags(window, spark, sf_dir):
         "failover_tone", "leaked_tone", "save_tone")
 
 
+def _rollup_change(window, spark, sf_dir, as_of=AS_OF):
+    from relaywatch.plans.report import change_from_rollup
+
+    calls = fixture_calls(spark, sf_dir)
+    return change_from_rollup(calls, R.build(calls), W.current(window, as_of), W.previous(window, as_of),
+                              None, None)
+
+
 def spark_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for w in WINDOWS:
@@ -167,6 +175,7 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_model_stats_7d"] = partial(_rollup_op, B.model_stats, "7d")
     q["rollup_model_stats_24h_unaligned"] = partial(_rollup_op, B.model_stats, "24h",
                                                     as_of=UNALIGNED_AS_OF)
+    q["rollup_metrics_change_7d"] = partial(_rollup_change, "7d")
     q["project_domains_7d"] = partial(_project_domains, "7d")
     q["provider_domains_7d"] = partial(_provider_domains, "7d")
     q["stat_flags_7d"] = partial(_stat_flags, "7d")
@@ -204,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_provider_stats_30d"] = O.provider_stats("30d")
     o["rollup_model_stats_7d"] = O.model_stats("7d")
     o["rollup_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
+    o["rollup_metrics_change_7d"] = O.metrics_change("7d")
     o["project_domains_7d"] = O.project_domains("7d")
     o["provider_domains_7d"] = O.provider_domains("7d")
     o["stat_flags_7d"] = O.stat_flags("7d")

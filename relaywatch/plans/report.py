@@ -36,6 +36,17 @@ def _measures(calls: DataFrame, rollup: DataFrame | None, rng: W.TimeRange,
     return P.row_measures(scoped(calls, rng, project, provider))
 
 
+def change_from_rollup(calls: DataFrame, rollup: DataFrame, cur: W.TimeRange, prev: W.TimeRange,
+                       project: str | None, provider: str | None) -> DataFrame:
+    """A15 from rollup-plus-edges measures of the two windows, tagged by period."""
+    from pyspark.sql import functions as F
+
+    tagged = (R.measures(calls, rollup, cur, project, provider).withColumn("period", F.lit("cur"))
+              .unionByName(R.measures(calls, rollup, prev, project, provider)
+                           .withColumn("period", F.lit("prev"))))
+    return Mt.change_table(tagged)
+
+
 def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datetime | str,
              project: str = ALL, provider: str = ALL, rollup: DataFrame | None = None,
              sample_limit: int | None = H.HEALTH_SAMPLE) -> dict[str, DataFrame]:
@@ -56,7 +67,8 @@ def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datet
         "fleet": B.fleet(provider_only),
         "metrics": Mt.metrics(both),
         "metrics_prev": Mt.metrics(_measures(calls, rollup, prev, proj, prov)),
-        "stat_row": Mt.metrics_change(calls, window, as_of, proj, prov),
+        "stat_row": (Mt.metrics_change(calls, window, as_of, proj, prov) if rollup is None
+                     else change_from_rollup(calls, rollup, cur, prev, proj, prov)),
         "timeseries": Se.timeseries(spark, both, cur),
         "provider_stats": B.provider_stats(both),
         "provider_health": H.provider_health(rows, cur, sample_limit),

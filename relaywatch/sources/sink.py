@@ -12,7 +12,10 @@ First write wins on ``id``, as ``INSERT ... ON CONFLICT DO NOTHING`` does:
    the stored side is only scanned -- no shuffle of the big table; above the
    bound it is a regular shuffled join. ``id_horizon_days`` optionally
    limits the stored side to recent dates (partition pruning) when the
-   retry horizon of the writers is known; the default checks everything.
+   retry horizon of the writers is known; the default checks everything,
+   which reads the ``id`` column of every date -- at 100 TB set the horizon
+   (retries arrive within minutes), since ids carry no order to prune on.
+   Files carry a Parquet bloom filter on ``id`` for point lookups.
 3. **Write**: rows go to ``ts_date=.../ingest_batch=<batch id>`` with dynamic
    partition overwrite. Re-running a batch after a failure (a lost executor,
    a stream restart) rewrites exactly its own partitions, and its own earlier
@@ -83,6 +86,8 @@ def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
     # the rows into several right-sized tasks instead of one
     (out.hint("rebalance", "ts_date").sortWithinPartitions("project", "ts")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     # a bloom filter per row group on ``id`` lets id lookups skip row groups
+     .option("parquet.bloom.filter.enabled#id", "true")
      .partitionBy("ts_date", BATCH_COLUMN).parquet(path))
 
 

@@ -38,3 +38,12 @@ def test_empty_scope(spark):
     calls = fixture_calls(spark, SF_SMALL)
     rep = report.overview(spark, calls, "1h", dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc))
     assert report.is_empty(rep)
+
+
+def test_stat_row_from_rollup_equals_raw(spark):
+    calls = fixture_calls(spark, SF_SMALL)
+    rollup = R.build(calls)
+    for as_of in (AS_OF, "2024-01-21 09:17:33"):
+        raw = report.overview(spark, calls, "24h", as_of)["stat_row"]
+        via = report.overview(spark, calls, "24h", as_of, rollup=rollup)["stat_row"]
+        assert sorted(raw.collect()) == sorted(via.collect()), as_of
