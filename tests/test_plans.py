@@ -63,8 +63,12 @@ def test_aggregates_are_partial_then_final(spark, scratch):
     assert "Union" in p
 
 
-def test_health_sample_is_a_top_k(spark, scratch):
+def test_health_sample_reads_attempts_only_for_the_sampled_span(spark, scratch):
+    import re
+
     calls = stored(spark, scratch)
     sc, rng = window_scan(calls, "30d", AS_OF)
-    p = plan(H.provider_health(sc, rng, 8000))
-    assert "TakeOrderedAndProject" in p or "limit=8000" in p
+    p = plan(H.recent_sample(sc, 200))
+    bounds = re.findall(r"ts_date#\d+ >= (\d{4}-\d\d-\d\d)", p)
+    assert max(bounds) > "2024-01-20"          # pruned far inside the 30-day window
+    assert sc.count() > H.recent_sample(sc, 200).count() == 200
