@@ -3,7 +3,8 @@
 ``ingest_files`` is the production job: JSON-lines files in, the calls table
 and a quarantine table out, idempotent per ``batch_id``. ``accepted_calls``
 is the same logic as one DataFrame (parse, validate, first arrival per id)
-for checks that must not write.
+for checks that write no table; it cuts the lineage after the parse with a
+checkpoint in the shared checkpoint folder instead of staging files.
 """
 
 from __future__ import annotations
@@ -65,10 +66,25 @@ STORED_COLUMNS = ["id", "project", "ts", "model", "winner", "ok", "failed_over",
                   "provider_key", "model_key"]
 
 
-def accepted_calls(lines: DataFrame, order: list[str]) -> DataFrame:
+def parsed_batch(spark: SparkSession, lines: DataFrame, explicit_ts: bool = True) -> DataFrame:
+    """Parse a batch and cut the lineage, as ``ingest_lines`` does by staging.
+
+    The split into accepted and rejected rows filters on ``reason``; left on
+    an unmaterialized parse, Catalyst substitutes the whole parse expression
+    into that filter and pushes it below the parse (and through a union
+    feeding it), so each row is parsed twice and the fused stage can exceed
+    the JVM's 64 KB method limit. A reliable checkpoint in the shared
+    ``spark.checkpoint.dir`` stops that and survives a lost executor.
+    """
+    from relaywatch.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    return Rec.parse(lines, explicit_ts=explicit_ts).checkpoint(eager=True)
+
+
+def accepted_calls(spark: SparkSession, lines: DataFrame, order: list[str]) -> DataFrame:
     """Accepted rows of one batch, first arrival per id (no stored table)."""
-    parsed = Rec.parse(lines, explicit_ts=True)
-    return sink.dedupe_batch(Rec.accepted(parsed), order)
+    return sink.dedupe_batch(Rec.accepted(parsed_batch(spark, lines)), order)
 
 
 def flat(calls: DataFrame) -> DataFrame:
@@ -86,13 +102,23 @@ def flat(calls: DataFrame) -> DataFrame:
         F.col("est_cost_usd").cast("double").alias("est_cost_usd"), "provider_key", "model_key")
 
 
+def fixture_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The F1 feed as it lands: lines spread over tasks by arrival order.
+
+    In production the lines are files, so the parse starts a stage of its
+    own. The exchange here stands in for that boundary; without it Catalyst
+    pushes the parse projection through the feed's union into each branch,
+    fusing the F1 derivation, ``to_json`` and the parse into one stage.
+    """
+    return record_lines(fixture_calls(spark, sf_dir)).repartition("_seq")
+
+
 def fixture_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered check: the F1 feed with resends and junk, ingested."""
-    lines = record_lines(fixture_calls(spark, sf_dir))
-    return flat(accepted_calls(lines, ["_seq"]))
+    return flat(accepted_calls(spark, fixture_feed(spark, sf_dir), ["_seq"]))
 
 
 def fixture_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered check: rejected lines of the same feed, counted by reason."""
-    parsed = Rec.parse(record_lines(fixture_calls(spark, sf_dir)), explicit_ts=True)
+    parsed = parsed_batch(spark, fixture_feed(spark, sf_dir))
     return Rec.quarantine(parsed).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
