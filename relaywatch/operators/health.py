@@ -66,8 +66,32 @@ def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
 def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
                     sample_limit: int | None = HEALTH_SAMPLE, sort: bool = True) -> DataFrame:
     """A11 (array form): provider, attempts, fail_rate, buckets; by attempts desc."""
-    cells = attempt_cells(scoped_calls, rng, sample_limit).withColumn(
-        "status", S.attempt_status(F.col("attempts"), F.col("fails")))
+    return health_from_cells(attempt_cells(scoped_calls, rng, sample_limit), rng, sort)
+
+
+def cells_from_attempt_measures(attempt_measures: DataFrame, rng: W.TimeRange) -> DataFrame:
+    """(provider, t) -> attempts, fails from attempts-rollup rows and edges
+    (:func:`relaywatch.plans.rollup.attempt_measures`). Every bucket width
+    is a multiple of the rollup's 300 s, so flooring a bucket start is exact."""
+    t0 = F.col("t0")
+    t = t0 - F.pmod(t0, F.lit(rng.bucket_seconds).cast("bigint"))
+    return (attempt_measures.groupBy(F.col("attempt_provider").alias("provider"), t.alias("t"))
+            .agg(F.sum("attempts").alias("attempts"), F.sum("fails").alias("fails")))
+
+
+def provider_health_measures(attempt_measures: DataFrame, rng: W.TimeRange,
+                             sort: bool = True) -> DataFrame:
+    """A11 over every call of the window (D4) from the attempts rollup."""
+    return health_from_cells(cells_from_attempt_measures(attempt_measures, rng), rng, sort)
+
+
+def health_from_cells(cells: DataFrame, rng: W.TimeRange, sort: bool = True) -> DataFrame:
+    """Per provider: totals and the status strip over the axis.
+
+    Each provider holds at most one cell per axis bucket (W/s + 1 <= 31), so
+    the collected map is bounded whatever the call volume.
+    """
+    cells = cells.withColumn("status", S.attempt_status(F.col("attempts"), F.col("fails")))
     per = cells.groupBy("provider").agg(
         F.sum("attempts").alias("attempts"), F.sum("fails").alias("fails"),
         F.map_from_entries(F.collect_list(F.struct("t", "status"))).alias("cells"))
@@ -80,12 +104,16 @@ def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
     return out.orderBy(F.desc("attempts"), "provider") if sort else out
 
 
-def provider_health_long(scoped_calls: DataFrame, rng: W.TimeRange,
-                         sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+def long_form(health: DataFrame, rng: W.TimeRange) -> DataFrame:
     """A11 in long form: provider, attempts, fail_rate, t, status."""
-    h = provider_health(scoped_calls, rng, sample_limit, sort=False)
     z = F.arrays_zip(axis_array(rng).alias("t"), F.col("buckets").alias("status"))
-    return h.select("provider", "attempts", "fail_rate", F.inline(z))
+    return health.select("provider", "attempts", "fail_rate", F.inline(z))
+
+
+def provider_health_long(scoped_calls: DataFrame, rng: W.TimeRange,
+                         sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+    """A11 in long form over the raw calls."""
+    return long_form(provider_health(scoped_calls, rng, sample_limit, sort=False), rng)
 
 
 PROVIDER_TABLE_COLUMNS = ["provider", "calls", "share", "rel_share", "tokens", "spent_usd",
@@ -93,16 +121,20 @@ PROVIDER_TABLE_COLUMNS = ["provider", "calls", "share", "rel_share", "tokens", "
                           "reliability"]
 
 
-def provider_table(measures: DataFrame, scoped_calls: DataFrame, rng: W.TimeRange,
-                   sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+def provider_table(measures: DataFrame, scoped_calls: DataFrame | None, rng: W.TimeRange,
+                   sample_limit: int | None = HEALTH_SAMPLE,
+                   health: DataFrame | None = None) -> DataFrame:
     """Provider stats (who served) full-outer-joined with attempt health.
 
     Both inputs are per-provider aggregates, so the join is between small
     results. A provider that only ever failed appears with calls 0; one
-    without attempts has attempts 0 and an empty strip.
+    without attempts has attempts 0 and an empty strip. ``health`` (array
+    form, e.g. from the attempts rollup) replaces the raw health of
+    ``scoped_calls`` when given.
     """
     stats = provider_stats(measures, sort=False)
-    health = provider_health(scoped_calls, rng, sample_limit, sort=False)
+    if health is None:
+        health = provider_health(scoped_calls, rng, sample_limit, sort=False)
     j = stats.join(health, "provider", "full")
     zero = {"calls": F.lit(0).cast("bigint"), "share": F.lit(0.0), "tokens": F.lit(0).cast("bigint"),
             "spent_usd": F.lit(0.0), "cost_per_call": F.lit(0.0), "saved_usd": F.lit(0.0),

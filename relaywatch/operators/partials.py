@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaywatch.functions import measures as M
+from relaywatch.operators.drift import drift_evidence
 
 KEYS = ["project", "provider_key", "model_key", "t0"]
 
@@ -45,6 +46,10 @@ _ROW = {
     "decode_ms": M.decode_ms,
     "seconds": lambda: F.col("media_usage.seconds"),
     "outputs": lambda: F.col("media_usage.outputs"),
+    # A10 evidence (P7) summed per key, so price drift reads the rollup too
+    "drift_calls": lambda: F.when(drift_evidence(), F.lit(1)),
+    "drift_cost": lambda: F.when(drift_evidence(), F.col("cost_usd")),
+    "drift_est": lambda: F.when(drift_evidence(), F.col("est_cost_usd")),
 }
 MEASURES = list(_ROW)
 MAX_MEASURES = ["modality"]

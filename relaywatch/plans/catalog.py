@@ -118,6 +118,30 @@ def _rollup_op(op, window, spark, sf_dir, as_of=AS_OF):
     return op(m)
 
 
+def _rollup_drift(window, spark, sf_dir, as_of=AS_OF):
+    m, _ = _rollup_measures(spark, sf_dir, window, as_of)
+    return D.price_drift_measures(m)
+
+
+def _attempt_measures(spark, sf_dir, window, as_of=AS_OF):
+    """Attempt counts for the window from the attempts rollup plus raw edges."""
+    calls = fixture_calls(spark, sf_dir)
+    rng = W.current(window, as_of)
+    return R.attempt_measures(calls, R.build_attempts(calls), rng), rng
+
+
+def _rollup_health(window, spark, sf_dir, as_of=AS_OF):
+    am, rng = _attempt_measures(spark, sf_dir, window, as_of)
+    return H.long_form(H.provider_health_measures(am, rng, sort=False), rng)
+
+
+def _rollup_provider_table(window, spark, sf_dir, as_of=AS_OF):
+    m, rng = _rollup_measures(spark, sf_dir, window, as_of)
+    am, _ = _attempt_measures(spark, sf_dir, window, as_of)
+    health = H.provider_health_measures(am, rng, sort=False)
+    return H.provider_table(m, None, rng, health=health).select(*H.PROVIDER_TABLE_COLUMNS)
+
+
 def _project_domains(window, spark, sf_dir):
     sc, _ = _scan(spark, sf_dir, window)
     fleet = B.fleet(P.row_measures(sc)).select("project", "calls")
@@ -176,6 +200,14 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_model_stats_24h_unaligned"] = partial(_rollup_op, B.model_stats, "24h",
                                                     as_of=UNALIGNED_AS_OF)
     q["rollup_metrics_change_7d"] = partial(_rollup_change, "7d")
+    q["rollup_price_drift_7d"] = partial(_rollup_drift, "7d")
+    q["rollup_price_drift_30d"] = partial(_rollup_drift, "30d")
+    q["rollup_price_drift_24h_unaligned"] = partial(_rollup_drift, "24h", as_of=UNALIGNED_AS_OF)
+    q["rollup_provider_health_full_7d"] = partial(_rollup_health, "7d")
+    q["rollup_provider_health_full_30d"] = partial(_rollup_health, "30d")
+    q["rollup_provider_health_full_24h_unaligned"] = partial(_rollup_health, "24h",
+                                                             as_of=UNALIGNED_AS_OF)
+    q["rollup_provider_table_full_7d"] = partial(_rollup_provider_table, "7d")
     q["project_domains_7d"] = partial(_project_domains, "7d")
     q["provider_domains_7d"] = partial(_provider_domains, "7d")
     q["stat_flags_7d"] = partial(_stat_flags, "7d")
@@ -214,6 +246,14 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_model_stats_7d"] = O.model_stats("7d")
     o["rollup_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
     o["rollup_metrics_change_7d"] = O.metrics_change("7d")
+    o["rollup_price_drift_7d"] = O.price_drift("7d")
+    o["rollup_price_drift_30d"] = O.price_drift("30d")
+    o["rollup_price_drift_24h_unaligned"] = O.price_drift("24h", as_of=UNALIGNED_AS_OF)
+    o["rollup_provider_health_full_7d"] = O.provider_health("7d", sample=None)
+    o["rollup_provider_health_full_30d"] = O.provider_health("30d", sample=None)
+    o["rollup_provider_health_full_24h_unaligned"] = O.provider_health("24h", as_of=UNALIGNED_AS_OF,
+                                                                       sample=None)
+    o["rollup_provider_table_full_7d"] = O.provider_table("7d", sample=None)
     o["project_domains_7d"] = O.project_domains("7d")
     o["provider_domains_7d"] = O.provider_domains("7d")
     o["stat_flags_7d"] = O.stat_flags("7d")

@@ -3,8 +3,11 @@
 The rollup holds one row per (300 s bucket, project, serving provider, model)
 with the additive measures of :mod:`relaywatch.operators.partials`. Every
 bucket width of the dashboard (300, 3600, 21600, 86400 s) is a multiple of
-300 s, so the rollup serves every window and every aggregate operator (A1-A9),
-and its size grows with buckets x key combinations, not with calls.
+300 s, so the rollup serves every window and every aggregate operator
+(A1-A10; drift through its evidence sums), and its size grows with buckets x
+key combinations, not with calls. A second, attempts rollup (bucket, project,
+serving provider, attempted provider) serves provider health over every call
+of a window (A11 without the recency sample, D4).
 
 **Exact edges.** A window ``(start, end]`` is generally not bucket aligned.
 Buckets lying wholly inside it are read from the rollup; the two partial edge
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaywatch.functions import windows as W
+from relaywatch.functions.keys import attempt_provider
 from relaywatch.operators import partials as P
 from relaywatch.sources.calls import scope_filter
 
@@ -57,8 +61,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date]) -> None:
-    """Recompute the rollup for the given dates from the raw table.
+def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date],
+                  attempts_path: str | None = None) -> None:
+    """Recompute the rollup (and the attempts rollup) for the given dates
+    from the raw table.
 
     Used after a bulk load with explicit old timestamps, which a streaming
     rollup with a watermark would have dropped as late.
@@ -67,6 +73,8 @@ def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date]) -> None:
         return
     touched = calls.where(F.col("ts_date").isin(*dates))
     write(build(touched), path)
+    if attempts_path is not None:
+        write_attempts(build_attempts(touched), attempts_path)
 
 
 def _edges(start: dt.datetime, end: dt.datetime) -> tuple[int, int]:
@@ -83,19 +91,15 @@ def _edge_rows(calls: DataFrame, lo: dt.datetime, lo_incl: bool, hi: dt.datetime
     return c & (F.col("ts_date") >= F.lit(lo.date())) & (F.col("ts_date") <= F.lit(hi.date()))
 
 
-def measures(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
-             project: str | None = None, provider: str | None = None) -> DataFrame:
-    """A measures frame covering exactly ``rng`` and the scope.
+def _parts(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
+           scope: Column) -> tuple[DataFrame | None, DataFrame]:
+    """(interior rollup rows, raw calls of the two partial edge spans).
 
-    Interior buckets come from the rollup, the partial buckets at both ends
-    from the raw table; the union has the rollup's column types.
+    A window shorter than two buckets has no interior: all of it is raw.
     """
-    scope = scope_filter(project, provider)
     first, last_end = _edges(rng.start, rng.end)
-    schema = rollup.select("t0", *GROUP, *P.MEASURES, "modality").schema
     if first >= last_end:
-        raw = calls.where(rng.predicate() & scope)
-        return _cast(P.row_measures(raw), schema)
+        return None, calls.where(rng.predicate() & scope)
     first_ts = dt.datetime.fromtimestamp(first, W.UTC)
     last_ts = dt.datetime.fromtimestamp(last_end, W.UTC)
     interior = rollup.where(
@@ -103,7 +107,69 @@ def measures(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
         & (F.col("t0") >= F.lit(first)) & (F.col("t0") < F.lit(last_end)) & scope)
     edge = calls.where((_edge_rows(calls, rng.start, False, first_ts, False)
                         | _edge_rows(calls, last_ts, True, rng.end, True)) & scope)
-    return _cast(interior, schema).unionByName(_cast(P.row_measures(edge), schema))
+    return interior, edge
+
+
+def measures(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
+             project: str | None = None, provider: str | None = None) -> DataFrame:
+    """A measures frame covering exactly ``rng`` and the scope.
+
+    Interior buckets come from the rollup, the partial buckets at both ends
+    from the raw table; the union has the rollup's column types.
+    """
+    schema = rollup.select("t0", *GROUP, *P.MEASURES, "modality").schema
+    interior, edge = _parts(calls, rollup, rng, scope_filter(project, provider))
+    raw = _cast(P.row_measures(edge), schema)
+    return raw if interior is None else _cast(interior, schema).unionByName(raw)
+
+
+# The attempts rollup (A11 at scale): one row per (300 s bucket, project,
+# serving provider, attempted provider) with attempt and fail counts. The
+# first two keys keep the dashboard's scope filters; the size grows with
+# buckets x key combinations, not with calls or attempts.
+ATTEMPT_GROUP = ["project", "provider_key", "attempt_provider"]
+ATTEMPT_MEASURES = ["attempts", "fails"]
+
+
+def attempt_rows(calls: DataFrame) -> DataFrame:
+    """One row per attempt: ``t0`` (epoch second), keys, attempts 1, fails 0/1.
+
+    A fail is ``ok`` equal to false exactly (A11); X3 names the provider.
+    """
+    a = calls.select("project", "provider_key", F.unix_seconds(F.col("ts")).alias("t0"),
+                     F.explode("attempts").alias("a"))
+    return a.select("t0", "project", "provider_key",
+                    attempt_provider(F.col("a.provider")).alias("attempt_provider"),
+                    F.lit(1).cast("bigint").alias("attempts"),
+                    F.when(F.col("a.ok") == F.lit(False), F.lit(1)).otherwise(F.lit(0))
+                    .cast("bigint").alias("fails"))
+
+
+def build_attempts(calls: DataFrame) -> DataFrame:
+    """Aggregate every attempt into attempts-rollup rows (partial then final)."""
+    r = attempt_rows(calls).withColumn("t0", F.col("t0") - F.pmod(F.col("t0"), F.lit(GRAIN)))
+    agg = r.groupBy("t0", *ATTEMPT_GROUP).agg(*[F.sum(c).alias(c) for c in ATTEMPT_MEASURES])
+    return agg.withColumn("ts_date", F.to_date(F.timestamp_seconds(F.col("t0"))))
+
+
+def write_attempts(rollup: DataFrame, path: str) -> None:
+    """Write (or rewrite) dates of the attempts rollup, as :func:`write`."""
+    (rollup.hint("rebalance", "ts_date").sortWithinPartitions("t0", *ATTEMPT_GROUP)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("ts_date").parquet(path))
+
+
+def attempt_measures(calls: DataFrame, attempts_rollup: DataFrame, rng: W.TimeRange,
+                     project: str | None = None, provider: str | None = None) -> DataFrame:
+    """Attempt counts covering exactly ``rng`` and the scope (every call).
+
+    Same split as :func:`measures`: whole buckets from the attempts rollup,
+    the edge spans exploded from the raw table.
+    """
+    cols = ["t0", *ATTEMPT_GROUP, *ATTEMPT_MEASURES]
+    interior, edge = _parts(calls, attempts_rollup, rng, scope_filter(project, provider))
+    raw = attempt_rows(edge).select(*cols)
+    return raw if interior is None else interior.select(*cols).unionByName(raw)
 
 
 def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
