@@ -136,15 +136,18 @@ def provider_table(measures: DataFrame, scoped_calls: DataFrame | None, rng: W.T
     if health is None:
         health = provider_health(scoped_calls, rng, sample_limit, sort=False)
     j = stats.join(health, "provider", "full")
-    zero = {"calls": F.lit(0).cast("bigint"), "share": F.lit(0.0), "tokens": F.lit(0).cast("bigint"),
-            "spent_usd": F.lit(0.0), "cost_per_call": F.lit(0.0), "saved_usd": F.lit(0.0),
-            "cache_hit_rate": F.lit(0.0), "attempts": F.lit(0).cast("bigint"), "fail_rate": F.lit(0.0)}
-    filled = j.select("provider", *[F.coalesce(F.col(c), v).alias(c) for c, v in zero.items()],
-                      F.coalesce(F.col("buckets"), F.array().cast("array<string>")).alias("buckets"))
+    zero = {"calls": "CAST(0 AS BIGINT)", "share": "0D", "tokens": "CAST(0 AS BIGINT)",
+            "spent_usd": "0D", "cost_per_call": "0D", "saved_usd": "0D", "cache_hit_rate": "0D",
+            "attempts": "CAST(0 AS BIGINT)", "fail_rate": "0D"}
+    filled = j.select("provider", *[F.expr(f"coalesce({c}, {v}) AS {c}") for c, v in zero.items()],
+                      F.expr("coalesce(buckets, CAST(array() AS ARRAY<STRING>)) AS buckets"))
+    # Share relative to the largest, over the aggregated rows only
     top = F.greatest(F.max("share").over(Window.partitionBy()), F.lit(1e-9))
-    return (filled.withColumn("rel_share", F.col("share") / top)
-            .withColumn("reliability", S.reliability(F.col("attempts"), F.col("fail_rate")))
-            .withColumn("reliability_tone", S.reliability_tone(F.col("attempts"), F.col("fail_rate")))
-            .withColumn("ok_attempts", S.ok_count(F.col("attempts"), F.col("fail_rate")))
-            .select(*PROVIDER_TABLE_COLUMNS, "reliability_tone", "ok_attempts", "buckets")
-            .orderBy(F.desc("calls"), "provider"))
+    attempts, fail_rate = F.col("attempts"), F.col("fail_rate")
+    return (filled.select(
+        *PROVIDER_TABLE_COLUMNS[:3], (F.col("share") / top).alias("rel_share"),
+        *PROVIDER_TABLE_COLUMNS[4:11],
+        S.reliability(attempts, fail_rate).alias("reliability"),
+        S.reliability_tone(attempts, fail_rate).alias("reliability_tone"),
+        S.ok_count(attempts, fail_rate).alias("ok_attempts"), "buckets")
+        .orderBy(F.desc("calls"), "provider"))

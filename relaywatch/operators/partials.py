@@ -65,11 +65,15 @@ def row_measures(calls: DataFrame, extra: list[str] = ()) -> DataFrame:
 
 
 def sums(names: list[str] | None = None) -> list[Column]:
-    """Aggregate expressions that combine measures rows (re-aggregation)."""
+    """Aggregate expressions that combine measures rows (re-aggregation).
+
+    Written as SQL text: one JVM object per column instead of one per
+    sub-expression keeps plan construction on the driver cheap.
+    """
     names = names or MEASURES
-    out = [F.sum(n).alias(n) for n in names]
+    out = [F.expr(f"sum(`{n}`) AS `{n}`") for n in names]
     if "modality" not in names:
-        out.append(F.max("modality").alias("modality"))
+        out.append(F.expr("max(modality) AS modality"))
     return out
 
 
@@ -86,36 +90,66 @@ def aggregate(measures: DataFrame, *keys: Column | str) -> DataFrame:
     return measures.agg(*sums())
 
 
-def finish() -> dict[str, Column]:
+class _Columns:
+    """Result columns built on first use.
+
+    A panel uses a few of the two dozen, and each one costs driver-to-JVM
+    calls to construct, so only the ones asked for are built.
+    """
+
+    def __init__(self, texts: dict[str, str]):
+        self._texts, self._built = texts, {}
+
+    def __getitem__(self, name: str) -> Column:
+        if name not in self._built:
+            self._built[name] = F.expr(self._texts[name])
+        return self._built[name]
+
+
+def _bigint(n: str) -> str:
+    """An already-summed integer measure: 0 when absent, BIGINT."""
+    return f"CAST(coalesce(`{n}`, 0) AS BIGINT)"
+
+
+def _double(n: str) -> str:
+    """An already-summed decimal measure: 0 when absent, then DOUBLE."""
+    return f"CAST(coalesce(`{n}`, 0) AS DOUBLE)"
+
+
+def _ratio(num: str, den: str) -> str:
+    """``num / den`` in DOUBLE, 0 when ``den`` is not positive."""
+    return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0D END"
+
+
+def finish() -> _Columns:
     """Result columns over combined measures (means and guarded ratios)."""
-    calls = F.coalesce(F.col("calls"), F.lit(0)).cast("bigint")
-    input_tok = M.lsum_of("input_tok")
-    return {
+    calls = _bigint("calls")
+    return _Columns({
         "calls": calls,
-        "failovers": M.lsum_of("failovers"),
-        "caught": M.lsum_of("caught"),
-        "failures": M.lsum_of("failures"),
-        "failover_rate": M.ratio(M.lsum_of("failovers"), calls),
-        "fail_rate": M.ratio(M.lsum_of("failures"), calls),
-        "cost_usd": M.dsum_of("cost"),
-        "baseline_usd": M.dsum_of("baseline"),
-        "saved_usd": M.dsum_of("saved"),
-        "save_pct": M.ratio(M.dsum_of("saved"), M.dsum_of("baseline")),
-        "cached_saving_usd": M.dsum_of("cached_saving"),
-        "cached_input_tokens": M.lsum_of("cached_input"),
-        "cache_hit_rate": M.ratio(M.lsum_of("cached_input"), input_tok),
-        "avg_latency_ms": M.ratio(M.lsum_of("latency_sum"), calls),
-        "ttft_ms": F.when(F.col("ttft_n") > 0,
-                          F.col("ttft_sum").cast("double") / F.col("ttft_n").cast("double")),
-        "tokens": input_tok + M.lsum_of("output_tok"),
-        "input_tokens": input_tok,
-        "output_tokens": M.lsum_of("output_tok"),
-        "cost_per_call": M.ratio(M.dsum_of("cost"), calls),
-        "tokens_per_sec": M.tokens_per_sec(F.col("decode_out"), F.col("decode_ms")),
-        "seconds": F.coalesce(F.col("seconds"), F.lit(0.0)).cast("double"),
-        "outputs": F.coalesce(F.col("outputs"), F.lit(0.0)).cast("double"),
-        "modality": F.col("modality"),
-    }
+        "failovers": _bigint("failovers"),
+        "caught": _bigint("caught"),
+        "failures": _bigint("failures"),
+        "failover_rate": _ratio(_bigint("failovers"), calls),
+        "fail_rate": _ratio(_bigint("failures"), calls),
+        "cost_usd": _double("cost"),
+        "baseline_usd": _double("baseline"),
+        "saved_usd": _double("saved"),
+        "save_pct": _ratio(_double("saved"), _double("baseline")),
+        "cached_saving_usd": _double("cached_saving"),
+        "cached_input_tokens": _bigint("cached_input"),
+        "cache_hit_rate": _ratio(_bigint("cached_input"), _bigint("input_tok")),
+        "avg_latency_ms": _ratio(_bigint("latency_sum"), calls),
+        "ttft_ms": "CASE WHEN ttft_n > 0 THEN CAST(ttft_sum AS DOUBLE) / CAST(ttft_n AS DOUBLE) END",
+        "tokens": f"{_bigint('input_tok')} + {_bigint('output_tok')}",
+        "input_tokens": _bigint("input_tok"),
+        "output_tokens": _bigint("output_tok"),
+        "cost_per_call": _ratio(_double("cost"), calls),
+        # Output tokens per generation second, null without evidence
+        "tokens_per_sec": "(CAST(decode_out AS DOUBLE) / CAST(nullif(decode_ms, 0) AS DOUBLE)) * 1000D",
+        "seconds": "CAST(coalesce(seconds, 0D) AS DOUBLE)",
+        "outputs": "CAST(coalesce(outputs, 0D) AS DOUBLE)",
+        "modality": "modality",
+    })
 
 
 def project(df: DataFrame, *names: str, keys: list[Column | str] = ()) -> DataFrame:
