@@ -131,14 +131,14 @@ ATTEMPT_GROUP = ["project", "provider_key", "attempt_provider"]
 ATTEMPT_MEASURES = ["attempts", "fails"]
 
 
-def attempt_rows(calls: DataFrame) -> DataFrame:
+def attempt_rows(calls: DataFrame, extra: list[str] = ()) -> DataFrame:
     """One row per attempt: ``t0`` (epoch second), keys, attempts 1, fails 0/1.
 
     A fail is ``ok`` equal to false exactly (A11); X3 names the provider.
     """
-    a = calls.select("project", "provider_key", F.unix_seconds(F.col("ts")).alias("t0"),
+    a = calls.select(*extra, "project", "provider_key", F.unix_seconds(F.col("ts")).alias("t0"),
                      F.explode("attempts").alias("a"))
-    return a.select("t0", "project", "provider_key",
+    return a.select(*extra, "t0", "project", "provider_key",
                     attempt_provider(F.col("a.provider")).alias("attempt_provider"),
                     F.lit(1).cast("bigint").alias("attempts"),
                     F.when(F.col("a.ok") == F.lit(False), F.lit(1)).otherwise(F.lit(0))

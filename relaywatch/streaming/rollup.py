@@ -7,6 +7,9 @@ to the epoch exactly as the bucket floor X4 does, so the output rows are
 rollup rows (``t0`` = bucket start) that :func:`relaywatch.plans.rollup.measures`
 reads like the batch-built ones.
 
+:func:`attempts_stream` keeps the attempts rollup (provider health) the same
+way, one row per (bucket, project, serving provider, attempted provider).
+
 Rows arriving behind the watermark are dropped by the stream. Those only come
 from bulk loads with explicit old timestamps (S7); T3 recomputes the touched
 dates from the raw table (:func:`relaywatch.plans.rollup.rebuild_dates`).
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relaywatch.operators import partials as P
+from relaywatch.plans import rollup as R
 from relaywatch.plans.rollup import GROUP
 from relaywatch.schema import CALLS_SCHEMA
 
@@ -33,6 +37,15 @@ def rollup_stream(calls_stream: DataFrame, watermark: str = WATERMARK) -> DataFr
                       F.to_date(F.col("w.start")).alias("ts_date"))
 
 
+def attempts_stream(calls_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Attempts-rollup rows of closed 5-minute buckets (append mode)."""
+    rows = R.attempt_rows(calls_stream.withWatermark("ts", watermark), extra=["ts"])
+    agg = rows.groupBy(F.window("ts", "5 minutes").alias("w"), *R.ATTEMPT_GROUP).agg(
+        *[F.sum(c).alias(c) for c in R.ATTEMPT_MEASURES])
+    return agg.select(F.unix_seconds(F.col("w.start")).alias("t0"), *R.ATTEMPT_GROUP,
+                      *R.ATTEMPT_MEASURES, F.to_date(F.col("w.start")).alias("ts_date"))
+
+
 def calls_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """New files of the calls table as a stream (declared schema, no inference)."""
     schema = CALLS_SCHEMA
@@ -48,8 +61,19 @@ def start(spark: SparkSession, table_path: str, rollup_path: str, checkpoint: st
           trigger: dict | None = None, watermark: str = WATERMARK) -> StreamingQuery:
     """Append closed buckets to the rollup table (file sink: exactly once)."""
     out = rollup_stream(calls_stream(spark, table_path), watermark)
+    return _sink(out, rollup_path, checkpoint, "rollup", trigger)
+
+
+def start_attempts(spark: SparkSession, table_path: str, rollup_path: str, checkpoint: str,
+                   trigger: dict | None = None, watermark: str = WATERMARK) -> StreamingQuery:
+    """Append closed buckets to the attempts rollup table (exactly once)."""
+    out = attempts_stream(calls_stream(spark, table_path), watermark)
+    return _sink(out, rollup_path, checkpoint, "attempts_rollup", trigger)
+
+
+def _sink(out: DataFrame, path: str, checkpoint: str, name: str, trigger: dict | None) -> StreamingQuery:
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint)
-              .partitionBy("ts_date").option("path", rollup_path)
-              .queryName("rollup"))
+              .partitionBy("ts_date").option("path", path)
+              .queryName(name))
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -61,6 +61,21 @@ def test_stream_rollup_matches_batch_rollup(spark, scratch):
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, closed.select(cols).collect()))
 
 
+def test_stream_attempts_rollup_matches_batch(spark, scratch):
+    lines = record_lines(fixture_calls(spark, SF_SMALL))
+    I.ingest_lines(spark, lines, f"{scratch}/calls", f"{scratch}/quar", "bulk", order=["_seq"],
+                   explicit_ts=True)
+    calls = read_calls(spark, f"{scratch}/calls")
+    q = SR.start_attempts(spark, f"{scratch}/calls", f"{scratch}/attempts", f"{scratch}/ck")
+    q.awaitTermination()
+    streamed = spark.read.parquet(f"{scratch}/attempts")
+    last = calls.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    closed = R.build_attempts(calls).where(F.col("t0") + 300 <= last - 600)
+    cols = ["t0", *R.ATTEMPT_GROUP, *R.ATTEMPT_MEASURES]
+    assert streamed.count() > 0
+    assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, closed.select(cols).collect()))
+
+
 def test_rollup_rebuild_and_exact_edges(spark, scratch):
     calls_df = fixture_calls(spark, SF_SMALL)
     path = f"{scratch}/calls"
