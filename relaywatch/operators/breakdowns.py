@@ -146,5 +146,5 @@ def model_stats(measures: DataFrame) -> DataFrame:
         f["saved_usd"].alias("saved_usd"), f["cache_hit_rate"].alias("cache_hit_rate"),
         f["modality"].alias("modality"), f["seconds"].alias("seconds"), f["outputs"].alias("outputs"))
     usd, label = S.unit_cost(F.col("modality"), F.col("spent_usd"), F.col("seconds"), F.col("outputs"))
-    out = _with_share(out).withColumn("unit_cost", usd).withColumn("unit_label", label)
-    return out.select(*MODEL_COLUMNS).orderBy(F.desc("spent_usd"), F.desc("calls"), "model")
+    out = _with_share(out).select(*MODEL_COLUMNS[:-2], usd.alias("unit_cost"), label.alias("unit_label"))
+    return out.orderBy(F.desc("spent_usd"), F.desc("calls"), "model")
