@@ -26,16 +26,6 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def routing_saving(baseline: Column, cost: Column) -> Column:
-    """Per-row clamped saving, only for rows that carry a baseline."""
-    return F.when(baseline > 0, F.greatest(baseline - cost, F.lit(0)))
-
-
-def baseline_carried(baseline: Column) -> Column:
-    """Baseline of rows with a baseline (the save-rate denominator)."""
-    return F.when(baseline > 0, baseline)
-
-
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` in DOUBLE, 0 when ``den`` is not positive."""
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
@@ -46,18 +36,6 @@ def total_tokens() -> Column:
     return F.col("input_tokens") + F.col("output_tokens")
 
 
-def decode_output() -> Column:
-    """G8 numerator: output tokens of rows that have a generation span."""
-    cond = F.col("ttft_ms").isNotNull() & (F.col("latency_ms") > F.col("ttft_ms"))
-    return F.when(cond, F.col("output_tokens"))
-
-
-def decode_ms() -> Column:
-    """G8 denominator: generation time ``latency - ttft`` of the same rows."""
-    cond = F.col("ttft_ms").isNotNull() & (F.col("latency_ms") > F.col("ttft_ms"))
-    return F.when(cond, F.col("latency_ms") - F.col("ttft_ms"))
-
-
 def tokens_per_sec(out_sum: Column, ms_sum: Column) -> Column:
     """Output tokens per generation second, null without evidence."""
     return (out_sum.cast("double") / F.nullif(ms_sum, F.lit(0)).cast("double")) * F.lit(1000.0)

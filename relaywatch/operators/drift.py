@@ -10,10 +10,14 @@ from relaywatch.functions import status as S
 DRIFT_LIMIT = 20
 
 
+# Rows where the provider's bill differs from the predicted price.
+DRIFT_EVIDENCE = ("ok AND est_cost_usd IS NOT NULL AND est_cost_usd > 0 AND cost_usd > 0"
+                  " AND cost_usd <> est_cost_usd")
+
+
 def drift_evidence() -> Column:
-    """Rows where the provider's bill differs from the predicted price."""
-    est, cost = F.col("est_cost_usd"), F.col("cost_usd")
-    return F.col("ok") & est.isNotNull() & (est > 0) & (cost > 0) & (cost != est)
+    """P7 as a filter; it reaches the Parquet scan as pushed predicates."""
+    return F.expr(DRIFT_EVIDENCE)
 
 
 def price_drift(scoped_calls: DataFrame, limit: int | None = DRIFT_LIMIT) -> DataFrame:

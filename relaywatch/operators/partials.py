@@ -21,35 +21,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaywatch.functions import measures as M
-from relaywatch.operators.drift import drift_evidence
+from relaywatch.operators.drift import DRIFT_EVIDENCE
 
 KEYS = ["project", "provider_key", "model_key", "t0"]
 
-# measure name -> how a single call contributes
+# a generation span exists: the G8 evidence rows
+_DECODE = "ttft_ms IS NOT NULL AND latency_ms > ttft_ms"
+
+# measure name -> how a single call contributes, as SQL text (one JVM object
+# per column keeps building a query's plan on the driver cheap)
 _ROW = {
-    "calls": lambda: F.lit(1),
-    "failovers": lambda: F.col("failed_over").cast("int"),
-    "caught": lambda: (F.col("failed_over") & F.col("ok")).cast("int"),
-    "failures": lambda: (~F.col("ok")).cast("int"),
-    "cost": lambda: F.col("cost_usd"),
-    "baseline": lambda: M.baseline_carried(F.col("baseline_usd")),
-    "saved": lambda: M.routing_saving(F.col("baseline_usd"), F.col("cost_usd")),
-    "cached_saving": lambda: F.col("cached_saving_usd"),
-    "cached_input": lambda: F.col("cached_input_tokens"),
-    "input_tok": lambda: F.col("input_tokens"),
-    "output_tok": lambda: F.col("output_tokens"),
-    "latency_sum": lambda: F.col("latency_ms"),
-    "ttft_sum": lambda: F.col("ttft_ms"),
-    "ttft_n": lambda: F.col("ttft_ms").isNotNull().cast("int"),
-    "decode_out": M.decode_output,
-    "decode_ms": M.decode_ms,
-    "seconds": lambda: F.col("media_usage.seconds"),
-    "outputs": lambda: F.col("media_usage.outputs"),
+    "calls": "1",
+    "failovers": "CAST(failed_over AS INT)",
+    "caught": "CAST(failed_over AND ok AS INT)",
+    "failures": "CAST(NOT ok AS INT)",
+    "cost": "cost_usd",
+    # save-rate denominator: the baseline of rows that carry one
+    "baseline": "CASE WHEN baseline_usd > 0 THEN baseline_usd END",
+    # Clamped per row, only for rows that carry a baseline
+    "saved": "CASE WHEN baseline_usd > 0 THEN greatest(baseline_usd - cost_usd, 0) END",
+    "cached_saving": "cached_saving_usd",
+    "cached_input": "cached_input_tokens",
+    "input_tok": "input_tokens",
+    "output_tok": "output_tokens",
+    "latency_sum": "latency_ms",
+    "ttft_sum": "ttft_ms",
+    "ttft_n": "CAST(ttft_ms IS NOT NULL AS INT)",
+    # Output tokens and generation time (latency - ttft) of the same rows
+    "decode_out": f"CASE WHEN {_DECODE} THEN output_tokens END",
+    "decode_ms": f"CASE WHEN {_DECODE} THEN latency_ms - ttft_ms END",
+    "seconds": "media_usage.seconds",
+    "outputs": "media_usage.outputs",
     # A10 evidence (P7) summed per key, so price drift reads the rollup too
-    "drift_calls": lambda: F.when(drift_evidence(), F.lit(1)),
-    "drift_cost": lambda: F.when(drift_evidence(), F.col("cost_usd")),
-    "drift_est": lambda: F.when(drift_evidence(), F.col("est_cost_usd")),
+    "drift_calls": f"CASE WHEN {DRIFT_EVIDENCE} THEN 1 END",
+    "drift_cost": f"CASE WHEN {DRIFT_EVIDENCE} THEN cost_usd END",
+    "drift_est": f"CASE WHEN {DRIFT_EVIDENCE} THEN est_cost_usd END",
 }
 MEASURES = list(_ROW)
 MAX_MEASURES = ["modality"]
@@ -60,7 +66,7 @@ def row_measures(calls: DataFrame, extra: list[str] = ()) -> DataFrame:
     return calls.select(
         "project", "provider_key", "model_key", *extra,
         F.unix_seconds(F.col("ts")).alias("t0"),
-        *[fn().alias(name) for name, fn in _ROW.items()],
+        *[F.expr(f"{text} AS `{name}`") for name, text in _ROW.items()],
         F.col("modality"))
 
 
