@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     model = langid.fit(docs.filter(~held))
-    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "proportions")
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
