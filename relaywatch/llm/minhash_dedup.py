@@ -19,8 +19,9 @@ values held by one set are left out before the keys are formed.
 Bounded work in hot groups: equal sets are one node from the start. In a table
 bucket every set is paired with the smallest id of the bucket only; those star
 pairs are verified and merged first. Pairs of a bucket whose ends are connected
-by then need no look; the others (different components in one bucket) are all
-verified in a second pass, so no link is lost to the star. Every link is
+by then need no look. The nodes of buckets that still hold several components
+are compared across components by their rarest shingles: a shared passage of
+which many documents consist in part makes no pairs, and no link is lost. Every link is
 confirmed on the full sets.
 
 Rows with a null id come back with a null component and ``kept`` true. Rows
@@ -46,9 +47,10 @@ COLLECTIONS = 20   # hash collections in each of the two groups
 ROWS = 3           # minhashes in a collection
 WIDTH = 4          # words in a shingle of the contract query
 PERCENT = 80
+FINE = 256         # minhashes that tell pairs across components apart before their sets are read
 
-_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, near array<long>"
-_SETS = "doc_id long, shingles array<long>"
+_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, near array<long>"
+_SETS = "doc_id long, shingles array<long>, fine array<long>"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +111,15 @@ def _collection_values(minima: np.ndarray, rows: int) -> np.ndarray:
     return value
 
 
+def _sketch(minima: np.ndarray) -> pa.Array:
+    """Four bits of each minhash, sixteen to a long."""
+    docs, used = minima.shape
+    bits = np.zeros((docs, -(-used // 16) * 16), np.uint8)
+    bits[:, :used] = (minima >> np.uint32(16)) & 15
+    longs = np.ascontiguousarray(bits[:, ::2] << 4 | bits[:, 1::2]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * longs.shape[1], pa.int32()), pa.array(longs.ravel()))
+
+
 def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in C.chunks(batch.column(1)):
@@ -121,10 +132,6 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, r
                     digest[0, some] = np.add.reduceat(C.mix64(shingles), at[some])
                     digest[1, some] = np.add.reduceat(C.mix64(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)), at[some])
             minima = minhashes(shingles, at, 2 * collections * rows)
-            bits = np.zeros((last - first, 128), np.uint8)
-            used = min(128, minima.shape[1])
-            bits[:, :used] = (minima[:, :used] >> np.uint32(16)) & 1
-            words = np.packbits(bits, axis=1).view(np.int64)
             values = _collection_values(minima, rows).view(np.int64)
             near = pa.ListArray.from_arrays(
                 pa.array(np.r_[0, np.cumsum(np.where(n > 0, values.shape[1], 0))], pa.int32()),
@@ -132,8 +139,8 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, r
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first).cast(pa.int64()), pa.array(n, pa.int64()),
                  pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                 pa.array(np.ascontiguousarray(words[:, 0])), pa.array(np.ascontiguousarray(words[:, 1])), near],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "near"])
+                 _sketch(minima), near],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "near"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -142,8 +149,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             shingles, at = shingle_hashes(data, offsets, width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first).cast(pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))],
-                names=["doc_id", "shingles"])
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64))),
+                 _sketch(minhashes(shingles, at, FINE))],
+                names=["doc_id", "shingles", "fine"])
 
 
 def _shared_keys(nodes: DataFrame, collections: int) -> DataFrame:
@@ -163,31 +171,66 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.join(heads.select("key", "head"), "key").select("key", "node", "head")
 
 
-def _agreeing(pairs: DataFrame, sketch: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and one-bit minhashes leave a link possible.
+def _possible(percent: int, hashes: int) -> str:
+    """SQL condition: sizes and four-bit minhashes of nodes a and b leave a link possible.
 
-    Sizes are a sharp bound. Of the one-bit minhashes a pair at the threshold
-    agrees in 1/2 + percent/200 on average; the bound lies 7 standard
-    deviations below.
+    Sizes are a sharp bound. Four-bit minhashes agree with probability
+    J + (1 - J)/16; the bound lies 5 standard deviations below the threshold's.
     """
-    used = min(128, hashes)
-    p = 0.5 + percent / 200
-    bound = used * p - 7 * (used * p * (1 - p)) ** 0.5 + (128 - used)
-    a = sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    return (pairs.join(a, "a").join(b, "b")
-            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .filter(F.expr("128 - bit_count(xa ^ xb) - bit_count(ya ^ yb)") >= bound)
-            .select("a", "b", "na", "nb"))
-
-
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full shingle sets are similar enough."""
-    pairs = scratch.write(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    p = percent / 100 + (1 - percent / 100) / 16
+    bound = hashes * (1 - p) + 5 * (hashes * p * (1 - p)) ** 0.5
+    differ = []
+    for k in range(-(-hashes // 16)):
+        e = f"(get(xa, {k}) ^ get(xb, {k}))"
+        folded = " | ".join([e, *[f"shiftrightunsigned({e}, {i})" for i in (1, 2, 3)]])
+        differ.append(f"bit_count(({folded}) & {0x1111111111111111}L)")
+    return f"least(na, nb) * 100 >= greatest(na, nb) * {percent} and {' + '.join(differ)} <= {bound}D"
+
+
+def _agreeing(pairs: DataFrame, sketch: DataFrame, possible: str) -> DataFrame:
+    a = sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"))
+    b = sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"))
+    return pairs.join(a, "a").join(b, "b").filter(possible).select("a", "b", "na", "nb")
+
+
+def _open_nodes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, part) of the nodes that share a bucket with another component."""
+    every = buckets.select("key", "node").unionByName(buckets.select("key", F.col("head").alias("node")))
+    placed = every.join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
+    return placed.join(mixed, "key").select("node", "part").distinct()
+
+
+def _across(nodes: DataFrame, sets: DataFrame, percent: int, possible: str) -> DataFrame:
+    """Pairs (a, b, na, nb) of ``nodes`` in different components that may link; loses none.
+
+    Of two sets similar enough, the ``n - ceil(n * percent / 100) + 1`` rarest
+    shingles of each (rarest among these nodes) share one. Passages that many
+    documents hold are common, so they bring no pairs together here.
+    """
+    rows = sets.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    held = rows.join(shared, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
+    # shingles of one node only come first in the order; the rest of the prefix is taken from the shared ones
+    prefix = nodes.join(held, "node").withColumn(
+        "take", F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 - (n - size(held)) as int)")).filter("take > 0")
+    prefix = prefix.select("node", "part", "n", "x", F.explode(F.slice("held", F.lit(1), F.col("take"))).alias("h"))
+    prefix = prefix.select("node", "part", "n", "x", F.col("h.s").alias("s"))
+    a, b = (prefix.select("s", F.col("node").alias(t), F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"),
+                          F.col("x").alias(f"x{t}")) for t in "ab")
+    coarse = a.join(b, "s").filter("a < b and pa <> pb").filter(possible).select("a", "b").distinct()
+    fine = nodes.select("node", "n").join(sets.select(F.col("doc_id").alias("node"), F.col("fine").alias("x")), "node")
+    return _agreeing(coarse, fine, _possible(percent, FINE))
+
+
+def _sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents whose ids ``wanted`` names."""
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = texts.mapInArrow(partial(_sets, width=width), _SETS).dropDuplicates(["doc_id"])
-    sets = scratch.write(sets)
+    return scratch.write(texts.mapInArrow(partial(_sets, width=width), _SETS).dropDuplicates(["doc_id"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose full shingle sets are similar enough."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
@@ -208,34 +251,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT,
     klass = ["n_shingles", "set_a", "set_b"]
     heads = member.groupBy(*klass).agg(F.min("doc_id").alias("node"))
     nodes = scratch.write(heads.join(
-        member.select("doc_id", "bits_a", "bits_b", "near").dropDuplicates(["doc_id"]),
+        member.select("doc_id", "bits", "near").dropDuplicates(["doc_id"]),
         F.col("node") == F.col("doc_id")).select(
-            "node", F.col("n_shingles").alias("n"), F.col("bits_a").alias("x"), F.col("bits_b").alias("y"), "near"))
-    sketch = nodes.select("node", "n", "x", "y")
-    hashes = 2 * collections * rows
+            "node", F.col("n_shingles").alias("n"), F.col("bits").alias("x"), "near"))
+    sketch = nodes.select("node", "n", "x")
+    possible = _possible(percent, 2 * collections * rows)
 
     buckets = scratch.write(_buckets(_shared_keys(nodes, collections)))
     stars = buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = scratch.write(_confirmed(scratch, docs, _agreeing(stars, sketch, percent, hashes), width, percent))
+    stars = scratch.write(_agreeing(stars, sketch, possible))
+    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    links = scratch.write(_confirmed(stars, _sets_of(scratch, docs, ends, width), percent))
     merged = scratch.write(connected_components(scratch, links))
 
-    # buckets that still hold more than one component: look at every pair across
-    placed = buckets.join(merged.withColumnRenamed("id", "node"), "node", "left").select(
-        "key", "node", F.coalesce("component_id", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    open_rows = scratch.write(placed.join(mixed, "key").join(sketch, "node"))
-    a = open_rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "part", "n", "x", "y")])
-    b = open_rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "part", "n", "x", "y")])
-    used = min(128, hashes)
-    p = 0.5 + percent / 200
-    bound = used * p - 7 * (used * p * (1 - p)) ** 0.5 + (128 - used)
-    across = a.join(b, "key").filter(
-        (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (F.expr("128 - bit_count(x_a ^ x_b) - bit_count(y_a ^ y_b)") >= bound))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"),
-                           F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
-    more = _confirmed(scratch, docs, across, width, percent)
+    parts = merged.select(F.col("id").alias("node"), F.col("component_id").alias("part"))
+    left = scratch.write(_open_nodes(buckets, parts).join(sketch, "node"))
+    sets = _sets_of(scratch, docs, left.select(F.col("node").alias("doc_id")), width)
+    more = _confirmed(_across(left, sets, percent, possible), sets, percent)
 
     # links across components, and the equal-set classes, complete the graph
     joined = merged.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
