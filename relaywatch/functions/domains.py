@@ -1,11 +1,10 @@
-"""Name to web domain, as a small dimension table joined by broadcast.
+"""Name to web domain, as a dimension table.
 
 Provider names resolve through a configured map, then the built-in map below
 (matched on the lower-cased name), then the name itself when it already looks
 like a domain. Project names resolve to themselves when they look like a
 domain, else through a configured map. The dimension holds one row per known
-name (the built-ins plus configuration), so its size is bounded by the
-configuration, not by the data -- which is what makes the broadcast safe.
+name (the built-ins plus configuration); Spark chooses the join by its size.
 """
 
 from __future__ import annotations
@@ -27,7 +26,6 @@ BUILTIN_PROVIDER_DOMAINS = {
 }
 
 DOMAIN_PATTERN = r"(?i)\.[a-z]{2,}$"
-MAX_DIMENSION_ROWS = 100_000
 
 
 def looks_like_domain(name: Column) -> Column:
@@ -35,8 +33,6 @@ def looks_like_domain(name: Column) -> Column:
 
 
 def _dimension(spark: SparkSession, mapping: dict[str, str], key: str) -> DataFrame:
-    if len(mapping) > MAX_DIMENSION_ROWS:
-        raise ValueError(f"domain map has {len(mapping)} entries; at most {MAX_DIMENSION_ROWS}")
     rows = sorted(mapping.items()) or [("", None)]
     return spark.createDataFrame(rows, f"{key} string, domain string")
 
@@ -48,8 +44,8 @@ def provider_domains(df: DataFrame, col: str = "provider",
     conf = _dimension(spark, {k.lower(): v for k, v in (configured or {}).items()}, "_cfg_key")
     builtin = _dimension(spark, BUILTIN_PROVIDER_DOMAINS, "_bi_key")
     low = F.lower(F.col(col))
-    out = (df.join(F.broadcast(conf.withColumnRenamed("domain", "_cfg")), low == F.col("_cfg_key"), "left")
-             .join(F.broadcast(builtin.withColumnRenamed("domain", "_bi")), low == F.col("_bi_key"), "left"))
+    out = (df.join(conf.withColumnRenamed("domain", "_cfg"), low == F.col("_cfg_key"), "left")
+             .join(builtin.withColumnRenamed("domain", "_bi"), low == F.col("_bi_key"), "left"))
     domain = F.coalesce(F.col("_cfg"), F.col("_bi"),
                         F.when(looks_like_domain(F.col(col)), F.col(col)))
     return out.withColumn("domain", domain).drop("_cfg_key", "_cfg", "_bi_key", "_bi")
@@ -59,7 +55,7 @@ def project_domains(df: DataFrame, col: str = "project",
                     configured: dict[str, str] | None = None) -> DataFrame:
     """Add ``domain`` for the project names in ``col``."""
     conf = _dimension(df.sparkSession, configured or {}, "_cfg_key")
-    out = df.join(F.broadcast(conf.withColumnRenamed("domain", "_cfg")), F.col(col) == F.col("_cfg_key"),
+    out = df.join(conf.withColumnRenamed("domain", "_cfg"), F.col(col) == F.col("_cfg_key"),
                   "left")
     domain = F.when(looks_like_domain(F.col(col)), F.col(col)).otherwise(F.col("_cfg"))
     return out.withColumn("domain", domain).drop("_cfg_key", "_cfg")

@@ -4,7 +4,7 @@ A9/A14 model stats, A16 project table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaywatch.functions import status as S
@@ -108,12 +108,11 @@ STAT_COLUMNS = ["calls", "spent_usd", "cost_per_call", "avg_latency_ms", "saved_
 def _with_share(df: DataFrame) -> DataFrame:
     """Calls over the total of the result rows (at least 1).
 
-    The window spans the whole *aggregated* result, one row per group, so the
-    single partition it needs holds group rows, not call rows.
+    The total is a one-row aggregate joined to the groups, so they stay spread.
     """
-    total = F.sum("calls").over(Window.partitionBy())
-    return df.withColumn("share", F.col("calls").cast("double") /
-                         F.greatest(total, F.lit(1)).cast("double"))
+    total = df.agg(F.sum("calls").alias("_total"))
+    return df.crossJoin(F.broadcast(total)).withColumn(
+        "share", F.col("calls").cast("double") / F.greatest("_total", F.lit(1)).cast("double")).drop("_total")
 
 
 def provider_stats(measures: DataFrame, sort: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ attempt without ``ok`` is not a fail here (it is in the event log, X14).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaywatch.functions import status as S
@@ -17,13 +17,11 @@ from relaywatch.functions.keys import attempt_provider
 from relaywatch.operators.breakdowns import provider_stats
 from relaywatch.operators.series import axis_array
 
-HEALTH_SAMPLE = 8000
-
 
 def recent_sample(scoped_calls: DataFrame, sample_limit: int | None) -> DataFrame:
     """The ``sample_limit`` most recent calls (ties by id), or all.
 
-    The limit is the reference's recency sample, a feature of the query.
+    A limit is for a caller that asks for a recency sample; the default is all.
     It runs in two exact phases so the heavy ``attempts`` column is read only
     for the sampled span, not for the whole window:
 
@@ -53,7 +51,7 @@ def recent_sample(scoped_calls: DataFrame, sample_limit: int | None) -> DataFram
 
 
 def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
-                  sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+                  sample_limit: int | None = None) -> DataFrame:
     """(provider, t) -> attempts, fails over the exploded attempts."""
     sample = recent_sample(scoped_calls, sample_limit)
     att = sample.select(W.bucket_floor(F.col("ts"), rng.bucket_seconds).alias("t"),
@@ -64,7 +62,7 @@ def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
 
 
 def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
-                    sample_limit: int | None = HEALTH_SAMPLE, sort: bool = True) -> DataFrame:
+                    sample_limit: int | None = None, sort: bool = True) -> DataFrame:
     """A11 (array form): provider, attempts, fail_rate, buckets; by attempts desc."""
     return health_from_cells(attempt_cells(scoped_calls, rng, sample_limit), rng, sort)
 
@@ -111,7 +109,7 @@ def long_form(health: DataFrame, rng: W.TimeRange) -> DataFrame:
 
 
 def provider_health_long(scoped_calls: DataFrame, rng: W.TimeRange,
-                         sample_limit: int | None = HEALTH_SAMPLE) -> DataFrame:
+                         sample_limit: int | None = None) -> DataFrame:
     """A11 in long form over the raw calls."""
     return long_form(provider_health(scoped_calls, rng, sample_limit, sort=False), rng)
 
@@ -122,7 +120,7 @@ PROVIDER_TABLE_COLUMNS = ["provider", "calls", "share", "rel_share", "tokens", "
 
 
 def provider_table(measures: DataFrame, scoped_calls: DataFrame | None, rng: W.TimeRange,
-                   sample_limit: int | None = HEALTH_SAMPLE,
+                   sample_limit: int | None = None,
                    health: DataFrame | None = None) -> DataFrame:
     """Provider stats (who served) full-outer-joined with attempt health.
 
@@ -142,7 +140,9 @@ def provider_table(measures: DataFrame, scoped_calls: DataFrame | None, rng: W.T
     filled = j.select("provider", *[F.expr(f"coalesce({c}, {v}) AS {c}") for c, v in zero.items()],
                       F.expr("coalesce(buckets, CAST(array() AS ARRAY<STRING>)) AS buckets"))
     # Share relative to the largest, over the aggregated rows only
-    top = F.greatest(F.max("share").over(Window.partitionBy()), F.lit(1e-9))
+    largest = filled.agg(F.max("share").alias("_largest"))     # one row
+    filled = filled.crossJoin(F.broadcast(largest))
+    top = F.greatest(F.col("_largest"), F.lit(1e-9))
     attempts, fail_rate = F.col("attempts"), F.col("fail_rate")
     return (filled.select(
         *PROVIDER_TABLE_COLUMNS[:3], (F.col("share") / top).alias("rel_share"),

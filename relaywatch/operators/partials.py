@@ -50,15 +50,14 @@ _ROW = {
     # Output tokens and generation time (latency - ttft) of the same rows
     "decode_out": f"CASE WHEN {_DECODE} THEN output_tokens END",
     "decode_ms": f"CASE WHEN {_DECODE} THEN latency_ms - ttft_ms END",
-    "seconds": "media_usage.seconds",
-    "outputs": "media_usage.outputs",
+    "seconds": "CAST(media_usage.seconds AS DECIMAL(18,6))",
+    "outputs": "CAST(media_usage.outputs AS DECIMAL(18,6))",
     # A10 evidence (P7) summed per key, so price drift reads the rollup too
     "drift_calls": f"CASE WHEN {DRIFT_EVIDENCE} THEN 1 END",
     "drift_cost": f"CASE WHEN {DRIFT_EVIDENCE} THEN cost_usd END",
     "drift_est": f"CASE WHEN {DRIFT_EVIDENCE} THEN est_cost_usd END",
 }
 MEASURES = list(_ROW)
-MAX_MEASURES = ["modality"]
 
 
 def row_measures(calls: DataFrame, extra: list[str] = ()) -> DataFrame:

@@ -34,6 +34,9 @@ WINDOWS = list(W.WINDOW_SECONDS)
 SCOPED_PROJECT = "borealis"
 SCOPED_PROVIDER = "eastgate"
 
+# The recency sample a dashboard panel may ask for; operators default to every call.
+HEALTH_PANEL_SAMPLE = 8000
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -76,7 +79,7 @@ def _drift(window, spark, sf_dir):
     return D.price_drift(sc)
 
 
-def _health(window, spark, sf_dir, sample=H.HEALTH_SAMPLE):
+def _health(window, spark, sf_dir, sample=None):
     sc, rng = _scan(spark, sf_dir, window)
     return H.provider_health_long(sc, rng, sample)
 
@@ -185,7 +188,8 @@ def spark_queries() -> dict[str, Query]:
         q[f"model_stats_{w}"] = partial(_measure_op, B.model_stats, w)
         q[f"price_drift_{w}"] = partial(_drift, w)
         q[f"provider_health_{w}"] = partial(_health, w)
-        q[f"provider_health_full_{w}"] = partial(_health, w, sample=None)
+        q[f"provider_health_full_{w}"] = partial(_health, w)
+        q[f"provider_health_sample_{w}"] = partial(_health, w, sample=HEALTH_PANEL_SAMPLE)
     q["project_table_7d"] = partial(_project_table, "7d")
     q["provider_table_7d"] = partial(_provider_table, "7d")
     q["failover_events_7d"] = partial(_events, "7d")
@@ -232,7 +236,8 @@ def oracle_sql() -> dict[str, str]:
         o[f"model_stats_{w}"] = O.model_stats(w)
         o[f"price_drift_{w}"] = O.price_drift(w)
         o[f"provider_health_{w}"] = O.provider_health(w)
-        o[f"provider_health_full_{w}"] = O.provider_health(w, sample=None)
+        o[f"provider_health_full_{w}"] = O.provider_health(w)
+        o[f"provider_health_sample_{w}"] = O.provider_health(w, sample=HEALTH_PANEL_SAMPLE)
     o["project_table_7d"] = O.project_table("7d")
     o["provider_table_7d"] = O.provider_table("7d")
     o["failover_events_7d"] = O.failover_events("7d")

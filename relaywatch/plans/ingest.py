@@ -9,8 +9,6 @@ checkpoint in the shared checkpoint folder instead of staging files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +17,6 @@ from relaywatch.sources import sink
 from relaywatch.sources.fixture import fixture_calls, record_lines
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str, batch_id: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
-
-    Cuts the lineage at a point every later step reuses; a lost executor
-    re-reads staged files instead of re-running the parse.
-    """
-    from relaywatch.session import checkpoint_dir
-
-    path = os.path.join(checkpoint_dir(spark), "ingest-staging", f"{name}-{batch_id}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def write_quarantine(rejects: DataFrame, path: str, batch_id: str) -> None:
     """S6 sink: rejected lines, partitioned by batch so a replay overwrites."""
     (rejects.withColumn(sink.BATCH_COLUMN, F.lit(str(batch_id)))
@@ -41,14 +26,21 @@ def write_quarantine(rejects: DataFrame, path: str, batch_id: str) -> None:
 
 def ingest_lines(spark: SparkSession, lines: DataFrame, table_path: str, quarantine_path: str,
                  batch_id: str, order: list[str] = sink.ARRIVAL, explicit_ts: bool = False,
-                 arrival_ts: Column | None = None, id_horizon_days: int | None = None) -> dict:
-    """Parse, quarantine, deduplicate and append one batch of lines."""
-    parsed = stage(spark, Rec.parse(lines, arrival_ts=arrival_ts, explicit_ts=explicit_ts),
-                   "parsed", batch_id)
+                 arrival_ts: Column | None = None) -> dict:
+    """Parse, quarantine, deduplicate and append one batch of lines.
+
+    The parsed lines are staged under the shared checkpoint folder, which cuts
+    the lineage at a point every later step reuses, and removed at the end.
+    """
+    if arrival_ts is None:
+        arrival_ts = sink.pinned_arrival(spark, table_path, batch_id)
+    staged = sink.staging(spark, table_path, "parsed", batch_id)
+    Rec.parse(lines, arrival_ts=arrival_ts, explicit_ts=explicit_ts).write.mode("overwrite").parquet(staged)
+    parsed = spark.read.parquet(staged)
     write_quarantine(Rec.quarantine(parsed).drop(*[c for c in order if c in parsed.columns]),
                      quarantine_path, batch_id)
-    fresh = sink.append(spark, Rec.accepted(parsed), table_path, batch_id, order=order,
-                        id_horizon_days=id_horizon_days)
+    fresh = sink.append(spark, Rec.accepted(parsed), table_path, batch_id, order=order)
+    sink.drop_staging(spark, staged)
     return {"batch_id": batch_id, "written": fresh}
 
 
@@ -59,13 +51,6 @@ def ingest_files(spark: SparkSession, source: str, table_path: str, quarantine_p
                         batch_id, explicit_ts=explicit_ts)
 
 
-STORED_COLUMNS = ["id", "project", "ts", "model", "winner", "ok", "failed_over", "latency_ms",
-                  "ttft_ms", "input_tokens", "output_tokens", "cost_usd", "baseline_usd",
-                  "cached_saving_usd", "cached_input_tokens", "n_attempts", "first_attempt",
-                  "modality", "media_seconds", "baseline_kind", "official_usd", "est_cost_usd",
-                  "provider_key", "model_key"]
-
-
 def parsed_batch(spark: SparkSession, lines: DataFrame, explicit_ts: bool = True) -> DataFrame:
     """Parse a batch and cut the lineage, as ``ingest_lines`` does by staging.
 

@@ -49,7 +49,7 @@ def change_from_rollup(calls: DataFrame, rollup: DataFrame, cur: W.TimeRange, pr
 
 def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datetime | str,
              project: str = ALL, provider: str = ALL, rollup: DataFrame | None = None,
-             sample_limit: int | None = H.HEALTH_SAMPLE) -> dict[str, DataFrame]:
+             sample_limit: int | None = None, drift_limit: int | None = 20) -> dict[str, DataFrame]:
     """C1 (``project`` is ``all``) or C2 (one project): every panel."""
     window = W.as_window(window)
     cur, prev = W.current(window, as_of), W.previous(window, as_of)
@@ -75,7 +75,7 @@ def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datet
         "provider_table": H.provider_table(both, rows, cur, sample_limit),
         "model_stats": B.model_stats(both),
         "failover_events": E.failover_events(rows),
-        "price_drift": D.price_drift(rows),
+        "price_drift": D.price_drift(rows, drift_limit),
     }
     out["stat_flags"] = Mt.stat_flags(out["metrics"])
     if proj is None:

@@ -57,6 +57,9 @@ _COLUMNS = [
     ("est_cost_usd", MONEY, True, None),
 ]
 
+# every file has these and scopes filter on them: read bare, so that filters reach the scan
+PUSHED = {"project"}
+
 RECORD_COLUMNS = [c[0] for c in _COLUMNS]
 KEY_COLUMNS = ["provider_key", "model_key"]
 PARTITION_COLUMN = "ts_date"
@@ -90,7 +93,9 @@ def conform(df: DataFrame) -> DataFrame:
     cols = []
     for name, dtype, _, default in _COLUMNS:
         if name in present:
-            cols.append(F.col(name).cast(dtype).alias(name))
+            column = F.col(name).cast(dtype)
+            filled = default is not None and name not in PUSHED or name == "attempts"
+            cols.append((F.coalesce(column, _default(name, dtype, default)) if filled else column).alias(name))
         else:
             cols.append(_default(name, dtype, default).alias(name))
     extra = [c for c in (*KEY_COLUMNS, PARTITION_COLUMN) if c in present]

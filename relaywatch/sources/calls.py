@@ -21,14 +21,18 @@ ALL = "all"
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """Read a calls table written by :mod:`relaywatch.sources.sink`.
 
-    The declared schema makes the read free of inference; files from before
-    a column existed come back with that column's default (S8).
+    The read takes the declared schema, whatever any one file holds: columns
+    that older files lack come back with their default (S8), date by date. The
+    sink has always written the key columns, so in its layout they are read as
+    stored and a scope on them is pushed to the scan; a folder of plain files
+    (no ``ts_date=`` partitions) may lack them and gets them computed.
     """
-    df = spark.read.option("mergeSchema", "false").parquet(path)
-    keys = [c for c in KEY_COLUMNS if c in df.columns]
-    out = conform(df)
-    if len(keys) < len(KEY_COLUMNS) or "ts_date" not in df.columns:
-        out = with_keys(out.drop(*KEY_COLUMNS, "ts_date"))
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ts_date=*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.globStatus(pattern):
+        out = conform(spark.read.schema(CALLS_SCHEMA).parquet(path))
+    else:
+        out = with_keys(conform(spark.read.option("mergeSchema", "true").parquet(path)).drop(*KEY_COLUMNS, "ts_date"))
     return out.select(*[f.name for f in CALLS_SCHEMA.fields])
 
 

@@ -34,18 +34,8 @@ def money(n: Column) -> Column:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's ``events`` table, spread over the cores when it is one split.
-
-    A file holding a single row group reads as one task, so the per-row
-    derivation would run on one core. Only then is it spread (round robin);
-    a source with at least as many splits as cores -- any real volume -- is
-    read as it is, with no shuffle.
-    """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
-    return events
+    """The driver's ``events`` table as it is split on disk."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def calls_from_events(events: DataFrame) -> DataFrame:

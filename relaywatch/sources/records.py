@@ -203,8 +203,12 @@ def parse(lines: DataFrame, text_col: str = "value", arrival_ts: Column | None =
     failed_over, bad_fo = _bool_value("fo", False)
 
     ts = arrival_ts if arrival_ts is not None else F.current_timestamp()
+    bad_ts = F.lit(False)
     if explicit_ts:
-        ts = F.coalesce(_get("ts", "timestamp"), ts)
+        given = _get("ts", "timestamp")
+        # A malformed time is a bad value, not "now"
+        bad_ts = F.coalesce(_kind("ts") != "VOID", F.lit(False)) & given.isNull()
+        ts = F.coalesce(given, ts)
 
     def text_or_null(stem: str) -> Column:
         return F.when(_kind(stem) == "STRING", _get(stem, "string"))
@@ -228,7 +232,7 @@ def parse(lines: DataFrame, text_col: str = "value", arrival_ts: Column | None =
         text_or_null("bk").alias("baseline_kind"),
         official.alias("official_usd"), est.alias("est_cost_usd"),
         (bad_latency | bad_ttft | bad_inp | bad_out | bad_cin | bad_cost | bad_base | bad_csave
-         | bad_official | bad_est | bad_fo).alias("_bad"),
+         | bad_official | bad_est | bad_fo | bad_ts).alias("_bad"),
     )
     reason = (F.when(F.col("_invalid"), F.lit(INVALID_JSON))
                .when(~F.col("_shape_ok"), F.lit(NOT_A_RECORD))
@@ -252,11 +256,13 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines files as (value, arrival order) rows.
 
-    Arrival order is file name, then position in the file: the block start
-    and the row number inside the task, which increases along the file.
+    Arrival order is the file's modification time, then its name (two files of
+    one instant), then the position in the file: the block start and the row
+    number inside the task, which increases along the file.
     """
     return spark.read.text(path).select(
         F.col("value"),
-        F.input_file_name().alias("_file"),
-        F.input_file_block_start().alias("_block"),
+        F.col("_metadata.file_modification_time").alias("_modified"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"))

@@ -6,77 +6,96 @@ First write wins on ``id``, as ``INSERT ... ON CONFLICT DO NOTHING`` does:
    (``min_by`` over the arrival order), not a window: partial aggregation
    collapses repeats of one id inside each task before the shuffle, so a
    retry storm on a single id never lands whole in one task.
-2. **Already stored ids** are found by a semi join of the stored ``id``
-   column against the batch's ids. When the batch's distinct ids are at most
-   ``broadcast_ids`` (checked with a count), the batch side is broadcast and
-   the stored side is only scanned -- no shuffle of the big table; above the
-   bound it is a regular shuffled join. ``id_horizon_days`` optionally
-   limits the stored side to recent dates (partition pruning) when the
-   retry horizon of the writers is known; the default checks everything,
-   which reads the ``id`` column of every date -- at 100 TB set the horizon
-   (retries arrive within minutes), since ids carry no order to prune on.
-   Files carry a Parquet bloom filter on ``id`` for point lookups.
-3. **Write**: rows go to ``ts_date=.../ingest_batch=<batch id>`` with dynamic
-   partition overwrite. Re-running a batch after a failure (a lost executor,
-   a stream restart) rewrites exactly its own partitions, and its own earlier
-   output is excluded from step 2, so the outcome is the same as one clean
-   run. Rows are sorted by (project, ts) inside files (S9).
+2. **Already stored ids** drop out by an anti join against the ``id`` column of
+   every stored date; Spark chooses the join by the sizes it measures. First
+   write wins over the whole table: there is no horizon beyond which an id
+   would be stored again.
+3. **Write**: rows go to ``ts_date=.../ingest_batch=<batch id>``. A batch's
+   arrival time is pinned next to the table the first time it runs
+   (:func:`pinned_arrival`), and a re-run first removes whatever its earlier
+   attempt wrote, under any date; that output is excluded from step 2 too. A
+   re-run after a failure, or after midnight, so ends as one clean run would.
+   Rows are sorted by (project, ts) inside files (S9).
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import hashlib
 import os
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from relaywatch.schema import CALLS_SCHEMA
 
-BROADCAST_IDS = 2_000_000
 BATCH_COLUMN = "ingest_batch"
-ARRIVAL = ["_file", "_block", "_pos"]
+ARRIVAL = ["_modified", "_file", "_block", "_pos"]
+STORED_SCHEMA = T.StructType([*CALLS_SCHEMA.fields, T.StructField(BATCH_COLUMN, T.StringType())])
 
 
 def dedupe_batch(rows: DataFrame, order: list[str]) -> DataFrame:
     """Keep the earliest row per id by the arrival columns ``order``."""
     cols = [f.name for f in CALLS_SCHEMA.fields]
-    first = F.min_by(F.struct(*cols), F.struct(*order)).alias("r")
+    first = F.min_by(F.struct(*cols), F.struct(*[c for c in order if c in rows.columns])).alias("r")
     return rows.groupBy("id").agg(first).select("r.*")
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds any files (the table has been written)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath)) and len(fs.listStatus(hpath)) > 0
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored_ids(spark: SparkSession, path: str, batch_id: str,
-               since: dt.date | None = None) -> DataFrame | None:
-    if not table_exists(spark, path):
+def pinned_arrival(spark: SparkSession, path: str, batch_id: str) -> Column:
+    """The arrival time of a batch, fixed when the batch first runs.
+
+    It is kept as a file name under the table's ``_batches`` folder (readers
+    skip folders that begin with an underscore).
+    """
+    folder, fs = _path(spark, os.path.join(path, "_batches", str(batch_id)))
+    if not fs.exists(folder) or not fs.listStatus(folder):
+        fs.mkdirs(folder)
+        mark, _ = _path(spark, os.path.join(path, "_batches", str(batch_id), str(time.time_ns() // 1000)))
+        fs.create(mark).close()
+    return F.timestamp_micros(F.lit(min(int(f.getPath().getName()) for f in fs.listStatus(folder))))
+
+
+def remove_batch(spark: SparkSession, path: str, batch_id: str) -> None:
+    """Remove what an earlier attempt of a batch wrote, under whatever date."""
+    pattern, fs = _path(spark, os.path.join(path, "ts_date=*", f"{BATCH_COLUMN}={batch_id}"))
+    for found in fs.globStatus(pattern) or []:
+        fs.delete(found.getPath(), True)
+
+
+def staging(spark: SparkSession, table: str, name: str, batch_id: str) -> str:
+    """Scratch path of one table's batch; two tables never share one."""
+    from relaywatch.session import checkpoint_dir
+
+    owner = hashlib.sha256(table.encode()).hexdigest()[:16]
+    return os.path.join(checkpoint_dir(spark), "ingest-staging", owner, f"{name}-{batch_id}")
+
+
+def drop_staging(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        hpath, fs = _path(spark, p)
+        fs.delete(hpath, True)
+
+
+def stored_ids(spark: SparkSession, path: str, batch_id: str) -> DataFrame | None:
+    """Ids stored by other batches; None when nothing is stored yet."""
+    pattern, fs = _path(spark, os.path.join(path, "ts_date=*"))
+    if not fs.globStatus(pattern):
         return None
-    stored = spark.read.parquet(path)
-    if since is not None:
-        stored = stored.where(F.col("ts_date") >= F.lit(since))
-    return stored.where(F.col(BATCH_COLUMN) != F.lit(batch_id)).select("id")
+    stored = spark.read.schema(STORED_SCHEMA).parquet(path)
+    return stored.where(F.col(BATCH_COLUMN) != F.lit(str(batch_id))).select("id")
 
 
-def new_rows(spark: SparkSession, batch: DataFrame, path: str, batch_id: str,
-             id_horizon_days: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def new_rows(spark: SparkSession, batch: DataFrame, path: str, batch_id: str) -> DataFrame:
     """Rows of an already deduplicated batch whose id is not stored yet."""
-    since = None
-    if id_horizon_days is not None:
-        since = dt.datetime.now(dt.timezone.utc).date() - dt.timedelta(days=id_horizon_days)
-    stored = stored_ids(spark, path, batch_id, since)
-    if stored is None:
-        return batch
-    ids = batch.select("id")
-    if ids.count() <= broadcast_ids:
-        present = stored.join(F.broadcast(ids), "id", "left_semi")
-        return batch.join(F.broadcast(present), "id", "left_anti")
-    return batch.join(stored, "id", "left_anti")
+    stored = stored_ids(spark, path, batch_id)
+    return batch if stored is None else batch.join(stored, "id", "left_anti")
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
@@ -86,26 +105,20 @@ def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
     # the rows into several right-sized tasks instead of one
     (out.hint("rebalance", "ts_date").sortWithinPartitions("project", "ts")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     # a bloom filter per row group on ``id`` lets id lookups skip row groups
-     .option("parquet.bloom.filter.enabled#id", "true")
      .partitionBy("ts_date", BATCH_COLUMN).parquet(path))
 
 
 def append(spark: SparkSession, accepted: DataFrame, path: str, batch_id: str,
-           order: list[str] = ARRIVAL, id_horizon_days: int | None = None,
-           broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+           order: list[str] = ARRIVAL) -> DataFrame:
     """S4 + S7: dedupe, drop stored ids, write. Returns the rows written.
 
-    The deduplicated batch is written to the checkpoint folder first and read
-    back, so the id count, the semi join and the final write all reuse one
-    materialized input instead of re-reading and re-parsing the source.
+    The rows to add are staged in the checkpoint folder before the batch's
+    earlier output is removed, so a failure in between loses nothing: the
+    re-run starts from the same input.
     """
-    from relaywatch.session import checkpoint_dir
-
-    deduped = dedupe_batch(accepted, order)
-    staged_path = os.path.join(checkpoint_dir(spark), "ingest-staging", str(batch_id))
-    deduped.write.mode("overwrite").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-    fresh = new_rows(spark, staged, path, batch_id, id_horizon_days, broadcast_ids)
-    write_batch(fresh, path, batch_id)
-    return fresh
+    staged = staging(spark, path, "fresh", batch_id)
+    new_rows(spark, dedupe_batch(accepted, order), path, batch_id).write.mode("overwrite").parquet(staged)
+    remove_batch(spark, path, batch_id)
+    write_batch(spark.read.schema(CALLS_SCHEMA).parquet(staged), path, batch_id)
+    drop_staging(spark, staged)
+    return spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col(BATCH_COLUMN) == F.lit(str(batch_id))).drop(BATCH_COLUMN)

@@ -9,8 +9,9 @@ Exactly-once under failure comes from three facts:
 * the arrival time is ``current_timestamp()`` evaluated *in the stream*, which
   Structured Streaming pins to the micro-batch's timestamp recorded in the
   offset log, so a replayed batch gets the same ``ts`` (and ``ts_date``);
-* the batch id written with the rows is derived from the epoch id, and the
-  sink overwrites exactly that batch's partitions on replay;
+* the batch id written with the rows is the query id that its checkpoint keeps
+  and the epoch, so a replay replaces its own rows and a new checkpoint, which
+  counts its epochs from 0 again, never meets another query's;
 * the anti join excludes the batch's own earlier output, so a replay
   recomputes the same rows instead of finding them "already stored".
 """
@@ -33,14 +34,14 @@ def record_stream(spark: SparkSession, source_dir: str,
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .load(source_dir)
             .select(F.col("value"),
-                    F.input_file_name().alias("_file"),
-                    F.input_file_block_start().alias("_block"),
+                    F.col("_metadata.file_modification_time").alias("_modified"),
+                    F.col("_metadata.file_path").alias("_file"),
+                    F.col("_metadata.file_block_start").alias("_block"),
                     F.current_timestamp().alias("_arrival")))
 
 
 def start(spark: SparkSession, source_dir: str, table_path: str, quarantine_path: str,
           checkpoint: str, stream_name: str = "ingest", trigger: dict | None = None,
-          id_horizon_days: int | None = None,
           max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
     """Start the ingest stream; ``trigger`` as for ``DataStreamWriter.trigger``
     (default: process what is available, then stop)."""
@@ -48,8 +49,9 @@ def start(spark: SparkSession, source_dir: str, table_path: str, quarantine_path
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         # position inside the file split; the micro-batch is a static frame here
         batch = batch.withColumn("_pos", F.monotonically_increasing_id())
-        ingest_lines(spark, batch, table_path, quarantine_path, batch_id=f"{stream_name}-{epoch_id:012d}",
-                     arrival_ts=F.col("_arrival"), id_horizon_days=id_horizon_days)
+        query = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        ingest_lines(spark, batch, table_path, quarantine_path, arrival_ts=F.col("_arrival"),
+                     batch_id=f"{stream_name}-{query}-{epoch_id:012d}")
 
     lines = record_stream(spark, source_dir, max_files_per_trigger)
     writer = (lines.writeStream.foreachBatch(run_batch)

@@ -94,13 +94,13 @@ def test_first_write_wins_and_replay(spark, scratch):
     assert got == [("a", "first"), ("b", "m"), ("c", "m")]
 
 
-def test_shuffled_anti_join_above_broadcast_bound(spark, scratch):
+def test_stored_ids_drop_out_of_a_batch(spark, scratch):
     table = f"{scratch}/calls"
     first = Rec.accepted(Rec.parse(spark.createDataFrame([(rec(id="a"), 0)], "value string, _seq long")))
     sink.write_batch(sink.dedupe_batch(first, ["_seq"]), table, "b1")
     batch = Rec.accepted(Rec.parse(spark.createDataFrame(
         [(rec(id="a"), 0), (rec(id="z"), 1)], "value string, _seq long")))
-    fresh = sink.new_rows(spark, sink.dedupe_batch(batch, ["_seq"]), table, "b2", broadcast_ids=0)
+    fresh = sink.new_rows(spark, sink.dedupe_batch(batch, ["_seq"]), table, "b2")
     assert [r["id"] for r in fresh.collect()] == ["z"]
 
 
@@ -115,3 +115,52 @@ def test_older_files_without_new_columns(spark, scratch):
     r = read_calls(spark, path).first()
     assert r["ttft_ms"] is None and float(r["baseline_usd"]) == 0.0 and r["cached_input_tokens"] == 0
     assert r["provider_key"] == "x" and r["model_key"] == "m" and r["modality"] is None
+
+
+def test_batch_rerun_with_another_arrival_replaces_itself(spark, scratch):
+    """A re-run after midnight carries another date; nothing may stay under the first."""
+    table, quar = f"{scratch}/calls", f"{scratch}/quar"
+    df = spark.createDataFrame([(rec(id="a"), 0), (rec(id="b"), 1)], "value string, _seq long")
+    for day in ("2024-01-01 23:59:59", "2024-01-02 00:00:01"):
+        I.ingest_lines(spark, df, table, quar, "b1", order=["_seq"], arrival_ts=F.lit(day).cast("timestamp"))
+    assert sorted(r["id"] for r in read_calls(spark, table).collect()) == ["a", "b"]
+    # without an explicit arrival the batch's first one is pinned
+    I.ingest_lines(spark, df.where("_seq < 0"), f"{scratch}/other", quar, "b2", order=["_seq"])
+    one = sink.pinned_arrival(spark, f"{scratch}/other", "b2")
+    two = sink.pinned_arrival(spark, f"{scratch}/other", "b2")
+    row = spark.range(1).select(one.alias("x"), two.alias("y")).first()
+    assert row["x"] == row["y"]
+
+
+def test_tables_with_equal_batch_ids_do_not_share_staging(spark, scratch):
+    one, two = sink.staging(spark, f"{scratch}/a", "parsed", "b"), sink.staging(spark, f"{scratch}/b", "parsed", "b")
+    assert one != two
+
+
+def test_old_ids_are_stored_once_however_old(spark, scratch):
+    table, quar = f"{scratch}/calls", f"{scratch}/quar"
+    line = rec(id="old", ts="2020-01-01T00:00:00Z")
+    df = spark.createDataFrame([(line, 0)], "value string, _seq long")
+    for batch in ("b1", "b2"):
+        I.ingest_lines(spark, df, table, quar, batch, order=["_seq"], explicit_ts=True)
+    assert read_calls(spark, table).count() == 1
+
+
+def test_malformed_explicit_time_is_rejected(spark):
+    df = spark.createDataFrame([(rec(ts="yesterday"), 0), (rec(ts="2024-01-01T00:00:00Z"), 1)], "value string, _seq long")
+    got = {r["_seq"]: r["reason"] for r in Rec.parse(df, explicit_ts=True).collect()}
+    assert got == {0: "bad_value", 1: None}
+
+
+def test_dates_of_different_age_read_right_together(spark, scratch):
+    """An old date without some columns does not hide them in the new one."""
+    path = f"{scratch}/calls"
+    lines = [rec(id=f"n{k}", baselineUsd=2, estCostUsd=1) for k in range(3)]
+    rows = Rec.accepted(Rec.parse(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, _seq long"),
+                                  arrival_ts=F.lit("2024-01-02 00:00:00").cast("timestamp")))
+    sink.write_batch(sink.dedupe_batch(rows, ["_seq"]), path, "new")
+    old = rows.withColumn("id", F.concat(F.lit("o"), "id")).drop("baseline_usd", "est_cost_usd", "_seq", "ts_date")
+    old.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(f"{path}/ts_date=2024-01-01/ingest_batch=old")
+    got = read_calls(spark, path).groupBy("ts_date").agg(
+        F.count("*").alias("n"), F.sum("baseline_usd").cast("double").alias("b"), F.count("est_cost_usd").alias("e")).orderBy("ts_date")
+    assert [tuple(r)[1:] for r in got.collect()] == [(3, 0.0, 0), (3, 6.0, 3)]

@@ -46,6 +46,15 @@ def test_stream_ingest_is_exactly_once(spark, scratch):
     assert read_calls(spark, f"{scratch}/calls").count() == n_events
 
 
+def test_new_checkpoint_with_other_files_keeps_stored_calls(spark, scratch):
+    """Epochs of a new checkpoint start at 0 again; they are not the first query's."""
+    for k, name in enumerate("xy"):
+        line = '{"id": "%s", "model": "m", "ok": true, "attempts": []}' % name
+        spark.createDataFrame([(line,)], "value string").write.text(f"{scratch}/{name}")
+        SI.start(spark, f"{scratch}/{name}", f"{scratch}/calls", f"{scratch}/quar", f"{scratch}/ck{k}").awaitTermination()
+    assert sorted(r["id"] for r in read_calls(spark, f"{scratch}/calls").collect()) == ["x", "y"]
+
+
 def test_stream_rollup_matches_batch_rollup(spark, scratch):
     lines = record_lines(fixture_calls(spark, SF_SMALL))
     I.ingest_lines(spark, lines, f"{scratch}/calls", f"{scratch}/quar", "bulk", order=["_seq"],
