@@ -20,9 +20,12 @@ Bounded work in hot groups: equal sets are one node from the start. In a table
 bucket every set is paired with the smallest id of the bucket only; those star
 pairs are verified and merged first. Pairs of a bucket whose ends are connected
 by then need no look. The nodes of buckets that still hold several components
-are compared across components by their rarest shingles: a shared passage of
-which many documents consist in part makes no pairs, and no link is lost. Every link is
-confirmed on the full sets.
+are compared across components by their rarest shingles. Where more than
+``DIRECT`` nodes meet at a shingle they are not paired: each is compared with the
+smallest set there, its centre, and two of them are paired only if they share rare
+elements of their differences from the centre (see ``_by_centre``). A passage of
+which many documents consist in part makes no pairs, and no link is lost. Every
+link is confirmed on the full sets.
 
 Rows with a null id come back with a null component and ``kept`` true. Rows
 that repeat an id are one document each for ``n_shingles``; they share the
@@ -48,6 +51,7 @@ ROWS = 3           # minhashes in a collection
 WIDTH = 4          # words in a shingle of the contract query
 PERCENT = 80
 FINE = 256         # minhashes that tell pairs across components apart before their sets are read
+DIRECT = 16        # nodes at a rare shingle that are paired directly; more go by their centre
 
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, near array<long>"
 _SETS = "doc_id long, shingles array<long>, fine array<long>"
@@ -201,26 +205,79 @@ def _open_nodes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(mixed, "key").select("node", "part").distinct()
 
 
-def _across(nodes: DataFrame, sets: DataFrame, percent: int, possible: str) -> DataFrame:
-    """Pairs (a, b, na, nb) of ``nodes`` in different components that may link; loses none.
+def _rarest(rows: DataFrame, key: list[str], owner: list[str], element: str) -> DataFrame:
+    """(owner, held): elements that several rows of ``key`` hold, rarest first."""
+    shared = rows.groupBy(*key).agg(F.count("*").alias("f")).filter("f > 1")
+    return rows.join(shared, key).groupBy(*owner).agg(
+        F.array_sort(F.collect_list(F.struct("f", element))).alias("held"))
+
+
+def _across(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int, possible: str) -> DataFrame:
+    """Linked pairs (a, b) of ``nodes`` in different components; loses none that joins components.
 
     Of two sets similar enough, the ``n - ceil(n * percent / 100) + 1`` rarest
-    shingles of each (rarest among these nodes) share one. Passages that many
-    documents hold are common, so they bring no pairs together here.
+    shingles of each (rarest among these nodes) share one.
     """
     rows = sets.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
-    shared = rows.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    held = rows.join(shared, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
     # shingles of one node only come first in the order; the rest of the prefix is taken from the shared ones
-    prefix = nodes.join(held, "node").withColumn(
+    prefix = nodes.join(_rarest(rows, ["s"], ["node"], "s"), "node").withColumn(
         "take", F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 - (n - size(held)) as int)")).filter("take > 0")
     prefix = prefix.select("node", "part", "n", "x", F.explode(F.slice("held", F.lit(1), F.col("take"))).alias("h"))
-    prefix = prefix.select("node", "part", "n", "x", F.col("h.s").alias("s"))
-    a, b = (prefix.select("s", F.col("node").alias(t), F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"),
-                          F.col("x").alias(f"x{t}")) for t in "ab")
-    coarse = a.join(b, "s").filter("a < b and pa <> pb").filter(possible).select("a", "b").distinct()
+    prefix = scratch.write(prefix.select("node", "part", "n", "x", F.col("h.s").alias("s")))
+    meets = scratch.write(prefix.groupBy("s").agg(
+        F.count("*").alias("holders"), F.min("part").alias("p"), F.max("part").alias("q"),
+        F.min(F.struct("n", "node")).alias("c")).filter("p <> q").select("s", "holders", F.col("c.node").alias("c")))
+    few = prefix.join(meets.filter(F.col("holders") <= DIRECT).select("s"), "s")
+    a, b = (few.select("s", F.col("node").alias(t), F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"),
+                       F.col("x").alias(f"x{t}")) for t in "ab")
+    direct = a.join(b, "s").filter("a < b and pa <> pb").filter(possible).select("a", "b")
+    stars = prefix.select("s", "node").join(meets.filter(F.col("holders") > DIRECT).select("s", "c"), "s")
+    links, indirect = _by_centre(scratch, stars.filter("node <> c").select("node", "c").distinct(),
+                                 nodes, sets, percent, possible)
+    coarse = direct.unionByName(indirect).distinct()
     fine = nodes.select("node", "n").join(sets.select(F.col("doc_id").alias("node"), F.col("fine").alias("x")), "node")
-    return _agreeing(coarse, fine, _possible(percent, FINE))
+    return links.unionByName(_confirmed(_agreeing(coarse, fine, _possible(percent, FINE)), sets, percent))
+
+
+def _by_centre(scratch: Scratch, stars: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
+               possible: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of nodes with their centres, and pairs (a, b) around a centre that may link.
+
+    With t the threshold and k = (1 - t) / (1 + t), sets a and b link exactly if
+    their symmetric difference has at most k (na + nb) elements. It has
+    da + db - 2 o, where da and db count the differences from centre c and o the
+    elements these two differences share. Two nodes that both link with c are
+    connected already. If b does not, db > k (nb + nc), so a link needs
+    o > (da - k na + k nc) / 2; and any b has db - k nb >= -k nc, so a link of an
+    unlinked a needs o >= (da - k na - k nc) / 2, above zero. The rarest
+    ``da - o + 1`` elements of either difference then share one.
+    """
+    left = stars.join(sets.select(F.col("doc_id").alias("node"), F.col("shingles").alias("sa")), "node")
+    both = left.join(sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("sc")), "c")
+    both = both.select("c", "node", F.size("sa").cast("long").alias("n"), F.size("sc").cast("long").alias("nc"),
+                       F.concat(F.array_except("sa", "sc"), F.array_except("sc", "sa")).alias("apart"))
+    up, down = 100 + percent, 100 - percent
+    around = scratch.write(both.withColumn("d", F.size("apart").cast("long")).withColumn(
+        "linked", F.expr(f"d * {up} <= (n + nc) * {down}")))
+    links = around.filter("linked").select(F.col("node").alias("a"), F.col("c").alias("b"))
+
+    elements = around.select("c", "node", F.explode("apart").alias("e"))
+    rare = around.select("c", "node", "n", "nc", "d", "linked").join(
+        _rarest(elements, ["c", "e"], ["c", "node"], "e"), ["c", "node"])
+    rare = rare.selectExpr(
+        "c", "node", "linked", "held",
+        f"cast(size(held) - floor((d * {up} + (nc - n) * {down}) / {2 * up}) as int) as to_open",
+        f"cast(size(held) + 1 - ceil((d * {up} - (nc + n) * {down}) / {2 * up}) as int) as to_linked")
+    rare = rare.withColumn("take", F.when(F.col("linked"), F.col("to_open")).otherwise(
+        F.greatest("to_open", "to_linked"))).filter("take > 0")
+    rare = rare.select("c", "node", "linked", "to_open", F.posexplode(F.slice("held", F.lit(1), F.col("take"))).alias("at", "h"))
+    rare = scratch.write(rare.select("c", "node", F.col("h.e").alias("e"), "linked", (F.col("at") < F.col("to_open")).alias("open"))
+                         .join(nodes, "node"))
+    a, b = (rare.select("c", "e", F.col("node").alias(t), F.col("linked").alias(f"l{t}"), F.col("open").alias(f"o{t}"),
+                        F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"), F.col("x").alias(f"x{t}")) for t in "ab")
+    pairs = a.filter("not la").join(b, ["c", "e"]).filter(
+        "pa <> pb and (lb or (a < b and oa and ob))").filter(possible)
+    return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -267,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT,
     parts = merged.select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     left = scratch.write(_open_nodes(buckets, parts).join(sketch, "node"))
     sets = _sets_of(scratch, docs, left.select(F.col("node").alias("doc_id")), width)
-    more = _confirmed(_across(left, sets, percent, possible), sets, percent)
+    more = scratch.write(_across(scratch, left, sets, percent, possible))
 
     # links across components, and the equal-set classes, complete the graph
     joined = merged.select(F.col("id").alias("a"), F.col("component_id").alias("b"))

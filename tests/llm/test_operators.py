@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 from conftest import SF_SMALL
 from relaywatch.llm import (bpe, catalog, decontaminate, embedding_dedup, langid, licenses, minhash_dedup, packing, secret_scan,
                             suffix_dedup, toxicity)
+from relaywatch.llm.common import Scratch
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, part int, n long, key string"
@@ -305,6 +307,40 @@ def test_minhash_dedup(spark, width):
     assert minhash_dedup.near_duplicates(frame(spark, []), width=width).count() == 0
 
 
+@pytest.mark.parametrize("edits", [3, 6])
+def test_minhash_across_components(spark, edits):
+    """Crowds at one shingle: independent and shared edits of a text, and a passage in other texts."""
+    rng = random.Random(edits)
+    words = [f"w{k}" for k in range(3000)]
+    base, passage = rng.choices(words, k=100), rng.choices(words, k=70)
+    changes = [(k, rng.choice(words)) for k in rng.sample(range(100), 12)]
+    rows = []
+    for k in range(40):
+        alone, alike = list(base), list(base)
+        for _ in range(rng.randrange(1, edits)):
+            alone[rng.randrange(100)] = rng.choice(words)
+        for at, word in rng.sample(changes, edits):
+            alike[at] = word
+        rows += [(1000 + k, " ".join(alone)), (2000 + k, " ".join(alike)), (4000 + k, " ".join(alone[rng.randrange(20):])),
+                 (3000 + k, " ".join(passage + rng.choices(words, k=rng.randrange(2, 40))))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    ids = sorted(first.values())
+    docs = spark.createDataFrame([r for r in rows if r[0] in set(ids)], "doc_id long, text string")
+    feats = docs.mapInArrow(partial(minhash_dedup._features, width=5, collections=20, rows=3), minhash_dedup._FEATURES)
+    nodes = feats.selectExpr("doc_id as node", "doc_id as part", "n_shingles as n", "bits as x")
+    held = docs.mapInArrow(partial(minhash_dedup._sets, width=5), minhash_dedup._SETS)
+    scratch = Scratch(spark)
+    got = minhash_dedup._across(scratch, scratch.write(nodes), scratch.write(held), 80, minhash_dedup._possible(80, 120)).collect()
+    scratch.drop()
+    links = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got}
+    assert links and found <= links
+    assert components(ids, found) == components(ids, links)
+
+
 def test_bpe(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, ref = bpe.load(path), Tokenizer.from_file(path)
