@@ -21,9 +21,10 @@ bucket every set is paired with the smallest id of the bucket only; those star
 pairs are verified and merged first. Pairs of a bucket whose ends are connected
 by then need no look. The nodes of buckets that still hold several components
 are compared across components by their rarest shingles. Where more than
-``DIRECT`` nodes meet at a shingle they are not paired: each is compared with the
-smallest set there, its centre, and two of them are paired only if they share rare
-elements of their differences from the centre (see ``_by_centre``). A passage of
+``DIRECT`` nodes of like size meet at a shingle they are not paired: each is
+compared with one set there, its centre (the one whose shingles are the most
+common), and two of them are paired only if they share rare elements of their
+differences from the centre (see ``_by_centre``). A passage of
 which many documents consist in part makes no pairs, and no link is lost. Every
 link is confirmed on the full sets.
 
@@ -34,6 +35,7 @@ component of the id. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -222,16 +224,21 @@ def _across(scratch: Scratch, nodes: DataFrame, sets: DataFrame, percent: int, p
     # shingles of one node only come first in the order; the rest of the prefix is taken from the shared ones
     prefix = nodes.join(_rarest(rows, ["s"], ["node"], "s"), "node").withColumn(
         "take", F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 - (n - size(held)) as int)")).filter("take > 0")
-    prefix = prefix.select("node", "part", "n", "x", F.explode(F.slice("held", F.lit(1), F.col("take"))).alias("h"))
-    prefix = scratch.write(prefix.select("node", "part", "n", "x", F.col("h.s").alias("s")))
-    meets = scratch.write(prefix.groupBy("s").agg(
-        F.count("*").alias("holders"), F.min("part").alias("p"), F.max("part").alias("q"),
-        F.min(F.struct("n", "node")).alias("c")).filter("p <> q").select("s", "holders", F.col("c.node").alias("c")))
-    few = prefix.join(meets.filter(F.col("holders") <= DIRECT).select("s"), "s")
-    a, b = (few.select("s", F.col("node").alias(t), F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"),
-                       F.col("x").alias(f"x{t}")) for t in "ab")
-    direct = a.join(b, "s").filter("a < b and pa <> pb").filter(possible).select("a", "b")
-    stars = prefix.select("s", "node").join(meets.filter(F.col("holders") > DIRECT).select("s", "c"), "s")
+    # linked sets lie in one size class or two neighbours: a group g at a shingle has those of classes g and g + 1
+    step = 1.001 * max(0.01, math.log(100 / percent))
+    prefix = prefix.selectExpr(
+        "node", "part", "n", "x", "aggregate(held, 0D, (t, h) -> t + ln(h.f)) / n as common",
+        f"cast(floor(ln(n) / {step}) as int) as class", "explode(slice(held, 1, take)) as h")
+    prefix = scratch.write(prefix.selectExpr("node", "part", "n", "x", "common", "class", "h.s", "explode(array(class, class - 1)) as g"))
+    meets = scratch.write(prefix.groupBy("s", "g").agg(
+        F.count("*").alias("holders"), F.min("part").alias("p"), F.max("part").alias("q"), F.min("class").alias("low"),
+        F.max(F.struct("common", "node")).alias("c")).filter("p <> q and low = g").select("s", "g", "holders", F.col("c.node").alias("c")))
+    few = prefix.join(meets.filter(F.col("holders") <= DIRECT).select("s", "g"), ["s", "g"])
+    a, b = (few.select("s", "g", F.col("node").alias(t), F.col("part").alias(f"p{t}"), F.col("n").alias(f"n{t}"),
+                       F.col("class").alias(f"c{t}"), F.col("x").alias(f"x{t}")) for t in "ab")
+    direct = a.join(b, ["s", "g"]).filter("a < b and pa <> pb and least(ca, cb) = g").filter(possible).select("a", "b")
+    stars = prefix.select("s", "g", "node").join(
+        meets.filter(F.col("holders") > DIRECT).select("s", "g", "c"), ["s", "g"])
     links, indirect = _by_centre(scratch, stars.filter("node <> c").select("node", "c").distinct(),
                                  nodes, sets, percent, possible)
     coarse = direct.unionByName(indirect).distinct()
