@@ -8,10 +8,14 @@ operator over the whole window. The matching DuckDB statement lives in
 
 from __future__ import annotations
 
+import datetime as dt
+import os
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relaywatch.functions import domains as Dom
 from relaywatch.functions import windows as W
@@ -25,7 +29,9 @@ from relaywatch.operators import series as Se
 from relaywatch.plans import ingest as I
 from relaywatch.plans import oracle as O
 from relaywatch.plans import rollup as R
-from relaywatch.sources.calls import window_scan
+from relaywatch.session import checkpoint_dir
+from relaywatch.sources import sink
+from relaywatch.sources.calls import read_calls, window_scan
 from relaywatch.sources.fixture import AS_OF, fixture_calls
 
 WINDOWS = list(W.WINDOW_SECONDS)
@@ -145,6 +151,37 @@ def _rollup_provider_table(window, spark, sf_dir, as_of=AS_OF):
     return H.provider_table(m, None, rng, health=health).select(*H.PROVIDER_TABLE_COLUMNS)
 
 
+def store_lagging(spark, sf_dir, root, attempts=False):
+    """(calls, rollup) as stored below ``root``, the rollup behind the calls.
+
+    The rollup is kept up to the day before ``AS_OF``; half of the calls of an
+    earlier date and all calls after that day are stored later.
+    """
+    calls = fixture_calls(spark, sf_dir)
+    day = W.to_utc(AS_OF).date()
+    table, path = os.path.join(root, "calls"), os.path.join(root, "rollup")
+    ahead = F.col("ts") >= F.lit(W.to_utc(AS_OF) - dt.timedelta(days=1))
+    late = ~ahead & (F.col("ts_date") == F.lit(day - dt.timedelta(days=4))) & (F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    sink.write_batch(calls.where(~ahead & ~late), table, "0")
+    R.refresh(spark, table, path, attempts)
+    sink.write_batch(calls.where(ahead | late), table, "1")
+    return read_calls(spark, table), R.read(spark, path)
+
+
+def _stored_rollup(window, spark, sf_dir, attempts=False):
+    root = os.path.join(checkpoint_dir(spark), "stored-rollup", uuid.uuid4().hex)
+    calls, rollup = store_lagging(spark, sf_dir, root, attempts)
+    rng = W.current(window, AS_OF)
+    if attempts:
+        health = H.provider_health_measures(R.attempt_measures(calls, rollup, rng), rng, sort=False)
+        out = H.long_form(health, rng)
+    else:
+        out = Mt.metrics(R.measures(calls, rollup, rng))
+    kept = out.checkpoint(eager=True)
+    sink.drop_staging(spark, root)
+    return kept
+
+
 def _project_domains(window, spark, sf_dir):
     sc, _ = _scan(spark, sf_dir, window)
     fleet = B.fleet(P.row_measures(sc)).select("project", "calls")
@@ -212,6 +249,8 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_provider_health_full_24h_unaligned"] = partial(_rollup_health, "24h",
                                                              as_of=UNALIGNED_AS_OF)
     q["rollup_provider_table_full_7d"] = partial(_rollup_provider_table, "7d")
+    q["rollup_stored_metrics_7d"] = partial(_stored_rollup, "7d")
+    q["rollup_stored_provider_health_7d"] = partial(_stored_rollup, "7d", attempts=True)
     q["project_domains_7d"] = partial(_project_domains, "7d")
     q["provider_domains_7d"] = partial(_provider_domains, "7d")
     q["stat_flags_7d"] = partial(_stat_flags, "7d")
@@ -259,6 +298,8 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_provider_health_full_24h_unaligned"] = O.provider_health("24h", as_of=UNALIGNED_AS_OF,
                                                                        sample=None)
     o["rollup_provider_table_full_7d"] = O.provider_table("7d", sample=None)
+    o["rollup_stored_metrics_7d"] = O.metrics("7d")
+    o["rollup_stored_provider_health_7d"] = O.provider_health("7d", sample=None)
     o["project_domains_7d"] = O.project_domains("7d")
     o["provider_domains_7d"] = O.provider_domains("7d")
     o["stat_flags_7d"] = O.stat_flags("7d")

@@ -14,11 +14,23 @@ Buckets lying wholly inside it are read from the rollup; the two partial edge
 spans are read from the raw table (a few minutes of rows, pruned to their
 dates) and turned into measures rows. Because the money measures are DECIMAL
 sums, rollup-plus-edges equals the raw plan exactly.
+
+**A stored rollup that lags.** :func:`refresh` keeps a mark in the rollup's
+``_complete`` folder: the calls table it was built from, ``until`` (buckets
+that end later are not in it), and for each date the file count and bytes of
+the calls that were rolled up. :func:`read` hands the mark on with the frame.
+A window takes from the rollup only the buckets before ``until`` on dates whose
+calls are still those that were rolled up; the rest it reads raw. A rollup
+without a mark (built by the caller) counts as complete.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +39,13 @@ from pyspark.sql import types as T
 from relaywatch.functions import windows as W
 from relaywatch.functions.keys import attempt_provider
 from relaywatch.operators import partials as P
-from relaywatch.sources.calls import scope_filter
+from relaywatch.sources import sink
+from relaywatch.sources.calls import read_calls, scope_filter
 
 GRAIN = 300
+DAY = 86400
+MARKS = "_complete"
+MARKS_KEPT = 8          # older marks stay a while for readers that just listed them
 GROUP = ["project", "provider_key", "model_key"]
 
 
@@ -58,7 +74,111 @@ def write(rollup: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A stored rollup; its mark, if it has one, travels as metadata of ``t0``."""
+    mark = read_mark(spark, path)
+    if mark is None:
+        return spark.read.parquet(path)
+    out = spark.read.schema(T.StructType.fromJson(mark.pop("schema"))).parquet(path)
+    t0 = F.col("t0").alias("t0", metadata={"mark": json.dumps(mark)})
+    return out.select(*[t0 if c == "t0" else F.col(c) for c in out.columns])
+
+
+def _mark_files(spark: SparkSession, path: str) -> list:
+    pattern, fs = sink._path(spark, os.path.join(path, MARKS, "*.json"))
+    return sorted((f.getPath() for f in fs.globStatus(pattern) or []), key=lambda p: p.getName())
+
+
+def read_mark(spark: SparkSession, path: str) -> dict | None:
+    """The newest mark of a rollup; None when it has none."""
+    files = _mark_files(spark, path)
+    if not files:
+        return None
+    stream = files[-1].getFileSystem(spark._jsc.hadoopConfiguration()).open(files[-1])
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, mark: dict) -> None:
+    """Make ``mark`` the newest one, whole or not at all (one writer at a time)."""
+    files = _mark_files(spark, path)
+    number = int(files[-1].getName().removesuffix(".json")) + 1 if files else 0
+    hidden, fs = sink._path(spark, os.path.join(path, MARKS, f".{uuid.uuid4().hex}"))
+    stream = fs.create(hidden)
+    stream.write(bytearray(json.dumps(mark).encode()))
+    stream.close()
+    final, _ = sink._path(spark, os.path.join(path, MARKS, f"{number:012d}.json"))
+    if not fs.rename(hidden, final):
+        raise RuntimeError(f"could not publish {final}")
+    for old in files[:-MARKS_KEPT]:
+        fs.delete(old, False)
+
+
+def _listed(spark: SparkSession, table_path: str, date: str) -> list[int] | None:
+    """[files, bytes] of one date of the calls table; None when it has no files."""
+    folder, fs = sink._path(spark, os.path.join(table_path, f"ts_date={date}"))
+    if not fs.exists(folder):
+        return None
+    found = fs.getContentSummary(folder)
+    return [found.getFileCount(), found.getLength()] if found.getFileCount() else None
+
+
+def _all_listed(spark: SparkSession, table_path: str) -> dict[str, list[int]]:
+    pattern, fs = sink._path(spark, os.path.join(table_path, "ts_date=*"))
+    dates = [f.getPath().getName().removeprefix("ts_date=") for f in fs.globStatus(pattern) or []]
+    return {d: n for d in dates if (n := _listed(spark, table_path, d)) is not None}
+
+
+def _rewrite(spark: SparkSession, path: str, mark: dict, dates: dict[str, list[int]], write_dates: Callable[[], None]) -> None:
+    """Write the rollup of ``dates`` while the mark sends readers of them to the raw table."""
+    _publish(spark, path, mark | {"dates": mark["dates"] | {d: "being written" for d in dates}})
+    for d in dates:
+        folder, fs = sink._path(spark, os.path.join(path, f"ts_date={d}"))
+        fs.delete(folder, True)
+    write_dates()
+    _publish(spark, path, mark | {"dates": mark["dates"] | dates})
+
+
+def _day(epoch: int) -> str:
+    return dt.datetime.fromtimestamp(epoch, W.UTC).date().isoformat()
+
+
+def _on(dates: Iterable[str]) -> Column:
+    return F.col("ts_date").isin(*[dt.date.fromisoformat(d) for d in sorted(dates)])
+
+
+def refresh(spark: SparkSession, table_path: str, path: str, attempts: bool = False,
+            touched: Iterable[str] = (), lag: str = "10 minutes") -> None:
+    """Bring a stored rollup up to the calls table, date by date.
+
+    Recomputed are the ``touched`` dates, every date whose files are not those
+    last rolled up, and the dates of buckets that closed since. Recomputing
+    gives the same rows however often it runs, and late rows only make their
+    date one to recompute. Buckets that end within ``lag`` of the newest call
+    stay out: more rows are likely to follow.
+    """
+    listed = _all_listed(spark, table_path)
+    if not listed:
+        return
+    mark = read_mark(spark, path)
+    if mark is None or mark["calls"] != table_path:
+        mark = {"calls": table_path, "until": None, "dates": {}}
+    calls = read_calls(spark, table_path)
+    newest = calls.where(_on([max(listed)])).agg(F.unix_seconds(F.max("ts") - F.expr(f"interval {lag}"))).first()[0]
+    before = mark["until"]
+    if newest is None:
+        return
+    until = max(newest - newest % GRAIN, newest - newest % GRAIN if before is None else before)
+    closed = set() if before is None else {d for d in listed if _day(before) <= d <= _day(until) and until > before}
+    stale = {d for d, n in listed.items() if mark["dates"].get(d) != n}
+    dates = {d: listed[d] for d in sorted(stale | closed | (set(touched) & set(listed)))}
+    if not dates:
+        return
+    rows = calls.where(_on(dates) & (F.col("ts") < F.timestamp_seconds(F.lit(until))))
+    out = build_attempts(rows) if attempts else build(rows)
+    _rewrite(spark, path, mark | {"until": until, "schema": out.schema.jsonValue()}, dates,
+             lambda: write_attempts(out, path) if attempts else write(out, path))
 
 
 def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date],
@@ -66,15 +186,21 @@ def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date],
     """Recompute the rollup (and the attempts rollup) for the given dates
     from the raw table.
 
-    Used after a bulk load with explicit old timestamps, which a streaming
-    rollup with a watermark would have dropped as late.
+    Used after a bulk load with explicit old timestamps. A rollup kept by a
+    stream sends readers of such dates to the raw table until then.
     """
     if not dates:
         return
+    spark = calls.sparkSession
     touched = calls.where(F.col("ts_date").isin(*dates))
-    write(build(touched), path)
-    if attempts_path is not None:
-        write_attempts(build_attempts(touched), attempts_path)
+    for to, make, put in ((path, build, write), (attempts_path, build_attempts, write_attempts)):
+        mark = None if to is None else read_mark(spark, to)
+        if mark is not None:
+            listed = {d.isoformat(): _listed(spark, mark["calls"], d.isoformat()) for d in dates}
+            rows = touched.where(F.col("ts") < F.timestamp_seconds(F.lit(mark["until"])))
+            _rewrite(spark, to, mark, listed, lambda: put(make(rows), to))
+        elif to is not None:
+            put(make(touched), to)
 
 
 def _edges(start: dt.datetime, end: dt.datetime) -> tuple[int, int]:
@@ -91,31 +217,55 @@ def _edge_rows(calls: DataFrame, lo: dt.datetime, lo_incl: bool, hi: dt.datetime
     return c & (F.col("ts_date") >= F.lit(lo.date())) & (F.col("ts_date") <= F.lit(hi.date()))
 
 
+def _rolled(calls: DataFrame, rollup: DataFrame, first: int, last_end: int) -> list[tuple[int, int]]:
+    """Spans of whole buckets in [first, last_end) that the rollup answers for."""
+    mark = rollup.schema["t0"].metadata.get("mark")
+    if mark is None:
+        return [(first, last_end)] if first < last_end else []
+    mark = json.loads(mark)
+    spans: list[tuple[int, int]] = []
+    end = min(last_end, mark["until"])
+    for day in range(first - first % DAY, end, DAY):
+        lo, hi = max(first, day), min(end, day + DAY)
+        if mark["dates"].get(_day(day)) != _listed(calls.sparkSession, mark["calls"], _day(day)):
+            continue
+        if spans and spans[-1][1] == lo:
+            spans[-1] = (spans[-1][0], hi)
+        else:
+            spans.append((lo, hi))
+    return spans
+
+
 def _parts(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
            scope: Column) -> tuple[DataFrame | None, DataFrame]:
-    """(interior rollup rows, raw calls of the two partial edge spans).
+    """(rollup rows of whole buckets, raw calls of the rest of the window).
 
-    A window shorter than two buckets has no interior: all of it is raw.
+    The rest is the two partial edge spans and whatever the rollup does not
+    hold yet. A window shorter than two buckets is all raw.
     """
-    first, last_end = _edges(rng.start, rng.end)
-    if first >= last_end:
+    spans = _rolled(calls, rollup, *_edges(rng.start, rng.end))
+    if not spans:
         return None, calls.where(rng.predicate() & scope)
-    first_ts = dt.datetime.fromtimestamp(first, W.UTC)
-    last_ts = dt.datetime.fromtimestamp(last_end, W.UTC)
+    bounds = [(dt.datetime.fromtimestamp(lo, W.UTC), dt.datetime.fromtimestamp(hi, W.UTC)) for lo, hi in spans]
+    inside = F.lit(False)
+    for lo, hi in spans:
+        inside = inside | ((F.col("t0") >= F.lit(lo)) & (F.col("t0") < F.lit(hi)))
     interior = rollup.where(
-        (F.col("ts_date") >= F.lit(first_ts.date())) & (F.col("ts_date") <= F.lit(last_ts.date()))
-        & (F.col("t0") >= F.lit(first)) & (F.col("t0") < F.lit(last_end)) & scope)
-    edge = calls.where((_edge_rows(calls, rng.start, False, first_ts, False)
-                        | _edge_rows(calls, last_ts, True, rng.end, True)) & scope)
-    return interior, edge
+        (F.col("ts_date") >= F.lit(bounds[0][0].date())) & (F.col("ts_date") <= F.lit(bounds[-1][1].date()))
+        & inside & scope)
+    rest = _edge_rows(calls, rng.start, False, bounds[0][0], False)
+    for (_, lo), (hi, _) in zip(bounds, bounds[1:]):
+        rest = rest | _edge_rows(calls, lo, True, hi, False)
+    rest = rest | _edge_rows(calls, bounds[-1][1], True, rng.end, True)
+    return interior, calls.where(rest & scope)
 
 
 def measures(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
              project: str | None = None, provider: str | None = None) -> DataFrame:
     """A measures frame covering exactly ``rng`` and the scope.
 
-    Interior buckets come from the rollup, the partial buckets at both ends
-    from the raw table; the union has the rollup's column types.
+    Buckets the rollup holds come from it, the rest of the window (the partial
+    buckets at both ends at least) from the raw table; the union has the rollup's column types.
     """
     schema = rollup.select("t0", *GROUP, *P.MEASURES, "modality").schema
     interior, edge = _parts(calls, rollup, rng, scope_filter(project, provider))

@@ -1,18 +1,19 @@
-"""The 300 s rollup maintained by a stateful stream over the calls table.
+"""The 300 s rollup kept by a stream over the calls table.
 
-``withWatermark`` + tumbling ``window('5 minutes')`` + append mode: a bucket's
-row is emitted once the watermark passes its end, and the state of closed
-buckets is dropped, so state stays bounded by the open buckets. Windows align
-to the epoch exactly as the bucket floor X4 does, so the output rows are
-rollup rows (``t0`` = bucket start) that :func:`relaywatch.plans.rollup.measures`
-reads like the batch-built ones.
+Every micro-batch recomputes the dates it touches, and any other date whose
+files are not those last rolled up, from the calls table
+(:func:`relaywatch.plans.rollup.refresh`). Nothing is added to what is stored,
+so a replayed batch or a new checkpoint counts no call twice, and a row is never
+too late: files that arrive out of order, in any number of triggers, only make
+their date one to recompute. Buckets align to the epoch exactly as the bucket
+floor X4 does.
 
-:func:`attempts_stream` keeps the attempts rollup (provider health) the same
-way, one row per (bucket, project, serving provider, attempted provider).
+Buckets that end within ``watermark`` of the newest call are left out and the
+mark stored beside the rollup says so; readers take them, and dates that have
+changed since, from the raw table.
 
-Rows arriving behind the watermark are dropped by the stream. Those only come
-from bulk loads with explicit old timestamps (S7); T3 recomputes the touched
-dates from the raw table (:func:`relaywatch.plans.rollup.rebuild_dates`).
+:func:`start_attempts` keeps the attempts rollup (provider health) the same
+way, one row per (bucket, project, serving provider, attempted provider).
 """
 
 from __future__ import annotations
@@ -21,31 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from relaywatch.operators import partials as P
 from relaywatch.plans import rollup as R
-from relaywatch.plans.rollup import GROUP
 from relaywatch.schema import CALLS_SCHEMA
+from relaywatch.sources import sink
 
 WATERMARK = "10 minutes"
 
 
-def rollup_stream(calls_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    m = P.row_measures(calls_stream, extra=["ts"]).withWatermark("ts", watermark)
-    agg = m.groupBy(F.window("ts", "5 minutes").alias("w"), *GROUP).agg(*P.sums())
-    t0 = F.unix_seconds(F.col("w.start"))
-    return agg.select(t0.alias("t0"), *GROUP, *P.MEASURES, "modality",
-                      F.to_date(F.col("w.start")).alias("ts_date"))
-
-
-def attempts_stream(calls_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Attempts-rollup rows of closed 5-minute buckets (append mode)."""
-    rows = R.attempt_rows(calls_stream.withWatermark("ts", watermark), extra=["ts"])
-    agg = rows.groupBy(F.window("ts", "5 minutes").alias("w"), *R.ATTEMPT_GROUP).agg(
-        *[F.sum(c).alias(c) for c in R.ATTEMPT_MEASURES])
-    return agg.select(F.unix_seconds(F.col("w.start")).alias("t0"), *R.ATTEMPT_GROUP,
-                      *R.ATTEMPT_MEASURES, F.to_date(F.col("w.start")).alias("ts_date"))
-
-
 def calls_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """New files of the calls table as a stream (declared schema, no inference)."""
     schema = CALLS_SCHEMA
@@ -58,22 +41,32 @@ def calls_stream(spark: SparkSession, table_path: str, max_files_per_trigger: in
 
 
 def start(spark: SparkSession, table_path: str, rollup_path: str, checkpoint: str,
-          trigger: dict | None = None, watermark: str = WATERMARK) -> StreamingQuery:
-    """Append closed buckets to the rollup table (file sink: exactly once)."""
-    out = rollup_stream(calls_stream(spark, table_path), watermark)
-    return _sink(out, rollup_path, checkpoint, "rollup", trigger)
+          trigger: dict | None = None, watermark: str = WATERMARK,
+          max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Keep the rollup of the calls table up to date."""
+    return _keep(spark, table_path, rollup_path, checkpoint, "rollup", trigger, watermark, max_files_per_trigger)
 
 
 def start_attempts(spark: SparkSession, table_path: str, rollup_path: str, checkpoint: str,
-                   trigger: dict | None = None, watermark: str = WATERMARK) -> StreamingQuery:
-    """Append closed buckets to the attempts rollup table (exactly once)."""
-    out = attempts_stream(calls_stream(spark, table_path), watermark)
-    return _sink(out, rollup_path, checkpoint, "attempts_rollup", trigger)
+                   trigger: dict | None = None, watermark: str = WATERMARK,
+                   max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Keep the attempts rollup of the calls table up to date."""
+    return _keep(spark, table_path, rollup_path, checkpoint, "attempts_rollup", trigger, watermark, max_files_per_trigger)
+
+
+def _keep(spark: SparkSession, table_path: str, path: str, checkpoint: str, name: str,
+          trigger: dict | None, watermark: str, max_files_per_trigger: int) -> StreamingQuery:
+    log, fs = sink._path(spark, f"{path}/_spark_metadata")
+    if fs.exists(log):
+        # Spark reads only the files in a file sink's log, so rewritten dates would not be seen
+        raise ValueError(f"{path} was written by a file sink; name a new rollup folder")
 
+    def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        days = batch.select(F.to_date("ts").alias("d")).distinct().collect()
+        R.refresh(spark, table_path, path, attempts=name == "attempts_rollup",
+                  touched=[r["d"].isoformat() for r in days], lag=watermark)
 
-def _sink(out: DataFrame, path: str, checkpoint: str, name: str, trigger: dict | None) -> StreamingQuery:
-    writer = (out.writeStream.format("parquet").outputMode("append")
+    writer = (calls_stream(spark, table_path, max_files_per_trigger).writeStream.foreachBatch(run_batch)
               .option("checkpointLocation", checkpoint)
-              .partitionBy("ts_date").option("path", path)
               .queryName(name))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
