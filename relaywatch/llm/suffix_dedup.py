@@ -26,6 +26,11 @@ neighbouring strings mostly share one. Three passes follow.
    prefixes of at least SPAN - o and have equal left bytes. All but the first
    of each such class are covered.
 
+A gram with more than ``MANY`` anchors (a common line with different text around
+it) would bring all its contexts to one task. Its strings are dealt one by one
+instead, by two 64-bit hashes of their bytes; a task sends the first of equal
+strings of each ``BLOCK`` anchors, so a common string stays small as well.
+
 Null text is empty text. Rows with a null id are kept whole and compared with
 nothing. Rows that repeat an id start at the same places, so they are not
 earlier than each other; each is judged by its own text.
@@ -52,6 +57,9 @@ PIECE = 2 << 20                 # bytes whose anchors are found at a time
 HELD = 1 << 20                  # anchors a task gathers before it sends a run
 TEXT_PART = 16 << 20            # text bytes for each part of the gram exchange
 PART = 1 << 16                  # anchors for each part of the suffix exchange
+MANY = 1 << 14                  # anchors of a gram from which its strings are dealt one by one
+BLOCK = 1 << 13                 # such anchors whose strings are formed at a time
+LOAD = 4                        # what such an anchor weighs in a part, in contexts
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +133,8 @@ def _send_grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
     """Blocks of (docs, anchors of each doc, gram hashes, places, offsets, kind) for each part.
 
     Kind 0 is an anchor to be judged, 1 one known to be repeated that only
-    travels back, 2 a gram's sign that this task holds it more than once.
+    travels back, 2 a gram's sign that this task holds it more than once, with
+    the number held in place of the place.
     """
     held: list[tuple] = []
     size = 0
@@ -139,6 +148,9 @@ def _send_grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         sign = np.zeros(len(gram), bool)
         sign[order[np.r_[True, ~same]]] = True
         sign &= many
+        group = np.cumsum(np.r_[True, ~same]) - 1
+        number = np.empty(len(gram), np.int64)
+        number[order] = np.bincount(group)[group]
         target = np.where(many, docs.view(np.uint64) ^ at.astype(np.uint64), gram)
         part = (C.mix64(target) % np.uint64(parts)).astype(np.int64)
         kind = many.astype(np.uint8)
@@ -154,7 +166,7 @@ def _send_grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
             names, counts = np.unique(docs[own], return_counts=True)
             out_parts.append(p)
             blocks.append(_pack([names, counts.astype(np.uint32), np.where(kind[rows] == 1, np.uint64(0), gram[own]),
-                                 at[own].astype(np.uint32), left[own], right[own], kind[rows]]))
+                                 np.where(kind[rows] == 2, number[own], at[own]).astype(np.uint32), left[own], right[own], kind[rows]]))
         held.clear()
         return _sent(out_parts, blocks)
 
@@ -174,8 +186,11 @@ def _send_grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         yield send()
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """(doc_id, anchor) of the anchors whose gram stands at two places or more."""
+def _repeated(table: pa.Table, limit: int) -> pa.Table:
+    """(doc_id, anchor) of the anchors whose gram stands at two places or more.
+
+    Rows without a doc_id name the grams with more than ``limit`` anchors and their number.
+    """
     parts = [_unpack(b) for b in table.column("block").to_pylist()]
     docs = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
     gram, at, left, right, kind = (np.concatenate([p[k] for p in parts]) for k in range(2, 7))
@@ -186,7 +201,13 @@ def _repeated(table: pa.Table) -> pa.Table:
     many[order[1:][same]] = many[order[:-1][same]] = True
     many &= kind != 2
     packed = at.astype(np.int64) << 16 | left.astype(np.int64) << 8 | right
-    return pa.table({"doc_id": docs[many], "anchor": packed[many]})
+    first = np.flatnonzero(np.r_[True, ~same])[:len(order)]
+    total = np.add.reduceat(np.where(kind[order] == 2, at[order], 1).astype(np.int64), first) if len(order) else np.zeros(0, np.int64)
+    common = total > limit
+    names = gram[order[first[common]]].view(np.int64)
+    none = pa.nulls(len(names), pa.int64())
+    return pa.table({"doc_id": pa.concat_arrays([pa.array(docs[many]), none]), "anchor": np.r_[packed[many], names],
+                     "number": pa.concat_arrays([pa.nulls(int(many.sum()), pa.int64()), pa.array(total[common])])})
 
 
 def _contexts(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -207,14 +228,81 @@ def _shared(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Front-coded sorted runs for each part, and marks of contexts met before in the task."""
+def _strings(text: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset left of its anchor, two hashes of the bytes) of every string of the contexts."""
+    offset = np.arange(SIDE + 1)
+    who, off = np.nonzero((right[:, None] <= offset) & (offset <= left[:, None]))
+    weight = C.powers(SPAN + SIDE)[0][:SPAN + SIDE]
+    hashes = []
+    with np.errstate(over="ignore"):
+        for table in (C.BYTE_KEYS, C.mix64(C.BYTE_KEYS)):
+            after = np.cumsum(table[text[:, :SPAN]] * weight[SIDE:], axis=1)
+            before = np.zeros((len(text), SIDE + 1), np.uint64)
+            np.cumsum(table[text[:, SPAN:]] * weight[:SIDE][::-1], axis=1, out=before[:, 1:])
+            hashes.append(C.mix64(after[who, SPAN - 1 - off] + before[who, off] + off.astype(np.uint64)))
+    return who, off, hashes[0], hashes[1]
+
+
+def _judged(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True for the strings that are later than an equal one; one id and place is never later than itself."""
+    by = np.lexsort((start, docs, h2, h1))
+    new = np.ones(len(by), bool)
+    new[1:] = (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])
+    head = by[new][np.cumsum(new) - 1]
+    later = np.zeros(len(by), bool)
+    later[by] = (docs[by] != docs[head]) | (start[by] != start[head])
+    return later
+
+
+def _joined(docs: np.ndarray, keys: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, text key, start, end) of the covered spans, neighbouring strings as one."""
+    by = np.lexsort((start, keys, docs))
+    docs, keys, start = docs[by], keys[by], start[by]
+    first = np.ones(len(by), bool)
+    first[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] > start[:-1] + 1)
+    last = np.r_[first[1:], np.ones(min(1, len(by)), bool)]
+    return docs[first], keys[first], start[first], start[last] + SPAN
+
+
+def _send_strings(rows: tuple, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, block) of the strings of contexts whose gram is common."""
+    for cut in range(0, len(rows[1]), BLOCK):
+        text, docs, keys, at, left, right = (x[cut:cut + BLOCK] for x in rows)
+        who, off, h1, h2 = _strings(text, left, right)
+        docs, keys, start = docs[who], keys[who], at[who] - off
+        later = _judged(h1, h2, docs, start)
+        if later.any():
+            spans = _joined(docs[later], keys[later], start[later])
+            yield int(C.mix64(spans[0][:1].view(np.uint64))[0] % np.uint64(parts)), _pack([np.zeros(0, np.uint8), *spans])
+        own = np.flatnonzero(~later)
+        for p, some in _by_part((C.mix64(h1[own]) % np.uint64(parts)).astype(np.int64), parts):
+            some = own[some]
+            names, which = np.unique(np.stack([docs[some], keys[some]]), axis=1, return_inverse=True)
+            yield p, _pack([np.full(2, 2, np.uint8), names[0], names[1], which.ravel().astype(np.uint32), h1[some], h2[some],
+                            start[some].astype(np.uint32)])
+
+
+def _send_runs(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Front-coded sorted runs for each part, and marks of contexts met before in the task.
+
+    Contexts of the ``common`` grams go string by string.
+    """
     held: list[tuple] = []
     size = 0
 
     def send():
-        text, docs, keys, at, left, right = (np.concatenate(x) for x in zip(*held))
+        rows = tuple(np.concatenate(x) for x in zip(*held))
         held.clear()
+        if len(common):
+            flat, place = rows[0][:, :GRAM].ravel(), np.arange(len(rows[0])) * GRAM
+            apart = np.isin(C.span_hashes(flat, place, place + GRAM), common)
+            for p, block in _send_strings(tuple(x[apart] for x in rows), parts):
+                yield _sent([p], [block])
+            rows = tuple(x[~apart] for x in rows)
+        if len(rows[1]):
+            yield send_runs(*rows)
+
+    def send_runs(text, docs, keys, at, left, right):
         order = np.argsort(text.view(f"S{SPAN + SIDE}").ravel(), kind="stable")
         text, docs, keys, at, left, right = (x[order] for x in (text, docs, keys, at, left, right))
         new = np.ones(len(at), bool)
@@ -267,10 +355,10 @@ def _send_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
                                  at[some], left[some].astype(np.uint8), right[some].astype(np.uint8)))
                     size += n
                     if size >= HELD // 4:
-                        yield send()
+                        yield from send()
                         size = 0
     if held:
-        yield send()
+        yield from send()
 
 
 def _decoded(common: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
@@ -352,11 +440,17 @@ def merge_runs(runs: list[list[bytes]], common: list[list[int]]) -> tuple[list[t
 
 def _covered(table: pa.Table) -> pa.Table:
     """Marks (doc_id, text_key, start << 32 | end) of the bytes covered by later strings."""
-    known, runs = [], []
+    known, runs, strings = [], [], []
     for block in table.column("block").to_pylist():
         arrays = _unpack(block)
-        (runs if len(arrays[0]) else known).append(arrays[1:])
+        (known, runs, strings)[len(arrays[0])].append(arrays[1:])
     out = [(k[0], k[1], k[2], k[3]) for k in known]
+    if strings:
+        docs, keys = (np.concatenate([x[k][x[2]] for x in strings]) for k in range(2))
+        h1, h2, place = (np.concatenate([x[k] for x in strings]) for k in range(3, 6))
+        place = place.astype(np.int64)
+        later = _judged(h1, h2, docs, place)
+        out.append(_joined(docs[later], keys[later], place[later]))
     if runs:
         texts = [_decoded(r[6].astype(np.int64), r[8], SPAN) for r in runs]
         lefts = np.concatenate([_decoded(r[7].astype(np.int64), r[9], SIDE) for r in runs])
@@ -439,10 +533,11 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``docs(doc_id, text)``.
 
-    ``texts`` adds ``kept``, the remaining bytes.
+    ``texts`` adds ``kept``, the remaining bytes. Strings around grams with more
+    than ``many`` anchors are dealt one by one; the result is the same for any.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -450,13 +545,16 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     parts = max(1, -(-size // TEXT_PART))
     named = rows.filter("doc_id is not null and octet_length(text) >= %d" % SPAN).select("doc_id", "text")
     grams = named.mapInArrow(partial(_send_grams, parts=parts), "part int, block binary")
-    found = scratch.write(grams.groupBy("part").applyInArrow(_repeated, "doc_id long, anchor long"))
-    parts = max(1, -(-found.count() // PART))
+    found = scratch.write(grams.groupBy("part").applyInArrow(lambda t: _repeated(t, many), "doc_id long, anchor long, number long"))
+    apart = found.filter("doc_id is null").select("anchor", "number").collect()    # at most one for every ``many`` anchors
+    common = np.array([r["anchor"] for r in apart], np.int64).view(np.uint64)
+    found = found.filter("doc_id is not null").select("doc_id", "anchor")
+    parts = max(1, -(-(found.count() + LOAD * sum(r["number"] for r in apart)) // PART))
 
     dealt = rows.repartition("doc_id")
     wanted = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
     runs = dealt.filter("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id").select(
-        "doc_id", "text_key", "text", "wanted").mapInArrow(partial(_send_runs, parts=parts), "part int, block binary")
+        "doc_id", "text_key", "text", "wanted").mapInArrow(partial(_send_runs, parts=parts, common=common), "part int, block binary")
     marks = scratch.write(runs.groupBy("part").applyInArrow(_covered, "doc_id long, text_key long, mark long"))
     per_doc = marks.groupBy("doc_id", "text_key").agg(F.collect_list("mark").alias("marks"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts

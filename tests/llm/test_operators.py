@@ -192,6 +192,37 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_strings_around_a_common_line_are_dealt_one_by_one(spark):
+    """A line in every document with other text around it: no part gets it whole, and the result is the same."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    line = "Licensed under the terms of the common notice, version 2.0, see the file."
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(150)) + line + "".join(rng.choice("abcdefgh ") for _ in range(150))) for k in range(200)]
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    wanted, grams = [], collections.Counter()
+    for d in data:
+        gram, at, lo, hi = suffix_dedup.anchors(d, np.array([0, len(d)]))
+        wanted.append((at << 16 | (at - lo) << 8 | (at - hi)).tolist())
+        grams.update(gram.tolist())
+    common = np.array([g for g, n in grams.items() if n > 50], np.uint64)
+    assert len(common)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows), pa.int64()),
+                                        pa.array([t for _, t in rows]), pa.array(wanted, pa.list_(pa.int64()))], names=list("ikta"))
+    held = collections.Counter()
+    for sent in suffix_dedup._send_runs(iter([batch]), 8, common):
+        for part, block in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist()):
+            arrays = suffix_dedup._unpack(block)
+            held[part] += len(arrays[4]) if len(arrays[0]) == 2 else 0
+    assert len(held) == 8 and max(held.values()) < 1.5 * min(held.values())
+
+    rows += [(300 + k, t[100:300] + t[:140]) for k, t in rows[:20]]
+    rows += [(7001, "ab" * 300), (7003, "x" * 250), (7004, "x" * 250), (7001, "other text under an id that repeats " * 5),
+             (7005, line * 3), (7005, line * 3), (None, line * 3), (7006, None)]
+    for many in (0, 30):
+        got = collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, rows), many=many).collect())
+        assert got == brute_repeats(rows)
+
+
 def test_long_texts_come_in_overlapping_pieces(spark, monkeypatch):
     rng = random.Random(5)
     base = "".join(rng.choice("abcdefgh ") for _ in range(6000))
