@@ -29,8 +29,8 @@ which many documents consist in part makes no pairs, and no link is lost. Every
 link is confirmed on the full sets.
 
 Rows with a null id come back with a null component and ``kept`` true. Rows
-that repeat an id are one document each for ``n_shingles``; they share the
-component of the id. Other columns of the input are ignored.
+that repeat an id are one document each for ``n_shingles`` and for links; they
+share the component of the id. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -126,17 +126,23 @@ def _sketch(minima: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * longs.shape[1], pa.int32()), pa.array(longs.ravel()))
 
 
+def _digest(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[2, documents] sums that name each set; zero for empty sets."""
+    some = np.flatnonzero(np.diff(at))
+    digest = np.zeros((2, len(at) - 1), np.uint64)
+    if len(some):
+        with np.errstate(over="ignore"):
+            digest[0, some] = np.add.reduceat(C.mix64(shingles), at[some])
+            digest[1, some] = np.add.reduceat(C.mix64(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)), at[some])
+    return digest
+
+
 def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in C.chunks(batch.column(1)):
             shingles, at = shingle_hashes(data, offsets, width)
             n = np.diff(at)
-            some = np.flatnonzero(n)
-            digest = np.zeros((2, last - first), np.uint64)
-            if len(some):
-                with np.errstate(over="ignore"):
-                    digest[0, some] = np.add.reduceat(C.mix64(shingles), at[some])
-                    digest[1, some] = np.add.reduceat(C.mix64(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)), at[some])
+            digest = _digest(shingles, at)
             minima = minhashes(shingles, at, 2 * collections * rows)
             values = _collection_values(minima, rows).view(np.int64)
             near = pa.ListArray.from_arrays(
@@ -150,14 +156,19 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, r
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sets of (doc_id, text); with columns set_a and set_b, only of the texts whose set has that digest."""
     for batch in batches:
         for first, last, data, offsets in C.chunks(batch.column(1)):
             shingles, at = shingle_hashes(data, offsets, width)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first).cast(pa.int64()),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64))),
                  _sketch(minhashes(shingles, at, FINE))],
                 names=["doc_id", "shingles", "fine"])
+            if batch.num_columns > 2:
+                named = np.stack([batch.column(k).slice(first, last - first).to_numpy() for k in (2, 3)])
+                out = out.filter(pa.array((_digest(shingles, at).view(np.int64) == named).all(axis=0)))
+            yield out
 
 
 def _shared_keys(nodes: DataFrame, collections: int) -> DataFrame:
@@ -287,9 +298,10 @@ def _by_centre(scratch: Scratch, stars: DataFrame, nodes: DataFrame, sets: DataF
     return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents whose ids ``wanted`` names."""
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
+def _sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles, fine) of the nodes that ``wanted`` names, each node in the place of a doc_id."""
+    named = wanted.join(heads.select("node", F.col("low").alias("doc_id"), "set_a", "set_b"), "node")
+    texts = docs.join(named.hint("shuffle_hash"), "doc_id").select("node", "text", "set_a", "set_b")
     return scratch.write(texts.mapInArrow(partial(_sets, width=width), _SETS).dropDuplicates(["doc_id"]))
 
 
@@ -310,34 +322,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT,
     feats = scratch.write(docs.mapInArrow(
         partial(_features, width=width, collections=collections, rows=rows), _FEATURES))
 
-    # equal sets are one node, named by their smallest id
+    # equal sets are one node; a repeated id may be the smallest of several, so nodes have names of their own
     member = feats.filter("doc_id is not null and n_shingles > 0")
     klass = ["n_shingles", "set_a", "set_b"]
-    heads = member.groupBy(*klass).agg(F.min("doc_id").alias("node"))
-    nodes = scratch.write(heads.join(
-        member.select("doc_id", "bits", "near").dropDuplicates(["doc_id"]),
-        F.col("node") == F.col("doc_id")).select(
-            "node", F.col("n_shingles").alias("n"), F.col("bits").alias("x"), "near"))
+    heads = scratch.write(member.groupBy(*klass).agg(F.min("doc_id").alias("low")).withColumn(
+        "node", F.monotonically_increasing_id()))
+    rows_of = member.select(F.col("doc_id").alias("low"), *klass, "bits", "near").dropDuplicates(["low", *klass])
+    nodes = scratch.write(heads.join(rows_of, ["low", *klass]).select(
+        "node", F.col("n_shingles").alias("n"), F.col("bits").alias("x"), "near"))
     sketch = nodes.select("node", "n", "x")
     possible = _possible(percent, 2 * collections * rows)
 
     buckets = scratch.write(_buckets(_shared_keys(nodes, collections)))
     stars = buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     stars = scratch.write(_agreeing(stars, sketch, possible))
-    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    links = scratch.write(_confirmed(stars, _sets_of(scratch, docs, ends, width), percent))
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    links = scratch.write(_confirmed(stars, _sets_of(scratch, docs, ends, heads, width), percent))
     merged = scratch.write(connected_components(scratch, links))
 
     parts = merged.select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     left = scratch.write(_open_nodes(buckets, parts).join(sketch, "node"))
-    sets = _sets_of(scratch, docs, left.select(F.col("node").alias("doc_id")), width)
+    sets = _sets_of(scratch, docs, left.select("node"), heads, width)
     more = scratch.write(_across(scratch, left, sets, percent, possible))
 
     # links across components, and the equal-set classes, complete the graph
     joined = merged.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    named = member.join(heads, klass).select("doc_id", "node").distinct()
+    for end in "ab":
+        low = heads.select(F.col("node").alias(end), "low")
+        joined, more = (x.join(low, end).drop(end).withColumnRenamed("low", end) for x in (joined, more))
+    named = member.join(heads, klass).select("doc_id", "low").distinct()
     graph = joined.unionByName(more).unionByName(
-        named.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+        named.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).filter("a <> b")
     label = connected_components(scratch, graph)
     out = feats.select("doc_id", "n_shingles").join(
         label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(

@@ -338,6 +338,18 @@ def test_minhash_dedup(spark, width):
     assert minhash_dedup.near_duplicates(frame(spark, []), width=width).count() == 0
 
 
+def test_minhash_of_ids_that_repeat(spark):
+    """An id with several texts links by each of them, whichever row comes first."""
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(4)]
+    near = [" ".join(w[:30] + ["other"] + w[30:]) for w in words]
+    a, *b = (" ".join(w) for w in words)
+    rows = [(1, a)] + [(1, t) for t in b] + [(k + 2, t) for k, t in enumerate(b)] + [(k + 5, t) for k, t in enumerate(near[1:])] + [(9, "far off " * 9)]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = minhash_dedup.near_duplicates(frame(spark, some), width=4).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {**{k: 1 for k in range(1, 8)}, 9: 9}
+        assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("edits", [3, 6])
 def test_minhash_across_components(spark, edits):
     """Crowds at one shingle: independent and shared edits of a text, and a passage in other texts."""
