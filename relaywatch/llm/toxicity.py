@@ -4,7 +4,9 @@ A text is its sequence of words (runs of letters, A-Z lowered). Each word enters
 the network by word inputs (how its hashed form leans to toxic or clean labelled
 documents, a learned vector) and by character inputs (the largest and the mean
 lean of its four-byte grams, a learned vector of the gram that leans most). The
-leans are document frequencies over all training rows, summed by Spark.
+leans are document frequencies over the labelled training rows, summed by Spark:
+all of them up to ``COUNTED``, above that those of the smallest hash draws. Only
+their ids travel (a broadcast within that bound); no text is shuffled.
 
 Two gated recurrent chains read a window of ``WINDOW`` words in both directions,
 attention pools their states, and a logistic unit scores the window. Windows
@@ -37,6 +39,7 @@ WORD_BINS, GRAM_BINS = 1 << 16, 1 << 15
 WINDOW, STRIDE = 64, 48
 HIDDEN = 8
 SAMPLE, PICKED = 1500, 3
+COUNTED, DRAWS = 400_000, 4096   # labelled documents that the leans count at most; hash draws they are taken by
 EPOCHS, LEAST_STEPS = 5, 250   # passes over the sample; more of a small one
 PSEUDO = 4.0              # labelled documents of average toxicity added to every bin
 VECTORS, WIDE = 4096, 2   # learned vectors of words and of grams
@@ -279,26 +282,40 @@ def train(rows, rate: float, seed: int = 1) -> Network:
     return net
 
 
+def _drawn(labelled: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of the lowest draws that stay within ``most`` (``COUNTED``) ids: a bound for their broadcast."""
+    per_draw = {r["draw"]: r["n"] for r in labelled.groupBy("draw").agg(F.count("*").alias("n")).collect()}
+    below, held = 0, 0
+    for below in range(DRAWS + 1):
+        held += per_draw.get(below, 0)
+        if held > (COUNTED if most is None else most):
+            break
+    return labelled.filter(F.col("draw") < below).select("doc_id", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, np.ndarray]:
     """(network, counts) learned from ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``."""
     spark = C.ship(docs.sparkSession)
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    known = texts.join(marked, "doc_id").select("toxic", "text", "doc_id")
+    scratch = C.Scratch(spark)
+    with_text = scratch.write(marked.join(texts.select("doc_id"), "doc_id", "left_semi").withColumn(
+        "draw", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)).cast("int")))
+    known = texts.join(F.broadcast(_drawn(with_text)), "doc_id").select("toxic", "text", "doc_id")   # COUNTED ids
     sums = known.select("toxic", "text").mapInArrow(_count, "bin int, toxic long, clean long").groupBy("bin").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
     counts = np.zeros((2, WORD_BINS + GRAM_BINS + 1))
     counts[0, sums["bin"]], counts[1, sums["bin"]] = sums["toxic"], sums["clean"]
     rate = counts[0, -1] / max(1.0, counts[:, -1].sum())
-    with_text = marked.join(texts.select("doc_id"), "doc_id", "left_semi")
     picked = with_text.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).unionByName(
-        with_text.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+        with_text.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)).select("doc_id", "toxic")
     sample = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text", "doc_id")   # 2 * SAMPLE ids
     shared = spark.sparkContext.broadcast(counts)
     rows = sample.mapInArrow(partial(_sampled, counts=shared),
                              "doc_id long, toxic int, fixed binary, words binary, grams binary")
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["toxic"], r["words"]))
+    scratch.drop()
     return train(rows, rate), counts
 
 
