@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from relaywatch.llm import common as C
 
 WORD_BINS, GRAM_BINS = 1 << 16, 1 << 15
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 HIDDEN = 8
 SAMPLE, PICKED = 1500, 3
 COUNTED, DRAWS = 400_000, 4096   # labelled documents that the leans count at most; hash draws they are taken by
