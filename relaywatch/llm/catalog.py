@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaywatch.llm import (bpe, decontaminate, embedding_dedup, langid, licenses, minhash_dedup, packing, secret_scan,
-                            suffix_dedup, toxicity)
+from relaywatch.llm import (bpe, decontaminate, embedding_dedup, langid, licenses, minhash_dedup, packing, secret_scan, sharding,
+                            suffix_dedup, token_alignment, toxicity, vector_codes)
 from relaywatch.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 TOXIC_FROM = 0.3
 
 
@@ -71,6 +72,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"), shards=16)
+
+
 _COMPONENTS = """
 reach(id, low) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id),
 parts AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
@@ -102,8 +116,9 @@ SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_secret_scan, op3_toxicity, op4_suffix_dedup, op5_decontaminate, op6_license_scan,
-        op7_language_id, op8_minhash_dedup, op9_bpe, op10_packing)}
+        op7_language_id, op8_minhash_dedup, op9_bpe, op10_packing, op11_vector_codes, op12_token_alignment, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_minhash_dedup": OP8_SQL,
+            "op11_vector_codes": vector_codes.ORACLE_SQL}
