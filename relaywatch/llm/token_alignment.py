@@ -19,7 +19,7 @@ Texts are tokenized in pieces cut before a space that follows a non-space: no
 pre-token of A and no merge of B crosses such a place (for B both the vocabulary and
 the normalizer are tested when it is loaded; if they do not allow it, texts are
 tokenized whole). Pieces repeat, so a task tokenizes and aligns each of its pieces
-once and then only looks them up; the store is emptied when it is large.
+once and then only looks them up; a large store drops the pieces met only once.
 
 Defined results: null and empty texts, and texts whose joined A or B bytes are not a
 space and the text, have no tokens: counts 0 and groups ''. Special tokens' strings
@@ -29,19 +29,25 @@ Texts of any length are read whole. Only ``doc_id`` and ``text`` are used.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaywatch.llm import common as C
 
 HEAVY = 32768
-STORED_CHARS = 16 << 20      # length of the pieces that a task keeps at most
+STORED, STEP = 200_000, 1 << 15   # pieces after which a task drops those met once; pieces aligned at once
+LINK_BYTES = 1 << 20         # stored links that a task looks up at once
+CHUNK_BYTES = 2 << 20        # text that a task handles at once, more only for a longer document
 TALLY = 1 << 19              # pairs that a task sums before it hands them on
 PROBE = "a  b é é 가 ﬁ ㎒ Ａ   c\t d  "
 _cut = re.compile(r"(?<=\S) ")
@@ -54,6 +60,28 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Lists:
+    """Lists of ids as one array."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ends = np.r_[0, np.cumsum(self.n)]
+        self.flat = np.fromiter(chain.from_iterable(lists), np.int64, int(self.ends[-1]))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each list of the values of its ids."""
+        total = np.r_[0, np.cumsum(values[self.flat])]
+        return total[self.ends[1:]] - total[self.ends[:-1]]
+
+    def kept(self, which: np.ndarray) -> Lists:
+        """The same lists, those not in ``which`` emptied."""
+        out = Lists([])
+        out.n = np.where(which, self.n, 0)
+        out.ends = np.r_[0, np.cumsum(out.n)]
+        out.flat = self.flat[np.repeat(which, self.n)]
+        return out
+
+
 class Pair:
     """The two tokenizers, the bytes of their ids, and the A id to B id array."""
 
@@ -67,156 +95,214 @@ class Pair:
         self.a.no_padding()
         of = byte_level()
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(of[c] for c in n) if all(c in of for c in n) else n.encode() for n in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, is_byte)]
+        a_bytes = [bytes(of[c] for c in n) if all(c in of for c in n) else n.encode() for n in names]
+        b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, is_byte)]
         best: dict[bytes, int] = {}
         for byte_ones in (False, True):                 # a piece goes before a byte of the same value
             for i, byte in enumerate(is_byte):
                 if byte == byte_ones and not self.b.is_control(i) and not self.b.is_unknown(i):
-                    best.setdefault(self.b_bytes[i], i)
-        self.same = np.array([best.get(x, -1) for x in self.a_bytes], np.int64)
-        self.cuts = (self._b_joined(self.b.encode(PROBE)) == (" " + PROBE).encode()
+                    best.setdefault(b_bytes[i], i)
+        self.same = np.array([best.get(x, -1) for x in a_bytes], np.int64)
+        self.kind = np.dtype("<u2" if len(names) <= 1 << 16 else "<u4")      # of A ids where they are stored
+        self.a_bytes, self.b_bytes = np.array([*a_bytes, None], object)[:-1], np.array([*b_bytes, None], object)[:-1]
+        self.a_size, self.b_size = (np.array(list(map(len, table)), np.int64) for table in (a_bytes, b_bytes))
+        self.cuts = (b"".join(self.b_bytes[self.b.encode(PROBE)]) == (" " + PROBE).encode()
                      and not any("▁" in p.lstrip("▁") for p in pieces))
         self._lead = len(self.b.encode("x"))
-
-    def _b_joined(self, ids) -> bytes:
-        return b"".join(map(self.b_bytes.__getitem__, ids))
-
-    def _a_joined(self, ids) -> bytes:
-        return b"".join(map(self.a_bytes.__getitem__, ids))
+        # an id as it stands in the groups' text: inside its side, at the end of A's side, at the end of the group
+        most = range(max(len(names), len(pieces)))
+        self.commas, self.ends_a, self.ends_b = (np.array([f"{i}{mark}" for i in most], object) for mark in ",|;")
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that both tokenizers read by themselves, each without the space before it."""
         return _cut.split(text) if self.cuts else [text]
 
-    def tokens(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """(A ids, B ids, whether both spell the piece) of pieces, each with its space."""
+    def tokens(self, pieces: list[str]) -> tuple[Lists, Lists]:
+        """A ids and B ids of pieces, each read with the space before it."""
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        many = encode([" " + p for p in pieces], add_special_tokens=False)
+        many = Lists([e.ids for e in encode([" " + p for p in pieces], add_special_tokens=False)])
         if self.cuts:
-            others = [ids[self._lead:] for ids in self.b.encode(["x " + p for p in pieces], num_threads=1)]
-        else:
-            others = self.b.encode(pieces, num_threads=1)
-        for piece, enc, b in zip(pieces, many, others):
-            a, whole = enc.ids, (" " + piece).encode()
-            yield a, b, self._a_joined(a) == whole and self._b_joined(b) == whole
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The tokens between common ends; both sides spell the same bytes."""
-        out, i, j, from_i, from_j = [], 0, 0, 0, 0
-        end_a, end_b = (len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])) if a and b else (0, 0)
-        while i < len(a) and j < len(b):
-            if end_a == end_b:
-                out.append((a[from_i:i + 1], b[from_j:j + 1]))
-                i, j = i + 1, j + 1
-                from_i, from_j = i, j
-                if i < len(a) and j < len(b):
-                    end_a, end_b = end_a + len(self.a_bytes[a[i]]), end_b + len(self.b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.a_bytes[a[i]]) if i < len(a) else 0
-            else:
-                j += 1
-                end_b += len(self.b_bytes[b[j]]) if j < len(b) else 0
-        return out
+            return many, Lists([ids[self._lead:] for ids in self.b.encode(["x " + p for p in pieces], num_threads=1)])
+        return many, Lists(self.b.encode(pieces, num_threads=1))
+
+    def spelled(self, texts: list[str], a: Lists, b: Lists) -> np.ndarray:
+        """Whether A's and B's tokens both spell a space and the text, for each text."""
+        raw = [(" " + t).encode() for t in texts]
+        whole, size = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size))
+        if all((ids.sums(n) == size).all() and b"".join(table[ids.flat].tolist()) == whole for ids, table, n in sides):
+            return np.ones(len(texts), bool)
+        sound = np.ones(len(texts), bool)
+        for ids, table, _ in sides:
+            ends = ids.ends.tolist()
+            sound &= [b"".join(table[ids.flat[x:y]].tolist()) == r for r, x, y in zip(raw, ends, ends[1:])]
+        return sound
+
+
+class Groups:
+    """The groups of many pieces at once; both sides of each piece spell the same bytes.
+
+    ``n`` groups, ``text`` and, one for each group, ``links`` (A id * 2^32 + B id).
+    """
+
+    def __init__(self, pair: Pair, a: Lists, b: Lists):
+        end_a, end_b = np.cumsum(pair.a_size[a.flat]), np.cumsum(pair.b_size[b.flat])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        self.links = a.flat[np.searchsorted(end_a, common)] << 32 | b.flat[np.searchsorted(end_b, common)]
+        self.n = np.diff(np.searchsorted(common, np.r_[0, end_a][a.ends], side="right"))
+        # the tokens in the order of the text: of each group first A's, then B's
+        before_a, before_b = (np.r_[0, np.cumsum(np.bincount(g, minlength=len(common)))] for g in (in_a, in_b))
+        words = np.empty(len(a.flat) + len(b.flat), object)
+        for flat, group, place, marks in ((a.flat, in_a, before_b[in_a], pair.ends_a), (b.flat, in_b, before_a[in_b + 1], pair.ends_b)):
+            shuts = np.r_[group[1:] != group[:-1], True][:len(group)]
+            words[np.arange(len(flat)) + place] = np.where(shuts, marks[flat], pair.commas[flat])
+        words = words.tolist()
+        whole = "".join(words)
+        chars = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        cut = chars[a.ends + b.ends].tolist()
+        self.text = [whole[x:y - 1] if y > x else "" for x, y in zip(cut, cut[1:])]
 
 
 class Store(dict):
-    """Piece to number; what is known of each piece stands in lists by number."""
+    """Piece to number; what is known of each piece stands in arrays by number."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.new, self.chars = pair, [], 0
-        self.n_a, self.n_b, self.n_groups, self.text, self.sound = [], [], [], [], []
-        self.fast, self.odd = [], []
+        self.pair, self.new, self.text = pair, [], []
+        self.n_a = self.n_b = self.n_groups = self.links = self.seen = np.zeros(0, np.int64)
+        self.sound = np.zeros(0, bool)
 
     def __missing__(self, piece: str) -> int:
         self[piece] = k = len(self)
         self.new.append(piece)
-        self.chars += len(piece)
         return k
 
     def learn(self) -> None:
         """Tokenize and align the pieces met since the last call."""
-        for a, b, sound in self.pair.tokens(self.new) if self.new else ():
-            self.add(a, b, sound)
+        for at in range(0, len(self.new), STEP):
+            some = self.new[at:at + STEP]
+            a, b = self.pair.tokens(some)
+            self.add(a, b, self.pair.spelled(some, a, b))
         self.new = []
 
-    def add(self, a: list[int], b: list[int], sound: bool) -> None:
-        groups = self.pair.groups(a, b) if sound else []
-        same, fast, odd = self.pair.same, [], []
-        for x, y in groups:
-            if len(x) == 1 and len(y) == 1 and same[x[0]] == y[0]:
-                fast.append(x[0])
-            else:
-                odd.append(x[-1] << 32 | y[-1])
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.n_groups.append(len(groups))
-        self.text.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-        self.sound.append(sound)
-        self.fast.append(np.array(fast, np.int32))
-        self.odd.append(np.array(odd, np.int64))
-
-
-def _flat(parts: list[np.ndarray], which: np.ndarray, first: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of the numbers ``which`` one after the other, and the offsets of documents that begin at ``first``."""
-    used, back = np.unique(which, return_inverse=True)
-    sizes = np.array([len(parts[k]) for k in used], np.int64)
-    values = np.concatenate([parts[k] for k in used]) if len(used) else np.zeros(0, kind)
-    start = np.cumsum(sizes) - sizes
-    n = sizes[back]
-    ends = np.r_[0, np.cumsum(n)]
-    place = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(start[back], n)
-    return values[place].astype(kind), ends[first]
-
-
-_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, fast array<int>, odd array<long>"
-
-
-def _aligned(batches: Iterator[pa.RecordBatch], files) -> Iterator[pa.RecordBatch]:
-    pair = Pair(*files.value)
+    def add(self, a: Lists, b: Lists, sound: np.ndarray) -> None:
+        if not sound.all():
+            a, b = a.kept(sound), b.kept(sound)
+        groups = Groups(self.pair, a, b)
+        self.n_a, self.n_b, self.sound = np.r_[self.n_a, a.n], np.r_[self.n_b, b.n], np.r_[self.sound, sound]
+        self.n_groups, self.links = np.r_[self.n_groups, groups.n], np.r_[self.links, groups.links]
+        self.seen = np.r_[self.seen, np.zeros(len(sound), np.int64)]
+        self.text += groups.text
+
+    def links_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the pieces ``which``, one after the other, and where each piece's end."""
+        n = self.n_groups[which]
+        ends = np.r_[0, np.cumsum(n)]
+        start = np.cumsum(self.n_groups) - self.n_groups
+        return self.links[np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], n)], ends
+
+    def pruned(self) -> Store:
+        """A store of the pieces that were met more than once, at most half of what a task may keep."""
+        out, some = Store(self.pair), np.flatnonzero(self.seen > 1)
+        if len(some) > STORED // 2:
+            some = np.sort(np.argsort(-self.seen, kind="stable")[:STORED // 2])
+        names = list(self)
+        for k, old in enumerate(some.tolist()):
+            dict.__setitem__(out, names[old], k)
+        out.text = [self.text[k] for k in some.tolist()]
+        out.links = self.links_of(some)[0]
+        out.n_a, out.n_b, out.n_groups, out.sound = self.n_a[some], self.n_b[some], self.n_groups[some], self.sound[some]
+        out.seen = np.ones(len(some), np.int64)
+        return out
+
+
+_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, fast binary, odd binary"
+
+
+def _stored(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``values`` as a binary column."""
+    if not len(values):
+        return pa.array([b""] * (len(ends) - 1), pa.binary())
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _read(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many in each row) of a column that :func:`_stored` made."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    raw = b"" if data is None else memoryview(data)[ends[0]:ends[-1]]
+    return np.frombuffer(raw, kind).astype(np.int64), np.diff(ends) // np.dtype(kind).itemsize
+
+
+_loaded: dict[tuple[str, bytes], Pair] = {}
+
+
+def _pair(files: tuple[str, bytes]) -> Pair:
+    """The tokenizers of a worker process, loaded once: it runs many tasks."""
+    if files not in _loaded:
+        _loaded.clear()
+        _loaded[files] = Pair(*files)
+    return _loaded[files]
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], files, digest: bool) -> Iterator[pa.RecordBatch]:
+    pair = _pair(files.value)
     store = Store(pair)
     for batch in batches:
-        for first, last, _, _ in C.chunks(batch.column(1)):
-            numbers = []
-            for text in batch.column(1).slice(first, last - first).to_pylist():
-                numbers.append(list(map(store.__getitem__, pair.pieces(text))) if text else [])
+        for first, last, _, _ in C.chunks(batch.column(1), CHUNK_BYTES):
+            texts = batch.column(1).slice(first, last - first).to_pylist()
+            numbers = [list(map(store.__getitem__, pair.pieces(text))) if text else [] for text in texts]
             store.learn()
-            if not all(store.sound):
-                numbers = [_whole(store, pair, n, batch.column(1)[first + k].as_py()) for k, n in enumerate(numbers)]
-            yield _rows(batch.column(0).slice(first, last - first), store, numbers)
-            if store.chars > STORED_CHARS:
-                store = Store(pair)
-
-
-def _whole(store: Store, pair: Pair, numbers: list[int], text: str | None) -> list[int]:
-    """The numbers of a document one of whose pieces is not spelled by its tokens: it is judged as a whole."""
-    if all(store.sound[k] for k in numbers):
+            if not store.sound.all():
+                numbers = [_whole(store, n, text) for n, text in zip(numbers, texts)]
+            yield _rows(batch.column(0).slice(first, last - first), store, numbers, digest)
+            if len(store) > STORED:
+                store = store.pruned()
+    del store
+    _release()
+
+
+def _release() -> None:
+    """Hand freed memory back to the system, where its allocator can: a worker process runs many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _whole(store: Store, numbers: list[int], text: str | None) -> list[int]:
+    """The numbers of a document; where its tokens do not spell a piece, it is judged as a whole."""
+    if not numbers or store.sound[numbers].all():
         return numbers
-    a, b, whole = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text), (" " + text).encode()
-    if pair._a_joined(a) != whole or pair._b_joined(b) != whole:
+    pair = store.pair
+    a, b = Lists([pair.a.encode(" " + text, add_special_tokens=False).ids]), Lists([pair.b.encode(text)])
+    sound = pair.spelled([text], a, b)
+    if not sound[0]:
         return []
     store[None, len(store)] = len(store)           # a number of its own that no piece has
-    store.add(a, b, True)
+    store.add(a, b, sound)
     return [len(store) - 1]
 
 
-def _rows(ids: pa.Array, store: Store, numbers: list[list[int]]) -> pa.RecordBatch:
-    first = np.cumsum([0, *map(len, numbers)])
-    which = np.array([k for n in numbers for k in n], np.int64)
-    sums = []
-    for per_piece in (store.n_a, store.n_b, store.n_groups):
-        total = np.r_[0, np.cumsum(np.array(per_piece, np.int64)[which])] if len(which) else np.zeros(1, np.int64)
-        sums.append(total[first[1:]] - total[first[:-1]])
-    fast, fast_at = _flat(store.fast, which, first, np.int32)
-    odd, odd_at = _flat(store.odd, which, first, np.int64)
+def _rows(ids: pa.Array, store: Store, numbers: list[list[int]], digest: bool) -> pa.RecordBatch:
+    lists = Lists(numbers)
+    first, which = lists.ends, lists.flat
+    store.seen += np.bincount(which, minlength=len(store.seen))
+    sums = [lists.sums(per_piece) if len(which) else np.zeros(len(numbers), np.int64) for per_piece in (store.n_a, store.n_b, store.n_groups)]
+    links, ends = store.links_of(which)
+    a = links >> 32
+    fast = store.pair.same[a] == links & 0xFFFFFFFF
+    held = np.r_[0, np.cumsum(fast)][ends[first]]
+    texts = (";".join(map(store.text.__getitem__, n)) for n in numbers)
+    if digest:
+        texts = (hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts)
     return pa.RecordBatch.from_arrays([
-        ids.cast(pa.int64()), *(pa.array(s, pa.int64()) for s in sums),
-        pa.array([";".join(map(store.text.__getitem__, n)) for n in numbers], pa.string()),
-        pa.ListArray.from_arrays(pa.array(fast_at, pa.int32()), pa.array(fast)),
-        pa.ListArray.from_arrays(pa.array(odd_at, pa.int32()), pa.array(odd))],
+        ids.cast(pa.int64()), *(pa.array(s, pa.int64()) for s in sums), pa.array(texts, pa.string()),
+        _stored(a[fast].astype(store.pair.kind), held), _stored(links[~fast].astype("<i8"), ends[first] - held)],
         names=["doc_id", "n_a", "n_b", "n_groups", "groups", "fast", "odd"])
 
 
@@ -226,20 +312,34 @@ def vocabularies(spark: SparkSession, a_path: str, b_path: str):
         return C.ship(spark).sparkContext.broadcast((a.read(), b.read()))
 
 
-def align(docs: DataFrame, files) -> DataFrame:
+def align(docs: DataFrame, files, digest: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: token and group counts, the groups as text, and the links.
 
-    ``groups`` reads ``a1,a2|b1;a3|b2``. ``fast`` holds the A ids of the links that the
-    identity map gives, ``odd`` the other links as A id * 2^32 + B id.
+    ``groups`` reads ``a1,a2|b1;a3|b2`` ('' without tokens); with ``digest`` it is that text's sha256 in hex, so
+    that the text, longer than the document, need not leave the task. ``fast`` holds the A ids of the links that the
+    identity map gives (little-endian, two bytes each, four for vocabularies above 65,536), ``odd`` the other
+    links as A id * 2^32 + B id (eight bytes each).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_aligned, files=files), _ALIGNED)
+    return rows.mapInArrow(partial(_aligned, files=files, digest=digest), _ALIGNED)
 
 
-def _fast_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(size, np.int64)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``LINK_BYTES`` of links; a longer row stays whole."""
     for batch in batches:
-        total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+        sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_binary(c.type))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LINK_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _fast_counts(batches: Iterator[pa.RecordBatch], size: int, kind) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(size, np.int64)
+    for batch in _runs(batches):
+        total += np.bincount(_read(batch.column(0), kind)[0], minlength=size)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["a", "n"])
 
@@ -253,8 +353,8 @@ def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 def _odd_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        some, k = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+    for batch in _runs(batches):
+        some, k = np.unique(_read(batch.column(0), "<i8")[0], return_counts=True)
         keys, n = _merged([keys, some], [n, k])
         if len(keys) > TALLY:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
@@ -265,11 +365,12 @@ def _odd_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Counts:
     """Corpus-wide link counts: vectors for fast links and heavy pairs, a table for the other pairs."""
 
-    def __init__(self, scratch: C.Scratch, links: DataFrame, same: np.ndarray, b_size: int):
-        """``links(fast, odd)`` with any other columns; ``same`` is the A id to B id array."""
-        spark = links.sparkSession
-        self.same, self.fast, best = same, np.zeros(len(same), np.int64), np.zeros(b_size, np.int64)
-        for r in links.select("fast").mapInArrow(partial(_fast_counts, size=len(same)), "a int, n long").groupBy("a").agg(
+    def __init__(self, scratch: C.Scratch, links: DataFrame, pair: Pair):
+        """``links(fast, odd)`` with any other columns."""
+        spark, same = links.sparkSession, pair.same
+        self.same, self.kind = same, pair.kind
+        self.fast, best = np.zeros(len(same), np.int64), np.zeros(len(pair.b_bytes), np.int64)
+        for r in links.select("fast").mapInArrow(partial(_fast_counts, size=len(same), kind=pair.kind), "a int, n long").groupBy("a").agg(
                 F.sum("n").alias("n")).collect():                                   # no more rows than A has ids
             self.fast[r["a"]] = r["n"]
         known = np.flatnonzero((same >= 0) & (self.fast > 0))
@@ -291,7 +392,7 @@ class Counts:
             "pair", "n", (F.col("n") == F.col("top")).alias("is_best"))
 
     def vectors(self):
-        return self.same, self.fast, self.best, self.heavy, self.heavy_n
+        return self.kind, self.same, self.fast, self.best, self.heavy, self.heavy_n
 
 
 def _heavy_at(pairs: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,33 +403,31 @@ def _heavy_at(pairs: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, heavy[at] == pairs
 
 
-def _per_row(lists: pa.ListArray, values: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (one for each element) over the rows of a list column."""
-    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-    ends = np.r_[0, np.cumsum(sizes)]
-    total = np.r_[0, np.cumsum(values)]
+def _per_row(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values``."""
+    total, ends = np.r_[0, np.cumsum(values)], np.r_[0, np.cumsum(sizes)]
     return total[ends[1:]] - total[ends[:-1]]
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
     """(row, n_best, count_sum) over fast and heavy links."""
-    same, fast, best, heavy, heavy_n = vectors.value
-    for batch in batches:
-        a, pairs = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    kind, same, fast, best, heavy, heavy_n = vectors.value
+    for batch in _runs(batches):
+        (a, n_a), (pairs, n_pairs) = _read(batch.column(1), kind), _read(batch.column(2), "<i8")
         at, there = _heavy_at(pairs, heavy)
         n = np.where(there, heavy_n[at] if len(heavy) else 0, 0)
         top = there & (n == best[pairs & 0xFFFFFFFF])
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(_per_row(batch.column(1), fast[a] == best[same[a]]) + _per_row(batch.column(2), top)),
-            pa.array(_per_row(batch.column(1), fast[a]) + _per_row(batch.column(2), n))], names=["row", "n_best", "count_sum"])
+            batch.column(0), pa.array(_per_row(n_a, fast[a] == best[same[a]]) + _per_row(n_pairs, top)),
+            pa.array(_per_row(n_a, fast[a]) + _per_row(n_pairs, n))], names=["row", "n_best", "count_sum"])
 
 
 def _light_links(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
     """(row, pair, k): the links that are neither fast nor heavy, summed in each row."""
-    heavy = vectors.value[3]
-    for batch in batches:
-        pairs = batch.column(1).flatten().to_numpy()
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(1).value_lengths().fill_null(0)))
+    heavy = vectors.value[-2]
+    for batch in _runs(batches):
+        pairs, sizes = _read(batch.column(1), "<i8")
+        row = np.repeat(np.arange(batch.num_rows), sizes)
         rest = ~_heavy_at(pairs, heavy)[1]
         row, pairs = row[rest], pairs[rest]
         order = np.lexsort((pairs, row))
@@ -353,11 +452,11 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     files = vocabularies(spark, a_path, b_path)
-    rows = scratch.write(align(docs, files).select(
+    rows = scratch.write(align(docs, files, digest=True).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "fast", "odd",
-        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")))
+        F.col("groups").alias("groups_sha256")))
     pair = Pair(*files.value)
-    counts = Counts(scratch, rows, pair.same, len(pair.b_bytes))
+    counts = Counts(scratch, rows, pair)
     vectors = spark.sparkContext.broadcast(counts.vectors())
     known = rows.select("row", "fast", "odd").mapInArrow(partial(_looked_up, vectors=vectors), "row long, n_best long, count_sum long")
     light = rows.select("row", "odd").mapInArrow(partial(_light_links, vectors=vectors), "row long, pair long, k long")

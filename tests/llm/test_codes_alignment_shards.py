@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -144,6 +145,17 @@ def brute_alignment(texts):
             for n_a, n_b, links, digest in out], counts
 
 
+def test_a_pruned_store_gives_the_same(monkeypatch):
+    files = collections.namedtuple("Shared", "value")((
+        open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()))
+    rows = small_documents()
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    whole = pa.Table.from_batches(token_alignment._aligned(iter([batch]), files, False)).to_pylist()
+    monkeypatch.setattr(token_alignment, "STORED", 300)
+    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 20_000)
+    assert pa.Table.from_batches(token_alignment._aligned(iter([batch]), files, False)).to_pylist() == whole
+
+
 @pytest.mark.parametrize("heavy", [4, token_alignment.HEAVY])
 def test_alignment_equals_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(token_alignment, "HEAVY", heavy)            # few heavy pairs: most links go the way of the join
@@ -163,7 +175,7 @@ def test_alignment_outputs_groups_and_pairs(spark):
     links = scratch.write(token_alignment.align(frame(spark, rows), files))
     pair = token_alignment.Pair(*files.value)
     assert pair.cuts
-    counts = token_alignment.Counts(scratch, links, pair.same, len(pair.b_bytes))
+    counts = token_alignment.Counts(scratch, links, pair)
     _, wanted = brute_alignment([t for _, t in rows])
     found = {(r["a_id"], r["b_id"]): r["n"] for r in token_alignment.pair_counts(counts, spark).collect()}
     assert found == dict(wanted)
@@ -177,12 +189,13 @@ def test_alignment_without_cuts_gives_the_same(spark, monkeypatch):
     files = [open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()]
     pair, whole = token_alignment.Pair(*files), token_alignment.Pair(*files)
     whole.cuts = False
+    assert pair.cuts
     for text in TEXTS:
-        cut = list(pair.tokens(pair.pieces(text)))
-        (a, b, _), = whole.tokens([text])
-        assert [x for t in cut for x in t[0]] == a
+        a, b = whole.tokens([text])
+        cut_a, cut_b = pair.tokens(pair.pieces(text))
+        assert cut_a.flat.tolist() == a.flat.tolist()
         if "▁" not in text:
-            assert [x for t in cut for x in t[1]] == b
+            assert cut_b.flat.tolist() == b.flat.tolist()
 
 
 def brute_shards(df, shards, tolerance, weigh):
