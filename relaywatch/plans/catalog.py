@@ -30,8 +30,8 @@ from relaywatch.plans import ingest as I
 from relaywatch.plans import oracle as O
 from relaywatch.plans import rollup as R
 from relaywatch.session import checkpoint_dir
-from relaywatch.sources import sink
-from relaywatch.sources.calls import read_calls, window_scan
+from relaywatch.sources import commits, sink
+from relaywatch.sources.calls import read_calls, scoped, window_scan
 from relaywatch.sources.fixture import AS_OF, fixture_calls
 
 WINDOWS = list(W.WINDOW_SECONDS)
@@ -182,6 +182,69 @@ def _stored_rollup(window, spark, sf_dir, attempts=False):
     return kept
 
 
+def store_committed(spark, sf_dir, root, attempts=False):
+    """(calls, rollup) of a table of four commits below ``root``, the rollup kept by deltas and behind by one.
+
+    Most calls, then half of an earlier date (late), then the last day, then a re-run of
+    the late batch that replaces it. The rollup adds the first three, one at a time, and folds its oldest deltas.
+    """
+    calls = fixture_calls(spark, sf_dir)
+    day = W.to_utc(AS_OF).date()
+    table, path = os.path.join(root, "calls"), os.path.join(root, "rollup")
+    ahead = F.col("ts") >= F.lit(W.to_utc(AS_OF) - dt.timedelta(days=1))
+    late = ~ahead & (F.col("ts_date") == F.lit(day - dt.timedelta(days=4))) & (F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    for batch, rows in (("most", ~ahead & ~late), ("late", late), ("ahead", ahead)):
+        commits.commit_batch(spark, calls.where(rows), table, batch)
+        R.add_deltas(spark, table, path, attempts)
+    R.merge_deltas(spark, path, [(day - dt.timedelta(days=k)).isoformat() for k in (3, 4, 5)])
+    commits.commit_batch(spark, calls.where(late), table, "late")
+    return read_calls(spark, table), R.read(spark, path)
+
+
+def _kept(spark, name, make):
+    """``make(root)`` over tables written below the checkpoint folder, which are removed afterwards."""
+    root = os.path.join(checkpoint_dir(spark), name, uuid.uuid4().hex)
+    try:
+        return make(root).checkpoint(eager=True)
+    finally:
+        sink.drop_staging(spark, root)
+
+
+def _delta_rollup(op, window, spark, sf_dir):
+    def make(root):
+        calls, rollup = store_committed(spark, sf_dir, root, attempts=op is None)
+        rng = W.current(window, AS_OF)
+        if op is None:
+            health = H.provider_health_measures(R.attempt_measures(calls, rollup, rng), rng, sort=False)
+            return H.long_form(health, rng)
+        return op(R.measures(calls, rollup, rng))
+    return _kept(spark, "delta-rollup", make)
+
+
+def _compacted(window, spark, sf_dir):
+    """A1 over a table of many small batches whose dates were compacted but for the last."""
+    def make(root):
+        calls, table = fixture_calls(spark, sf_dir), os.path.join(root, "calls")
+        for k in range(4):
+            commits.commit_batch(spark, calls.where(F.pmod(F.xxhash64("id"), F.lit(4)) == k), table, f"batch {k}")
+        dates = sorted({f["date"] for f in commits.current(spark, table)["folders"]})
+        commits.compact(spark, table, dates[:-1])
+        return Mt.metrics(P.row_measures(scoped(read_calls(spark, table), W.current(window, AS_OF))))
+    return _kept(spark, "compacted", make)
+
+
+def _ingest_against_stored(spark, sf_dir):
+    """Half of the calls are stored when the whole feed, with resends and junk, arrives."""
+    def make(root):
+        table = os.path.join(root, "calls")
+        half = fixture_calls(spark, sf_dir).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+        commits.commit_batch(spark, half, table, "stored")
+        I.ingest_lines(spark, I.fixture_feed(spark, sf_dir), table, os.path.join(root, "quarantine"), "feed",
+                       order=["_seq"], explicit_ts=True)
+        return I.flat(read_calls(spark, table))
+    return _kept(spark, "against-stored", make)
+
+
 def _project_domains(window, spark, sf_dir):
     sc, _ = _scan(spark, sf_dir, window)
     fleet = B.fleet(P.row_measures(sc)).select("project", "calls")
@@ -251,6 +314,11 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_provider_table_full_7d"] = partial(_rollup_provider_table, "7d")
     q["rollup_stored_metrics_7d"] = partial(_stored_rollup, "7d")
     q["rollup_stored_provider_health_7d"] = partial(_stored_rollup, "7d", attempts=True)
+    q["rollup_deltas_metrics_7d"] = partial(_delta_rollup, Mt.metrics, "7d")
+    q["rollup_deltas_model_stats_7d"] = partial(_delta_rollup, B.model_stats, "7d")
+    q["rollup_deltas_provider_health_7d"] = partial(_delta_rollup, None, "7d")
+    q["compacted_metrics_7d"] = partial(_compacted, "7d")
+    q["ingest_against_stored"] = _ingest_against_stored
     q["project_domains_7d"] = partial(_project_domains, "7d")
     q["provider_domains_7d"] = partial(_provider_domains, "7d")
     q["stat_flags_7d"] = partial(_stat_flags, "7d")
@@ -300,6 +368,11 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_provider_table_full_7d"] = O.provider_table("7d", sample=None)
     o["rollup_stored_metrics_7d"] = O.metrics("7d")
     o["rollup_stored_provider_health_7d"] = O.provider_health("7d", sample=None)
+    o["rollup_deltas_metrics_7d"] = O.metrics("7d")
+    o["rollup_deltas_model_stats_7d"] = O.model_stats("7d")
+    o["rollup_deltas_provider_health_7d"] = O.provider_health("7d", sample=None)
+    o["compacted_metrics_7d"] = O.metrics("7d")
+    o["ingest_against_stored"] = O.stored_calls()
     o["project_domains_7d"] = O.project_domains("7d")
     o["provider_domains_7d"] = O.provider_domains("7d")
     o["stat_flags_7d"] = O.stat_flags("7d")

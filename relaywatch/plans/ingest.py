@@ -19,7 +19,7 @@ from relaywatch.sources.fixture import fixture_calls, record_lines
 
 def write_quarantine(rejects: DataFrame, path: str, batch_id: str) -> None:
     """S6 sink: rejected lines, partitioned by batch so a replay overwrites."""
-    (rejects.withColumn(sink.BATCH_COLUMN, F.lit(str(batch_id)))
+    (rejects.withColumn(sink.BATCH_COLUMN, F.lit(sink._name(batch_id)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(sink.BATCH_COLUMN).parquet(path))
 

@@ -22,6 +22,15 @@ the calls that were rolled up. :func:`read` hands the mark on with the frame.
 A window takes from the rollup only the buckets before ``until`` on dates whose
 calls are still those that were rolled up; the rest it reads raw. A rollup
 without a mark (built by the caller) counts as complete.
+
+**Deltas, for a table with commits** (:mod:`relaywatch.sources.commits`).
+:func:`add_deltas` reads only the folders whose commits the rollup does not hold and
+adds their rows as a delta of their own; readers sum the deltas, so the current date is
+served from the rollup while it grows. Each delta states the commit numbers it holds.
+A reader takes the deltas that hold only rows its own snapshot of the calls shows,
+and reads raw just the folders that no such delta covers. A replayed commit is
+known already; a replaced or rewritten batch has a new number, which makes the deltas that
+held the old one void. :func:`merge_deltas` folds the deltas of a date into one.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ from pyspark.sql import types as T
 from relaywatch.functions import windows as W
 from relaywatch.functions.keys import attempt_provider
 from relaywatch.operators import partials as P
-from relaywatch.sources import sink
+from relaywatch.sources import commits, sink
 from relaywatch.sources.calls import read_calls, scope_filter
 
 GRAIN = 300
@@ -78,6 +87,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     mark = read_mark(spark, path)
     if mark is None:
         return spark.read.parquet(path)
+    if "deltas" in mark:
+        return _read_deltas(spark, path, mark)
     out = spark.read.schema(T.StructType.fromJson(mark.pop("schema"))).parquet(path)
     t0 = F.col("t0").alias("t0", metadata={"mark": json.dumps(mark)})
     return out.select(*[t0 if c == "t0" else F.col(c) for c in out.columns])
@@ -192,9 +203,15 @@ def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date],
     if not dates:
         return
     spark = calls.sparkSession
+    for to, attempts in ((path, False), (attempts_path, True)):
+        mark = None if to is None else read_mark(spark, to)
+        if mark is not None and "deltas" in mark:
+            add_deltas(spark, mark["calls"], to, attempts)
     touched = calls.where(F.col("ts_date").isin(*dates))
     for to, make, put in ((path, build, write), (attempts_path, build_attempts, write_attempts)):
         mark = None if to is None else read_mark(spark, to)
+        if mark is not None and "deltas" in mark:
+            continue
         if mark is not None:
             listed = {d.isoformat(): _listed(spark, mark["calls"], d.isoformat()) for d in dates}
             rows = touched.where(F.col("ts") < F.timestamp_seconds(F.lit(mark["until"])))
@@ -203,6 +220,135 @@ def rebuild_dates(calls: DataFrame, path: str, dates: list[dt.date],
             put(make(touched), to)
 
 
+def _covered(folders: list[dict], deltas: list[dict]) -> tuple[list[dict], list[dict]]:
+    """(deltas to read, folders to read raw) that together hold every folder's rows once.
+
+    A delta counts if the folders show all commits it holds; a folder is raw unless such
+    deltas hold all of its commits, and then no delta that shares a commit with it counts.
+    """
+    use, raw = [], []
+    for date in {f["date"] for f in folders}:
+        here = [(f, commits.numbers(f)) for f in folders if f["date"] == date]
+        shown = set().union(*(n for _, n in here))
+        good = [(d, n) for d in deltas if d["date"] == date and (n := commits.numbers(d)) <= shown]
+        while True:
+            held = set().union(*(n for _, n in good))
+            rest = [(f, n) for f, n in here if not n <= held]
+            loose = set().union(*(n for _, n in rest))
+            kept = [(d, n) for d, n in good if not n & loose]
+            if len(kept) == len(good):
+                break
+            good = kept
+        use += [d for d, _ in good]
+        raw += [f for f, _ in rest]
+    return use, raw
+
+
+def _write_deltas(out: DataFrame, path: str, name: str) -> None:
+    (out.withColumn("part", F.lit(name)).hint("rebalance", "ts_date").sortWithinPartitions("t0")
+     .write.mode("append").partitionBy("ts_date", "part").parquet(path))
+
+
+def _publish_deltas(spark: SparkSession, path: str, mark: dict, dropped: list[dict]) -> None:
+    """The next mark; the folders of deltas dropped ``KEPT`` marks ago are deleted."""
+    number = mark["number"] + 1
+    gone = mark["gone"] + [[d["path"], number] for d in dropped]
+    commits.publish(spark, os.path.join(path, MARKS), mark | {"number": number, "gone": [g for g in gone if g[1] > number - commits.KEPT]}, number)
+    for name, since in gone:
+        if since <= number - commits.KEPT:
+            folder, fs = commits.hadoop_path(spark, os.path.join(path, name))
+            fs.delete(folder, True)
+
+
+def add_deltas(spark: SparkSession, table_path: str, path: str, attempts: bool = False) -> list[dict]:
+    """Add to a rollup the rows of the commits it does not hold; returns the folders read.
+
+    Only those folders are read. A run that fails before it publishes leaves files
+    that no mark names; a run that finds nothing new writes nothing.
+    """
+    commit = commits.current(spark, table_path)
+    if commit is None:
+        raise ValueError(f"{table_path} has no commits")
+    mark = read_mark(spark, path)
+    if mark is None or mark["calls"] != table_path or "deltas" not in mark:
+        number = -1 if mark is None else max(int(f.getName().removesuffix(".json")) for f in _mark_files(spark, path))
+        mark = {"calls": table_path, "number": number, "deltas": [], "gone": []}
+    good, new = _covered(commit["folders"], mark["deltas"])
+    dropped = [d for d in mark["deltas"] if d not in good]
+    if not new and not dropped:
+        return []
+    make = build_attempts if attempts else build
+    out = make(commits.read(spark, table_path, commit | {"folders": new}))
+    name = uuid.uuid4().hex
+    added = []
+    if new:
+        _write_deltas(out, path, name)
+        for date in sorted({f["date"] for f in new}):
+            held = {n for f in new if f["date"] == date for n in commits.numbers(f)}
+            added.append({"path": f"ts_date={date}/part={name}", "date": date, "of": commits.ranges(held)})
+    _publish_deltas(spark, path, mark | {"schema": out.schema.jsonValue(), "deltas": good + added}, dropped)
+    return new
+
+
+def merge_deltas(spark: SparkSession, path: str, dates: Iterable[str]) -> None:
+    """Fold the deltas of each of ``dates`` into one, so that closed dates are read from few files."""
+    mark, wanted = read_mark(spark, path), set(dates)
+    if mark is None or "deltas" not in mark:
+        return
+    many = {d["date"] for d in mark["deltas"]} & wanted
+    many = {d for d in many if sum(x["date"] == d for x in mark["deltas"]) > 1}
+    old = [d for d in mark["deltas"] if d["date"] in many]
+    if not old:
+        return
+    rows = _delta_rows(spark, path, mark, old)
+    keys = [c for c in rows.columns if c in ("t0", "ts_date", *GROUP, *ATTEMPT_GROUP)]
+    sums = P.sums() if "calls" in rows.columns else [F.sum(c).alias(c) for c in ATTEMPT_MEASURES]
+    out = _cast(rows.groupBy(*keys).agg(*sums), T.StructType.fromJson(mark["schema"]))
+    name = uuid.uuid4().hex
+    _write_deltas(out, path, name)
+    new = [{"path": f"ts_date={d}/part={name}", "date": d, "of": commits.ranges({n for x in old if x["date"] == d for n in commits.numbers(x)})}
+           for d in sorted(many)]
+    _publish_deltas(spark, path, mark | {"deltas": [d for d in mark["deltas"] if d not in old] + new}, old)
+
+
+def _delta_rows(spark: SparkSession, path: str, mark: dict, deltas: list[dict]) -> DataFrame:
+    schema = T.StructType.fromJson(mark["schema"])
+    if not deltas:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[os.path.join(path, d["path"]) for d in deltas])
+
+
+def _read_deltas(spark: SparkSession, path: str, mark: dict) -> DataFrame:
+    """All deltas of a mark; which mark travels as metadata of ``t0``."""
+    out = _delta_rows(spark, path, mark, mark["deltas"])
+    t0 = F.col("t0").alias("t0", metadata={"mark": json.dumps({"deltas_of": path, "number": mark["number"]})})
+    return out.select(*[t0 if c == "t0" else F.col(c) for c in out.columns])
+
+
+def _delta_parts(calls: DataFrame, rollup: DataFrame, held: dict, rng: W.TimeRange,
+                 scope: Column) -> tuple[DataFrame | None, DataFrame]:
+    """(rollup rows, raw calls) of a window: deltas the calls' snapshot shows, and the folders they lack.
+
+    The folders' raw rows are read by their own list, only on the dates of the window.
+    """
+    spark, seen = calls.sparkSession, commits.snapshot(calls)
+    mark = commits.read_numbered(spark, os.path.join(held["deltas_of"], MARKS), held["number"])
+    commit = None if seen is None else commits.current(spark, seen["calls"], seen["number"])
+    first, last_end = _edges(rng.start, rng.end)
+    if first >= last_end or mark is None or commit is None or mark["calls"] != seen["calls"]:
+        return None, calls.where(rng.predicate() & scope)
+    days = {_day(first), _day(last_end - 1)}
+    inside = [f for f in commit["folders"] if min(days) <= f["date"] <= max(days)]
+    use, raw = _covered(inside, mark["deltas"])
+    lo, hi = (dt.datetime.fromtimestamp(t, W.UTC) for t in (first, last_end))
+    rest = calls.where((_edge_rows(calls, rng.start, False, lo, False) | _edge_rows(calls, hi, True, rng.end, True)) & scope)
+    if raw:
+        rows = commits.read(spark, seen["calls"], commit | {"folders": raw})
+        rest = rest.unionByName(rows.where(_edge_rows(rows, lo, True, hi, False) & scope).select(*rest.columns))
+    interior = _delta_rows(spark, held["deltas_of"], mark, use)
+    return interior.where((F.col("t0") >= F.lit(first)) & (F.col("t0") < F.lit(last_end)) & scope), rest
+
+
 def _edges(start: dt.datetime, end: dt.datetime) -> tuple[int, int]:
     """(first interior bucket, end of the last interior bucket), epochs."""
     first = (int(start.timestamp()) // GRAIN) * GRAIN + GRAIN
@@ -243,6 +389,9 @@ def _parts(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
     The rest is the two partial edge spans and whatever the rollup does not
     hold yet. A window shorter than two buckets is all raw.
     """
+    held = json.loads(rollup.schema["t0"].metadata.get("mark", "{}"))
+    if "deltas_of" in held:
+        return _delta_parts(calls, rollup, held, rng, scope)
     spans = _rolled(calls, rollup, *_edges(rng.start, rng.end))
     if not spans:
         return None, calls.where(rng.predicate() & scope)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relaywatch.functions import windows as W
 from relaywatch.schema import CALLS_SCHEMA, KEY_COLUMNS, conform, with_keys
+from relaywatch.sources import commits
 
 ALL = "all"
 
@@ -26,7 +27,13 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     sink has always written the key columns, so in its layout they are read as
     stored and a scope on them is pushed to the scan; a folder of plain files
     (no ``ts_date=`` partitions) may lack them and gets them computed.
+
+    A table with commits is read at its newest one: the folders that it lists,
+    whatever else lies beside them.
     """
+    commit = commits.current(spark, path)
+    if commit is not None:
+        return commits.read(spark, path, commit)
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ts_date=*")
     fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.globStatus(pattern):

@@ -1,14 +1,18 @@
 """The 300 s rollup kept by a stream over the calls table.
 
-Every micro-batch recomputes the dates it touches, and any other date whose
-files are not those last rolled up, from the calls table
+Over a table with commits (what the ingest writes) every micro-batch adds a delta
+with the rows of the commits the rollup does not hold yet, and reads nothing else
+(:func:`relaywatch.plans.rollup.add_deltas`); the files of the stream only say when.
+
+Over a table without commits every micro-batch recomputes the dates it touches, and
+any other date whose files are not those last rolled up, from the calls table
 (:func:`relaywatch.plans.rollup.refresh`). Nothing is added to what is stored,
 so a replayed batch or a new checkpoint counts no call twice, and a row is never
 too late: files that arrive out of order, in any number of triggers, only make
 their date one to recompute. Buckets align to the epoch exactly as the bucket
 floor X4 does.
 
-Buckets that end within ``watermark`` of the newest call are left out and the
+There, buckets that end within ``watermark`` of the newest call are left out and the
 mark stored beside the rollup says so; readers take them, and dates that have
 changed since, from the raw table.
 
@@ -24,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relaywatch.plans import rollup as R
 from relaywatch.schema import CALLS_SCHEMA
-from relaywatch.sources import sink
+from relaywatch.sources import commits, sink
 
 WATERMARK = "10 minutes"
 
@@ -62,6 +66,9 @@ def _keep(spark: SparkSession, table_path: str, path: str, checkpoint: str, name
         raise ValueError(f"{path} was written by a file sink; name a new rollup folder")
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        if commits.current(spark, table_path) is not None:
+            R.add_deltas(spark, table_path, path, attempts=name == "attempts_rollup")
+            return
         days = batch.select(F.to_date("ts").alias("d")).distinct().collect()
         R.refresh(spark, table_path, path, attempts=name == "attempts_rollup",
                   touched=[r["d"].isoformat() for r in days], lag=watermark)
