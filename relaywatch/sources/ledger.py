@@ -72,11 +72,12 @@ def take_in(spark: SparkSession, path: str, buckets: int = BUCKETS) -> dict | No
     new = [f for f in commit["folders"] if not commits.numbers(f) <= known]
     if not new:
         return mark
-    of = [F.lit(f["path"].split("=")[-1]) for f in new for _ in (0, 1)]
-    of[1::2] = [F.lit(f["of"][0][0] if len(commits.numbers(f)) == 1 else FOLDED).cast("long") for f in new]
-    ids = commits.read_folders(spark, path, new).select("id", commits.BATCH_COLUMN)
-    named = F.create_map(*of)[F.col(commits.BATCH_COLUMN)].alias("commit_no")
-    _add(spark, hashed(ids).select(*KEYS, named), path, mark)
+    # one row for each new folder: its commit number, FOLDED once it holds several
+    of = spark.createDataFrame([(f["date"], f["path"].split("=")[-1], f["of"][0][0] if len(commits.numbers(f)) == 1 else FOLDED)
+                                for f in new], f"ts_date string, {commits.BATCH_COLUMN} string, commit_no long")
+    of = of.withColumn("ts_date", F.col("ts_date").cast("date"))
+    ids = hashed(commits.read_folders(spark, path, new).select("id", "ts_date", commits.BATCH_COLUMN))
+    _add(spark, ids.join(F.broadcast(of), ["ts_date", commits.BATCH_COLUMN]).select(*KEYS, "commit_no"), path, mark)
     held = known | {n for f in new for n in commits.numbers(f)}
     mark = mark | {"number": mark["number"] + 1, "known": commits.ranges(held), "since": mark["since"] + 1}
     commits.publish(spark, _marks(path), mark, mark["number"])

@@ -95,6 +95,16 @@ def test_ledger_stores_narrow_rows_and_stored_ids_are_not_shuffled(spark, scratc
     assert ids(ledger.unknown(spark, some(spark, range(25, 35)), path, "b9")) == [str(k) for k in range(30, 35)]
 
 
+def test_ledger_of_a_batch_on_many_dates(spark, scratch):
+    path = f"{scratch}/calls"
+    rows = some(spark, "abc").unionByName(some(spark, "def", DAY + dt.timedelta(days=1)))
+    sink.append(spark, rows, path, "two days", order=["id"])
+    assert ids(ledger.unknown(spark, some(spark, "afgh"), path, "next")) == ["g", "h"]
+    commits.compact(spark, path, ["2024-01-10"])
+    sink.append(spark, some(spark, "aeg"), path, "next", order=["id"])
+    assert ids(read_calls(spark, path)) == list("abcdefg")
+
+
 def test_ledger_follows_many_batches_against_a_set(spark, scratch, monkeypatch):
     monkeypatch.setattr(ledger, "COMPACT_AFTER", 3)
     rng, path, stored = random.Random(5), f"{scratch}/calls", {}
