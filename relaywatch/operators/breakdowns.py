@@ -4,7 +4,7 @@ A9/A14 model stats, A16 project table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaywatch.functions import status as S
@@ -106,13 +106,19 @@ STAT_COLUMNS = ["calls", "spent_usd", "cost_per_call", "avg_latency_ms", "saved_
 
 
 def _with_share(df: DataFrame) -> DataFrame:
-    """Calls over the total of the result rows (at least 1).
+    """Calls over their total (at least 1), and that share over the largest.
 
-    The total is a one-row aggregate joined to the groups, so they stay spread.
+    Both come from windows over the aggregated groups, so the calls are read once. The
+    groups (one a provider or model) stand in one task there, as in the sort that follows.
     """
-    total = df.agg(F.sum("calls").alias("_total"))
-    return df.crossJoin(F.broadcast(total)).withColumn(
-        "share", F.col("calls").cast("double") / F.greatest("_total", F.lit(1)).cast("double")).drop("_total")
+    every = Window.partitionBy()
+    share = F.col("calls").cast("double") / F.greatest(F.sum("calls").over(every), F.lit(1)).cast("double")
+    return df.select("*", share.alias("share")).select("*", relative_share(F.max("share").over(every)).alias("rel_share"))
+
+
+def relative_share(largest: Column) -> Column:
+    """The share relative to the largest one."""
+    return F.col("share") / F.greatest(largest, F.lit(1e-9))
 
 
 def provider_stats(measures: DataFrame, sort: bool = True) -> DataFrame:
@@ -128,13 +134,13 @@ def provider_stats(measures: DataFrame, sort: bool = True) -> DataFrame:
     return out.orderBy(F.desc("calls"), "provider") if sort else out
 
 
-MODEL_COLUMNS = ["model", "calls", "share", "tokens", "spent_usd", "cost_per_call", "avg_latency_ms",
+MODEL_COLUMNS = ["model", "calls", "share", "rel_share", "tokens", "spent_usd", "cost_per_call", "avg_latency_ms",
                  "ttft_ms", "tokens_per_sec", "saved_usd", "cache_hit_rate", "modality", "seconds",
                  "outputs", "unit_cost", "unit_label"]
 
 
 def model_stats(measures: DataFrame) -> DataFrame:
-    """A9 + A14: per model key, with decode rate (G8), modality (G7) and
+    """A9 + A14: per model key, with X19, decode rate (G8), modality (G7) and
     per-unit cost (X11); by spend desc, then calls desc."""
     agg = P.aggregate(measures, F.col("model_key").alias("model"))
     f = P.finish()

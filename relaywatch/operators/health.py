@@ -8,13 +8,13 @@ attempt without ``ok`` is not a fail here (it is in the event log, X14).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaywatch.functions import status as S
 from relaywatch.functions import windows as W
 from relaywatch.functions.keys import attempt_provider
-from relaywatch.operators.breakdowns import provider_stats
+from relaywatch.operators.breakdowns import provider_stats, relative_share
 from relaywatch.operators.series import axis_array
 
 
@@ -139,13 +139,11 @@ def provider_table(measures: DataFrame, scoped_calls: DataFrame | None, rng: W.T
             "attempts": "CAST(0 AS BIGINT)", "fail_rate": "0D"}
     filled = j.select("provider", *[F.expr(f"coalesce({c}, {v}) AS {c}") for c, v in zero.items()],
                       F.expr("coalesce(buckets, CAST(array() AS ARRAY<STRING>)) AS buckets"))
-    # Share relative to the largest, over the aggregated rows only
-    largest = filled.agg(F.max("share").alias("_largest"))     # one row
-    filled = filled.crossJoin(F.broadcast(largest))
-    top = F.greatest(F.col("_largest"), F.lit(1e-9))
+    # X19 over the joined rows, one a provider
+    rel_share = relative_share(F.max("share").over(Window.partitionBy()))
     attempts, fail_rate = F.col("attempts"), F.col("fail_rate")
     return (filled.select(
-        *PROVIDER_TABLE_COLUMNS[:3], (F.col("share") / top).alias("rel_share"),
+        *PROVIDER_TABLE_COLUMNS[:3], rel_share.alias("rel_share"),
         *PROVIDER_TABLE_COLUMNS[4:11],
         S.reliability(attempts, fail_rate).alias("reliability"),
         S.reliability_tone(attempts, fail_rate).alias("reliability_tone"),

@@ -74,3 +74,12 @@ def test_health_sample_reads_attempts_only_for_the_sampled_span(spark, scratch):
     bounds = re.findall(r"ts_date#\d+ >= (\d{4}-\d\d-\d\d)", p)
     assert max(bounds) > "2024-01-20"          # pruned far inside the 30-day window
     assert sc.count() > H.recent_sample(sc, 200).count() == 200
+
+
+def test_shares_take_one_scan(spark, scratch):
+    calls = stored(spark, scratch)
+    sc, rng = window_scan(calls, "7d", AS_OF)
+    for out, scans in ((B.provider_stats(P.row_measures(sc)), 1), (B.model_stats(P.row_measures(sc)), 1),
+                       (H.provider_table(P.row_measures(sc), sc, rng), 2)):      # the calls, and their attempts
+        p = plan(out)
+        assert p.count("FileScan parquet") == scans and "NestedLoopJoin" not in p
