@@ -59,7 +59,7 @@ def fleet(measures: DataFrame, sort: bool = True) -> DataFrame:
 
 
 def project_table(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
-    """A16 with J2 and J3: fleet rows, whole-window status (X9), strip counts.
+    """A16 with J2 and J3: fleet rows, whole-window status (X9), strip counts (X17), tones.
 
     One pass over the measures instead of a fleet query, a timeline query and
     a join: a GROUPING SETS aggregate produces the (project, provider) mix and
@@ -97,7 +97,9 @@ def project_table(measures: DataFrame, rng: W.TimeRange) -> DataFrame:
     return (base.select(*FLEET_COLUMNS[:-2], F.coalesce(F.col("top_provider"), F.lit("—")).alias("top_provider"),
                         top_pct.alias("top_provider_pct"), whole.alias("status"),
                         down.alias("down_buckets"), warn.alias("warn_buckets"), "buckets")
-            .withColumn("strip_summary", S.strip_summary(F.col("down_buckets"), F.col("warn_buckets")))
+            .select("*", S.strip_summary(F.col("down_buckets"), F.col("warn_buckets")).alias("strip_summary"),
+                    S.failover_flag(F.col("failover_rate")).alias("failover_tone"),
+                    S.leaked_flag(F.col("failures")).alias("leaked_tone"), S.save_flag(F.col("save_pct")).alias("save_tone"))
             .orderBy(F.desc("calls"), "project"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaywatch.functions import status as S
+from relaywatch.functions.keys import route_label
 
 # Rows where the provider's bill differs from the predicted price.
 DRIFT_EVIDENCE = "ok AND cost_usd > 0 AND est_cost_usd > 0 AND cost_usd <> est_cost_usd"
@@ -47,7 +48,7 @@ def price_drift_measures(measures: DataFrame, limit: int | None = None) -> DataF
 
 
 def _ranked(agg: DataFrame, limit: int | None) -> DataFrame:
-    """P9 threshold, X16 severity and O3 order over the per-group sums."""
+    """P9 threshold, X16 severity, X22 row key and O3 order over the per-group sums."""
     ratio = F.when(F.col("est_usd") > 0, F.col("cost_usd") / F.col("est_usd")).otherwise(F.lit(0.0))
     out = (agg.withColumn("ratio", ratio)
            .where(F.abs(F.col("ratio") - 1) > S.DRIFT_THRESHOLD)
@@ -55,4 +56,5 @@ def _ranked(agg: DataFrame, limit: int | None) -> DataFrame:
            .orderBy(F.abs(F.col("ratio") - 1).desc(), "model", "provider"))
     if limit is not None:
         out = out.limit(limit)
-    return out.select("model", "provider", "calls", "cost_usd", "est_usd", "ratio", "severity")
+    return out.select(route_label(F.col("model"), F.col("provider")).alias("route"),
+                      "model", "provider", "calls", "cost_usd", "est_usd", "ratio", "severity")

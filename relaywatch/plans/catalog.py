@@ -28,6 +28,7 @@ from relaywatch.operators import partials as P
 from relaywatch.operators import series as Se
 from relaywatch.plans import ingest as I
 from relaywatch.plans import oracle as O
+from relaywatch.plans import report as Rep
 from relaywatch.plans import rollup as R
 from relaywatch.session import checkpoint_dir
 from relaywatch.sources import commits, sink
@@ -245,6 +246,25 @@ def _ingest_against_stored(spark, sf_dir):
     return _kept(spark, "against-stored", make)
 
 
+OVERVIEW_PANELS = ["projects", "providers", "fleet", "metrics", "stat_row", "timeseries", "provider_stats", "provider_health",
+                   "provider_table", "model_stats", "price_drift", "project_table"]
+DRILLDOWN_PANELS = ["metrics", "timeseries", "provider_stats", "provider_health", "provider_table", "model_stats", "price_drift"]
+
+
+def _page(panel, spark, sf_dir, **scope):
+    """One panel of a page whose two staged aggregates every panel shares."""
+    def make(root):
+        calls, rng = fixture_calls(spark, sf_dir), W.current("7d", AS_OF)
+        cube = Rep.stage(spark, calls, "7d", AS_OF, root)
+        out = Rep.overview(spark, calls, "7d", AS_OF, cube=cube, **scope)[panel]
+        if panel == "provider_health":
+            return H.long_form(out, rng)
+        if panel == "provider_table":
+            return out.select(*H.PROVIDER_TABLE_COLUMNS)
+        return out.drop("buckets")
+    return _kept(spark, "page", make)
+
+
 def _project_domains(window, spark, sf_dir):
     sc, _ = _scan(spark, sf_dir, window)
     fleet = B.fleet(P.row_measures(sc)).select("project", "calls")
@@ -319,6 +339,10 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_deltas_provider_health_7d"] = partial(_delta_rollup, None, "7d")
     q["compacted_metrics_7d"] = partial(_compacted, "7d")
     q["ingest_against_stored"] = _ingest_against_stored
+    for panel in OVERVIEW_PANELS:
+        q[f"overview_{panel}_7d"] = partial(_page, panel)
+    for panel in DRILLDOWN_PANELS:
+        q[f"drilldown_{panel}_7d"] = partial(_page, panel, project=SCOPED_PROJECT, provider=SCOPED_PROVIDER)
     q["project_domains_7d"] = partial(_project_domains, "7d")
     q["provider_domains_7d"] = partial(_provider_domains, "7d")
     q["stat_flags_7d"] = partial(_stat_flags, "7d")
@@ -327,6 +351,10 @@ def spark_queries() -> dict[str, Query]:
     return q
 
 
+def _page_sql(panel: str, **scope) -> str:
+    return getattr(O, "metrics_change" if panel == "stat_row" else panel)("7d", **scope)
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     for w in WINDOWS:
@@ -373,6 +401,10 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_deltas_provider_health_7d"] = O.provider_health("7d", sample=None)
     o["compacted_metrics_7d"] = O.metrics("7d")
     o["ingest_against_stored"] = O.stored_calls()
+    for panel in OVERVIEW_PANELS:
+        o[f"overview_{panel}_7d"] = _page_sql(panel)
+    for panel in DRILLDOWN_PANELS:
+        o[f"drilldown_{panel}_7d"] = _page_sql(panel, project=SCOPED_PROJECT, provider=SCOPED_PROVIDER)
     o["project_domains_7d"] = O.project_domains("7d")
     o["provider_domains_7d"] = O.provider_domains("7d")
     o["stat_flags_7d"] = O.stat_flags("7d")

@@ -47,3 +47,44 @@ def test_stat_row_from_rollup_equals_raw(spark):
         raw = report.overview(spark, calls, "24h", as_of)["stat_row"]
         via = report.overview(spark, calls, "24h", as_of, rollup=rollup)["stat_row"]
         assert sorted(raw.collect()) == sorted(via.collect()), as_of
+
+
+def _same(a, b, panels):
+    for panel in panels:
+        order = lambda df: sorted(map(str, df.collect()))
+        assert order(a[panel]) == order(b[panel]), panel
+
+
+def test_panels_of_a_staged_page_equal_those_read_alone(spark, scratch):
+    calls = fixture_calls(spark, SF_SMALL)
+    cubes = [report.stage(spark, calls, "24h", AS_OF, f"{scratch}/raw"),
+             report.stage(spark, calls, "24h", AS_OF, f"{scratch}/rolled", R.build(calls), R.build_attempts(calls))]
+    for scope in ({}, {"project": "cobalt", "provider": "eastgate"}, {"provider": "summit"}):
+        alone = report.overview(spark, calls, "24h", AS_OF, **scope)
+        for cube in cubes:
+            page = report.overview(spark, calls, "24h", AS_OF, cube=cube, **scope)
+            assert set(page) == set(alone)
+            _same(page, alone, page)
+
+
+def test_a_staged_page_reads_the_calls_once_and_keeps_row_order(spark, scratch):
+    import re
+
+    calls = fixture_calls(spark, SF_SMALL)
+    page = report.overview(spark, calls, "7d", AS_OF, cube=report.stage(spark, calls, "7d", AS_OF, scratch))
+    for panel, df in page.items():
+        read = re.findall(r"InMemoryFileIndex[^\n]*?/(cells|attempts|events\.parquet)", df._jdf.queryExecution().executedPlan().toString())
+        assert panel == "failover_events" or set(read) <= {"cells", "attempts"}, panel
+    # Each panel's order, ties by name
+    key = {"projects": lambda r: (-r["n"], r["name"]), "providers": lambda r: (-r["n"], r["name"]),
+           "fleet": lambda r: (-r["calls"], r["project"]), "project_table": lambda r: (-r["calls"], r["project"]),
+           "project_timeline": lambda r: (-r["calls"], r["project"]), "timeseries": lambda r: r["t"],
+           "provider_stats": lambda r: (-r["calls"], r["provider"]), "provider_table": lambda r: (-r["calls"], r["provider"]),
+           "provider_health": lambda r: (-r["attempts"], r["provider"]),
+           "model_stats": lambda r: (-r["spent_usd"], -r["calls"], r["model"]),
+           "price_drift": lambda r: (-abs(r["ratio"] - 1), r["model"], r["provider"])}
+    for panel, by in key.items():
+        rows = page[panel].collect()
+        assert rows == sorted(rows, key=by) and rows, panel
+    events = [(r["ts"], r["id"]) for r in page["failover_events"].collect()]
+    assert events == sorted(events, reverse=True)
