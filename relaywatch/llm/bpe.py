@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaywatch.llm.common import ship
+from relaywatch.llm.common import ship, tidy
 
 # Fixed value: the byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -367,6 +367,7 @@ def shared(spark: SparkSession, path: str):
     return ship(spark).sparkContext.broadcast(load(path))
 
 
+@tidy
 def _encoded(batches: Iterator[pa.RecordBatch], automaton, names: list[str], text_at: int) -> Iterator[pa.RecordBatch]:
     a = automaton.value
     for batch in batches:
@@ -384,6 +385,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                                  text_at=df.columns.index(text)), f"{fields}, `{ids}` array<int>")
 
 
+@tidy
 def _decoded(batches, automaton, names, ids_at):
     a = automaton.value
     for batch in batches:
@@ -400,6 +402,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                                  ids_at=df.columns.index(ids)), f"{fields}, `{text}` string")
 
 
+@tidy
 def _digests(batches, automaton):
     a = automaton.value
     digits, label = a.digits, a.label

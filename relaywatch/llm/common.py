@@ -7,11 +7,13 @@ made per word and memory does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,23 @@ class Scratch:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A task function over batches that releases its memory at its end: a worker process lives on, idle or for other tasks."""
+    @wraps(task)
+    def run(batches, *args, **options):
+        yield from task(batches, *args, **options)
+        release_memory()
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

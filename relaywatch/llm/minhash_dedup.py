@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaywatch.llm import common as C
-from relaywatch.llm.common import Scratch
+from relaywatch.llm.common import Scratch, tidy
 from relaywatch.llm.components import connected_components
 
 COLLECTIONS = 20   # hash collections in each of the two groups
@@ -137,6 +137,7 @@ def _digest(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return digest
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in C.chunks(batch.column(1)):
@@ -155,6 +156,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, collections: int, r
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "near"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sets of (doc_id, text); with columns set_a and set_b, only of the texts whose set has that digest."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaywatch.llm.common import ship
+from relaywatch.llm.common import ship, tidy
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -150,6 +150,7 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -174,6 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+@tidy
 def _redact(batches: Iterator[pa.RecordBatch], at: int, mark: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t and redacted(t, mark) for t in batch.column(at).to_pylist()]

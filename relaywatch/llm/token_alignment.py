@@ -29,7 +29,6 @@ Texts of any length are read whole. Only ``doc_id`` and ``text`` are used.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -249,6 +248,7 @@ def _pair(files: tuple[str, bytes]) -> Pair:
     return _loaded[files]
 
 
+@C.tidy
 def _aligned(batches: Iterator[pa.RecordBatch], files, digest: bool) -> Iterator[pa.RecordBatch]:
     pair = _pair(files.value)
     store = Store(pair)
@@ -262,16 +262,6 @@ def _aligned(batches: Iterator[pa.RecordBatch], files, digest: bool) -> Iterator
             yield _rows(batch.column(0).slice(first, last - first), store, numbers, digest)
             if len(store) > STORED:
                 store = store.pruned()
-    del store
-    _release()
-
-
-def _release() -> None:
-    """Hand freed memory back to the system, where its allocator can: a worker process runs many tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
 
 
 def _whole(store: Store, numbers: list[int], text: str | None) -> list[int]:
@@ -336,6 +326,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = stop
 
 
+@C.tidy
 def _fast_counts(batches: Iterator[pa.RecordBatch], size: int, kind) -> Iterator[pa.RecordBatch]:
     total = np.zeros(size, np.int64)
     for batch in _runs(batches):
@@ -351,6 +342,7 @@ def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return keys, n
 
 
+@C.tidy
 def _odd_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in _runs(batches):
@@ -409,6 +401,7 @@ def _per_row(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+@C.tidy
 def _looked_up(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
     """(row, n_best, count_sum) over fast and heavy links."""
     kind, same, fast, best, heavy, heavy_n = vectors.value
@@ -422,6 +415,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.Record
             pa.array(_per_row(n_a, fast[a]) + _per_row(n_pairs, n))], names=["row", "n_best", "count_sum"])
 
 
+@C.tidy
 def _light_links(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
     """(row, pair, k): the links that are neither fast nor heavy, summed in each row."""
     heavy = vectors.value[-2]

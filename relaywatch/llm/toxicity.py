@@ -86,6 +86,7 @@ def _lean(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
     return np.log((toxic + PSEUDO * rate) / (toxic + clean + PSEUDO) / rate)
 
 
+@C.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of word and gram bins by label: (bin, toxic, clean)."""
     total = np.zeros((2, WORD_BINS + GRAM_BINS + 1), np.int64)
@@ -120,6 +121,7 @@ def _inputs(w: Words, leans: np.ndarray, gram_leans: np.ndarray) -> tuple[np.nda
     return np.stack([leans, top, mean, np.minimum(w.size, 16) / 16], axis=1).astype(np.float32), which
 
 
+@C.tidy
 def _sampled(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
     """Training windows: fixed inputs, word bins and gram bins of the picked windows."""
     total = counts.value
@@ -338,6 +340,7 @@ def _scores(w: Words, net: Network, leans: np.ndarray, gram_leans: np.ndarray) -
     return np.where(np.isfinite(worst), _sigmoid(worst + net.shift), 0.0).astype(float)
 
 
+@C.tidy
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     net, leans, gram_leans = model.value
     for batch in batches:
