@@ -84,6 +84,30 @@ def test_cells_lose_no_link(spark, monkeypatch):
     assert got == {i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.9).sum(axis=1))}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup_of_several_lengths_and_repeated_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 30)
+    rng = np.random.default_rng(6)
+    rows = []
+    for width, n in ((6, 160), (4, 120), (9, 2)):
+        x = np.repeat(rng.normal(size=(n // 2, width)), 2, axis=0) + rng.normal(size=(n, width)) * 0.15
+        rows += [v.astype(np.float32).tolist() for v in x]
+    rows += [rows[0]] * 9 + [rows[200]] * 5
+    ids = [i if i % 7 else i // 2 for i in range(len(rows))]      # some ids twice, with other vectors
+    df = spark.createDataFrame(list(zip(ids, rows)), f"vec_id long, embedding array<{kind}>")
+    got = collections.Counter(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df, block=16).collect())
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    hits = [[j for j in range(len(rows)) if j != i and len(rows[j]) == len(rows[i]) and unit[i] @ unit[j] >= 0.9]
+            for i in range(len(rows))]
+    part = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in hits[i]])
+    least = {}
+    for i, p in part.items():
+        least[p] = min(least.get(p, ids[i]), ids[i])
+    assert got == collections.Counter((ids[i], len(hits[i]), least[part[i]], ids[i] == least[part[i]]) for i in range(len(rows)))
+    pair = spark.createDataFrame([(2, [1.0, 0.0], "a"), (1, [1.0, 0.1], "b"), (3, None, "c")], f"vec_id long, embedding array<{kind}>, links string")
+    assert sorted(r["vec_id"] for r in embedding_dedup.one_per_group(pair).collect()) == [1, 3]
+
+
 def brute_secrets(text):
     spans = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
