@@ -5,9 +5,12 @@ too short. On top of them the text is lexed as source or configuration: each
 ``name = literal``, ``name: literal``, ``"name": literal``, ``name := literal``
 or ``name => literal`` becomes a name-literal pair; a value that is itself a
 name (or a sum of names and literals) is followed to the literals that were
-assigned to that name anywhere in the document. A literal is a secret when the
-name it reaches is sensitive and its score, from the name's weight and the
-literal's variety, is high enough. Placeholders never are.
+assigned to that name anywhere in the document. Each line of a triple-quoted
+literal, or of a block below ``name: |`` or ``name: >``, is a literal of its
+own. A literal is a secret when the name it reaches is sensitive and its score,
+from the name's weight and the literal's variety, is high enough. Placeholders
+never are. Names have any length, and every name is followed once a text, from
+the most sensitive targets on, so time grows with the text alone.
 
 Offsets are code points, ends exclusive. A null text is an empty text. Every
 row is judged by itself, so repeated rows and null ids give equal results.
@@ -43,9 +46,13 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|no
                          r"example.*|your[_-].*|placeholder|todo|redacted|password|secret|token)$")
 LEAST_SCORE = 0.6
 
-_TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_+/.=@$%^&*!~-]+)"""
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]{0,80})["'\]]{0,2}[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w\[\]]*[\x20\t]*(?==[^=])|)"""
+_LONG = r"""(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"""
+_TERM = "(?:" + _LONG + r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_+/.=@$%^&*!~-]+)"""
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["'\]]{0,2}[\x20\t]*+(?::[\x20\t]*[A-Za-z_][\w\[\]]*[\x20\t]*(?==[^=])|)"""
                    r"""(?::=|=>|=(?!=)|:(?!:))[\x20\t]*(""" + _TERM + r"""(?:[\x20\t]+\+[\x20\t]+""" + _TERM + r""")*)""")
+_BLOCK = re.compile(r"""^([\x20\t]*+)(?:-[\x20\t]+)?["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*:[\x20\t]*[|>][-+0-9]{0,2}[\x20\t]*\r?\n"""
+                    r"""((?:\1[\x20\t]+[^\n]*(?:\n|\Z)|[\x20\t]*\r?\n)*+)""", re.M)
+_LINES = re.compile(r"[^\n]+")
 _TERMS = re.compile(_TERM)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*$")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -70,6 +77,17 @@ def literal_weight(value: str, quoted: bool) -> float:
     return min(1.0, 0.4 + 0.15 * classes + 0.02 * min(len(value), 20))
 
 
+def _lines(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """The lines of a long literal, without the white space around them."""
+    terms = []
+    for m in _LINES.finditer(text, start, end):
+        line = m.group()
+        low = m.start() + len(line) - len(line.lstrip())
+        if line.strip():
+            terms.append((low, low + len(line.strip()), True))
+    return terms
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     """Name-literal pairs: (name, terms as (start, end, quoted)); quotes not included."""
     found = []
@@ -78,32 +96,40 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
         for t in _TERMS.finditer(text, m.start(2), m.end(2)):
             if t.group() == "+":
                 continue
+            if t.end() - t.start() >= 6 and t.group()[:3] in ('"' * 3, "'" * 3):
+                terms += _lines(text, t.start() + 3, t.end() - 3)
+                continue
             quoted = t.group()[0] in "\"'`"
             terms.append((t.start() + quoted, t.end() - quoted, quoted))
         found.append((m.group(1), terms))
+    if "|" in text or ">" in text:
+        found += [(m.group(2), _lines(text, m.start(3), m.end(3))) for m in _BLOCK.finditer(text)]
     return found
 
 
 def lexed_spans(text: str) -> set[tuple[int, str, int]]:
-    """(start, kind, end) of literals that reach a sensitive name."""
-    found = pairs(text)
-    if not any(name_weight(name) for name, _ in found):
+    """(start, kind, end) of literals that reach a sensitive name.
+
+    A literal assigned to a sensitive name itself is a ``literal``, one found by
+    following a name is a ``constant``. What a heavier target reaches needs no
+    second look for a lighter one: its literals were scored higher already.
+    """
+    found = [(name_weight(name), name, terms) for name, terms in pairs(text)]
+    targets = sorted((t for t in found if t[0]), key=lambda t: -t[0])
+    if not targets:
         return set()
     assigned: dict[str, list[tuple[int, int, bool]]] = {}
-    for name, terms in found:
+    for _, name, terms in found:
         assigned.setdefault(name.rsplit(".", 1)[-1], []).extend(terms)
-    spans = set()
-    for name, terms in found:
-        weight = name_weight(name)
-        if not weight:
-            continue
-        seen, todo = {name}, [(t, "literal") for t in terms]
+    spans, followed = set(), set()
+    for weight, _, terms in targets:
+        todo = [(t, "literal") for t in terms]
         while todo:
             (start, end, quoted), kind = todo.pop()
             value = text[start:end]
             if not quoted and _NAME.match(value) and (key := value.rsplit(".", 1)[-1]) in assigned:
-                if key not in seen:
-                    seen.add(key)
+                if key not in followed:
+                    followed.add(key)
                     todo.extend((t, "constant") for t in assigned[key])
             elif weight * literal_weight(value, quoted) >= LEAST_SCORE:
                 spans.add((start, kind, end))

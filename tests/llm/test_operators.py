@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 from functools import partial
 
 import numpy as np
@@ -118,6 +119,58 @@ def brute_secrets(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def reached(found, text):
+    """Spans of the method by plain search: every target by itself, over all assignments."""
+    spans = set()
+    for name, terms in found:
+        weight = secret_scan.name_weight(name)
+        level, seen = [(t, "literal") for t in terms] if weight else [], set()
+        while level:
+            following = []
+            for term, kind in level:
+                value = text[term[0]:term[1]]
+                key = value.split(".")[-1]
+                named = not term[2] and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", value) and any(n.split(".")[-1] == key for n, _ in found)
+                if named and key not in seen:
+                    seen.add(key)
+                    following += [(t, "constant") for n, ts in found if n.split(".")[-1] == key for t in ts]
+                elif not named and weight * secret_scan.literal_weight(value, term[2]) >= secret_scan.LEAST_SCORE:
+                    spans.add((term[0], kind, term[1]))
+            level = following
+    return spans
+
+
+def test_secrets_by_propagation_equal_a_plain_search():
+    rng = random.Random(8)
+    names = ["password", "db.token", "auth", "x", "y", "cfg.z", "w", "private_key", "note"]
+    values = ["'Zk29-ddPq!8', 'aa'", '"hunter2X9"', "Qq77wert1", "x", "y", "cfg.z", "z", "w", "password", "token", '"plain"', "changeme", "x + y",
+              "\"\"\"Ab12-Cd34\n  Ef56+Gh78 \"\"\""]
+    for _ in range(300):
+        text = "\n".join(f"{rng.choice(names)}{rng.choice([' = ', ': ', ' := ', ' => '])}{rng.choice(values)}" for _ in range(rng.randint(1, 14)))
+        assert secret_scan.lexed_spans(text) == reached(secret_scan.pairs(text), text), text
+
+
+def test_secrets_in_long_and_block_literals():
+    def texts(text):
+        return [text[a:b] for a, kind, b in secret_scan.find(text)[1] if kind in ("literal", "constant")]
+    assert texts("db_passphrase = \'\'\'\n  Ab12-Cd34\n\n  Ef56+Gh78\n\'\'\'\n") == ["Ab12-Cd34", "Ef56+Gh78"]
+    assert texts("a:\n  credential: |\n    Ab12-Cd34\n\n    Ef56+Gh78\n  other: Zz99-Yy88\n") == ["Ab12-Cd34", "Ef56+Gh78"]
+    assert texts("credential: >-\n  some words of prose 12\n") == []
+    assert texts("n" * 300 + "_credential = 'Ab12-Cd34'") == ["Ab12-Cd34"]
+    assert texts("credential = \'\'\'never closed Ab12") == []
+
+
+def test_secrets_of_a_long_chain_take_time_in_proportion():
+    n = 40_000
+    chain = "\n".join(f"token_{i} = token_{i + 1}" for i in range(n)) + f"\ntoken_{n} = 'Ab12-Cd34-Ef'\n"
+    assert len(chain) > 1_000_000
+    started = time.process_time()
+    spans = secret_scan.lexed_spans(chain)
+    assert time.process_time() - started < 8
+    at = chain.index("Ab12")
+    assert spans == {(at, "literal", at + 12), (at, "constant", at + 12)}
+
+
 def test_secret_scan(spark):
     rows = corpus() + [(8101, 'token=token:abcdefg "api_key" = "Zz9/+abc" é AKIA' + "A" * 16 + " " + "0f" * 12),
                        (8102, 'K = "s3cretValue99"\nconn.pwd = K\nother = "s3cretValue98"\n')]
