@@ -15,18 +15,24 @@ still holds: 1 below 4 shingles, 4 below 16, 8 from there on. The signature of a
 text in a partition is the set of minima of all its windows. An item and a
 document that share a run as long as the window share its minimum for certain.
 
-Candidates then are equal minima (a join on hash values), and every candidate is
-verified by exact containment over the full shingle sets. Only DataFrame
-functions are used. The items' signatures are broadcast when their number is
-below ``BROADCAST_ROWS``; larger ones are joined by shuffle.
-
-Repeated rows give the same pairs once; a null doc_id is carried. Other columns
-of both tables are ignored.
+Candidates then are equal minima (a join on hash values). An item whose shingles
+stand singly, far apart, may share no such run. So that none is lost, the windows
+of one shingle are looked up for all items: an item of n shingles of which t must
+be held is also a candidate wherever one of its n - t + 1 shingles stands that
+the fewest documents hold, since nobody can hold t of n without one of these.
+Every candidate is verified by exact containment over the full shingle sets. Only
+DataFrame functions are used. The items' signatures are broadcast when their
+number is below ``BROADCAST_ROWS``; larger ones are joined by shuffle.
+
+An item of fewer than five words is one shingle and equals only a text of the
+same words; inside a longer text so few words are no evidence. Repeated rows give
+the same pairs once; a null doc_id is carried. Other columns of both tables are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaywatch.llm.common import Scratch
@@ -62,6 +68,30 @@ def _signatures(df: DataFrame, keep: list[str], windows: list[int]) -> DataFrame
     return rows.select(*keep, "m.window", F.explode("m.hs").alias("h"))
 
 
+def _running(df: DataFrame, key: str, windows: list[int]) -> DataFrame:
+    """``key``, window, h of every window of a text, minima of wider ones made from two narrower ones.
+
+    Windows that reach over the end give the minimum of what is left: more candidates, none fewer.
+    """
+    df, widest = df.withColumn("m1", F.col("shingles")), 1
+    while widest < max(windows):
+        df = df.withColumn(f"m{2 * widest}", F.expr(
+            f"zip_with(m{widest}, slice(m{widest}, {widest + 1}, size(m{widest})), (a, b) -> least(a, b))"))
+        widest *= 2
+    minima = F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"m{w}").alias("hs")) for w in windows])
+    rows = df.select(key, F.explode(minima).alias("m"))
+    return rows.select(key, "m.window", F.explode("m.hs").alias("h"))
+
+
+def _rarest(items: DataFrame, hits: DataFrame, percent: int) -> DataFrame:
+    """(item_key, h): the n - t + 1 shingles of each item that the fewest documents hold."""
+    held = hits.filter("window = 1").groupBy("h").agg(F.count("*").alias("n_docs"))
+    each = items.select("item_key", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).join(held, "h", "left")
+    by = Window.partitionBy("item_key").orderBy(F.coalesce("n_docs", F.lit(0)), "h")
+    spare = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
+    return each.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= spare + 1).select("item_key", "h")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text_key: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every contaminated pair.
 
@@ -79,19 +109,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     index = _signatures(sized, ["item_key", "size_window"], [w for _, w in PARTITIONS]).filter(
         "window = size_window").select("item_key", "window", "h").distinct()
     index = scratch.write(index)
-    held = index.agg(F.count("*").alias("n"), F.collect_set("window").alias("windows")).first()
+    singles = items.select(F.lit(1).alias("window"), F.explode("shingles").alias("h"))
+    looked_up = scratch.write(index.select("window", "h").union(singles).distinct())
+    held = looked_up.agg(F.count("*").alias("n"), F.collect_set("window").alias("windows")).first()
     shape = "doc_id {}, item_id {}, n_shared long, n_item long, containment double, row_key long".format(
         docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     columns = ["doc_id", "item_id", "n_shared", "n_item", "containment", *["row_key"] * text_key]
     if not held["n"]:
         return scratch.keep(docs.sparkSession.createDataFrame([], shape).select(*columns))
     if held["n"] <= BROADCAST_ROWS:
-        index = F.broadcast(index)
+        looked_up = F.broadcast(looked_up)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     read = with_shingles(keyed.select("row_key", words(F.col("text")).alias("words")))
-    found = _signatures(read, ["row_key"], sorted(held["windows"])).join(index, ["window", "h"])
-    candidates = scratch.write(found.select("row_key", "item_key").distinct())
+    hits = scratch.write(_running(read, "row_key", sorted(held["windows"])).join(looked_up, ["window", "h"]).distinct())
+    candidates = scratch.write(hits.join(index, ["window", "h"]).select("row_key", "item_key").union(
+        hits.filter("window = 1").join(_rarest(items, hits, percent), "h").select("row_key", "item_key")).distinct())
 
     again = keyed.join(candidates.select("row_key").distinct(), "row_key")
     again = with_shingles(again.select("row_key", "doc_id", words(F.col("text")).alias("words")))
@@ -106,8 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
-    hit = contaminated(docs, benchmark, percent, text_key=True).select(F.col("row_key").alias("_hit")).distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_hit"), "left_anti").select(*docs.columns)
+    hit = contaminated(docs, benchmark, percent, text_key=True).select("row_key").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"))
+    return keyed.join(hit, "row_key", "left_anti").select("doc.*")
 
 
 ORACLE_SQL = """

@@ -355,6 +355,32 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
+def test_decontaminate_finds_scattered_items(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items, rows = [], []
+    for j in range(120):
+        words = rng.sample(vocabulary, rng.randint(8, 64))
+        items.append((j, " ".join(words)))
+        cut = [words[k:k + 5] for k in range(len(words) - 4)]
+        rng.shuffle(cut)
+        keep = cut[:rng.randint(len(cut) * 7 // 10, len(cut))]
+        text = " ".join(" ".join([*c, *rng.sample(["alpha", "beta", "gamma", "delta"], 3)]) for c in keep)
+        rows.append((j, text))
+    rows += [(500 + j, t) for j, t in rows[:20]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:4] for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    held = {i: shingles(t, 5, r"[\p{L}\p{N}]+") for i, t in items}
+    want = set()
+    for i, t in rows:
+        own = shingles(t, 5, r"[\p{L}\p{N}]+")
+        want |= {(i, j, len(s & own), len(s)) for j, s in held.items() if 100 * len(s & own) >= 80 * len(s)}
+    assert got == want and 60 < len(want) < 140
+    clash = frame(spark, rows).withColumnRenamed("key", "_hit").withColumnRenamed("part", "row_key")
+    kept = decontaminate.without_contaminated(clash, bench)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {w[0] for w in want}
+
+
 def test_license_scan(spark):
     rows = corpus() + [(1, "MIT License. See the Apache-License; GNU General Public\nLicense, version 3"), (2, "license mit license license"),
                        (3, "Permission is hereby granted, free of charge, to any person obtaining a copy"), (4, "mit\x80license mit éa license")]
