@@ -15,14 +15,18 @@ from relaywatch.functions import status as S
 from relaywatch.functions import windows as W
 from relaywatch.functions.keys import attempt_provider
 from relaywatch.operators.breakdowns import provider_stats, relative_share
+from relaywatch.operators.recency import newest
 from relaywatch.operators.series import axis_array
 
 
-def recent_sample(scoped_calls: DataFrame, sample_limit: int | None) -> DataFrame:
+def recent_sample(scoped_calls: DataFrame, sample_limit: int | None,
+                  measures: DataFrame | None = None) -> DataFrame:
     """The ``sample_limit`` most recent calls (ties by id), or all.
 
     A limit is for a caller that asks for a recency sample; the default is all.
-    It runs in two exact phases so the heavy ``attempts`` column is read only
+    With the window's ``measures`` the sampled span comes from their counts
+    (:mod:`relaywatch.operators.recency`), and nothing runs at build time.
+    Without, it runs in two exact phases so the heavy ``attempts`` column is read only
     for the sampled span, not for the whole window:
 
     1. a distributed top-k over ``(ts, id)`` alone finds the key of the k-th
@@ -36,6 +40,9 @@ def recent_sample(scoped_calls: DataFrame, sample_limit: int | None) -> DataFram
     rows = scoped_calls.select("ts", "id", "attempts")
     if sample_limit is None:
         return rows
+    if measures is not None:
+        return (newest(scoped_calls, measures, "calls", sample_limit).select("ts", "id", "attempts")
+                .orderBy(F.desc("ts"), F.desc("id")).limit(sample_limit))
     kth = (scoped_calls.select("ts", "id").orderBy(F.desc("ts"), F.desc("id")).limit(sample_limit)
            .agg(F.min(F.struct(F.unix_micros("ts").alias("us"), "id")).alias("k")).first()["k"])
     if kth is None:
@@ -51,9 +58,9 @@ def recent_sample(scoped_calls: DataFrame, sample_limit: int | None) -> DataFram
 
 
 def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
-                  sample_limit: int | None = None) -> DataFrame:
+                  sample_limit: int | None = None, measures: DataFrame | None = None) -> DataFrame:
     """(provider, t) -> attempts, fails over the exploded attempts."""
-    sample = recent_sample(scoped_calls, sample_limit)
+    sample = recent_sample(scoped_calls, sample_limit, measures)
     att = sample.select(W.bucket_floor(F.col("ts"), rng.bucket_seconds).alias("t"),
                         F.explode("attempts").alias("a"))
     return (att.groupBy(attempt_provider(F.col("a.provider")).alias("provider"), "t")
@@ -62,9 +69,10 @@ def attempt_cells(scoped_calls: DataFrame, rng: W.TimeRange,
 
 
 def provider_health(scoped_calls: DataFrame, rng: W.TimeRange,
-                    sample_limit: int | None = None, sort: bool = True) -> DataFrame:
+                    sample_limit: int | None = None, sort: bool = True,
+                    measures: DataFrame | None = None) -> DataFrame:
     """A11 (array form): provider, attempts, fail_rate, buckets; by attempts desc."""
-    return health_from_cells(attempt_cells(scoped_calls, rng, sample_limit), rng, sort)
+    return health_from_cells(attempt_cells(scoped_calls, rng, sample_limit, measures), rng, sort)
 
 
 def cells_from_attempt_measures(attempt_measures: DataFrame, rng: W.TimeRange) -> DataFrame:

@@ -26,6 +26,7 @@ from relaywatch.operators import health as H
 from relaywatch.operators import metrics as Mt
 from relaywatch.operators import partials as P
 from relaywatch.operators import series as Se
+from relaywatch.operators.recency import newest
 from relaywatch.plans import ingest as I
 from relaywatch.plans import oracle as O
 from relaywatch.plans import report as Rep
@@ -234,6 +235,19 @@ def _compacted(window, spark, sf_dir):
     return _kept(spark, "compacted", make)
 
 
+def _newest(panel, window, spark, sf_dir, **scope):
+    """O5 and O6 over a stored table, the span to scan found in the counts of its rollup."""
+    def make(root):
+        calls, rollup = store_committed(spark, sf_dir, root)
+        rng = W.current(window, AS_OF)
+        sc, m = scoped(calls, rng, **scope), R.measures(calls, rollup, rng, **scope)
+        if panel == "health":
+            return H.long_form(H.provider_health(sc, rng, HEALTH_PANEL_SAMPLE, sort=False, measures=m), rng)
+        out = E.failover_events(newest(sc, m, "failovers", E.EVENT_LIMIT)).select(*E.EVENT_COLUMNS, "served_by")
+        return out.withColumn("ts", out["ts"].cast("timestamp_ntz"))
+    return _kept(spark, "newest", make)
+
+
 def _ingest_against_stored(spark, sf_dir):
     """Half of the calls are stored when the whole feed, with resends and junk, arrives."""
     def make(root):
@@ -337,6 +351,10 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_deltas_metrics_7d"] = partial(_delta_rollup, Mt.metrics, "7d")
     q["rollup_deltas_model_stats_7d"] = partial(_delta_rollup, B.model_stats, "7d")
     q["rollup_deltas_provider_health_7d"] = partial(_delta_rollup, None, "7d")
+    for w in ("7d", "30d"):
+        q[f"newest_failover_events_{w}"] = partial(_newest, "events", w)
+    q["newest_failover_events_scoped_30d"] = partial(_newest, "events", "30d", project=SCOPED_PROJECT)
+    q["newest_provider_health_sample_30d"] = partial(_newest, "health", "30d")
     q["compacted_metrics_7d"] = partial(_compacted, "7d")
     q["ingest_against_stored"] = _ingest_against_stored
     for panel in OVERVIEW_PANELS:
@@ -399,6 +417,10 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_deltas_metrics_7d"] = O.metrics("7d")
     o["rollup_deltas_model_stats_7d"] = O.model_stats("7d")
     o["rollup_deltas_provider_health_7d"] = O.provider_health("7d", sample=None)
+    for w in ("7d", "30d"):
+        o[f"newest_failover_events_{w}"] = O.failover_events(w)
+    o["newest_failover_events_scoped_30d"] = O.failover_events("30d", project=SCOPED_PROJECT)
+    o["newest_provider_health_sample_30d"] = O.provider_health("30d", sample=HEALTH_PANEL_SAMPLE)
     o["compacted_metrics_7d"] = O.metrics("7d")
     o["ingest_against_stored"] = O.stored_calls()
     for panel in OVERVIEW_PANELS:

@@ -32,6 +32,7 @@ from relaywatch.operators import health as H
 from relaywatch.operators import metrics as Mt
 from relaywatch.operators import partials as P
 from relaywatch.operators import series as Se
+from relaywatch.operators.recency import newest
 from relaywatch.plans import rollup as R
 from relaywatch.sources.calls import ALL, scope_filter, scoped
 
@@ -116,7 +117,7 @@ def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datet
         before = _measures(calls, rollup, prev, proj, prov)
         changes = (Mt.metrics_change(calls, window, as_of, proj, prov) if rollup is None
                    else change_from_rollup(calls, rollup, cur, prev, proj, prov))
-        health = H.provider_health(rows, cur, sample_limit)
+        health = H.provider_health(rows, cur, sample_limit, measures=both if rollup is not None else None)
         table = H.provider_table(both, rows, cur, sample_limit)
         drift = D.price_drift(rows, drift_limit)
 
@@ -132,7 +133,8 @@ def overview(spark: SparkSession, calls: DataFrame, window: str, as_of: dt.datet
         "provider_health": health,
         "provider_table": table,
         "model_stats": B.model_stats(both),
-        "failover_events": E.failover_events(rows),
+        "failover_events": E.failover_events(
+            rows if rollup is None and cube is None else newest(rows, both, "failovers", E.EVENT_LIMIT)),
         "price_drift": drift,
     }
     out["stat_flags"] = Mt.stat_flags(out["metrics"])
