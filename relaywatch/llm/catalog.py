@@ -100,10 +100,10 @@ SELECT id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = parts.id) AS BIG
 """
 
 OP8_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id AS id, [x for x in regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM documents),
 s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 4 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+        ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS s FROM d),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 nodes AS (SELECT id FROM d),
 links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.s = y.s AND x.id <> y.id JOIN n nx ON nx.id = x.id
