@@ -223,6 +223,32 @@ def _delta_rollup(op, window, spark, sf_dir):
     return _kept(spark, "delta-rollup", make)
 
 
+def store_tiered(spark, sf_dir, root, attempts=False):
+    """(calls, rollup) of a table in two commits: all dates but the last two folded to tiers, the last day added after."""
+    calls = fixture_calls(spark, sf_dir)
+    table, path = os.path.join(root, "calls"), os.path.join(root, "rollup")
+    ahead = F.col("ts") >= F.lit(W.to_utc(AS_OF) - dt.timedelta(days=1))
+    commits.commit_batch(spark, calls.where(~ahead), table, "most")
+    R.add_deltas(spark, table, path, attempts)
+    R.merge_deltas(spark, path, sorted({f["date"] for f in commits.current(spark, table)["folders"]})[:-1])
+    commits.commit_batch(spark, calls.where(ahead), table, "ahead")
+    R.add_deltas(spark, table, path, attempts)
+    return read_calls(spark, table), R.read(spark, path)
+
+
+def _tiers(op, window, spark, sf_dir, as_of=AS_OF):
+    """Panels over the hour and day tiers of a stored rollup."""
+    def make(root):
+        calls, rollup = store_tiered(spark, sf_dir, root, attempts=op is None)
+        rng = W.current(window, as_of)
+        if op is None:
+            health = H.provider_health_measures(R.attempt_measures(calls, rollup, rng), rng, sort=False)
+            return H.long_form(health, rng)
+        m = R.measures(calls, rollup, rng)
+        return op(spark, m, rng) if op is Se.timeseries else op(m)
+    return _kept(spark, "tiers", make)
+
+
 def _compacted(window, spark, sf_dir):
     """A1 over a table of many small batches whose dates were compacted but for the last."""
     def make(root):
@@ -351,6 +377,11 @@ def spark_queries() -> dict[str, Query]:
     q["rollup_deltas_metrics_7d"] = partial(_delta_rollup, Mt.metrics, "7d")
     q["rollup_deltas_model_stats_7d"] = partial(_delta_rollup, B.model_stats, "7d")
     q["rollup_deltas_provider_health_7d"] = partial(_delta_rollup, None, "7d")
+    q["rollup_tiers_metrics_30d"] = partial(_tiers, Mt.metrics, "30d")
+    q["rollup_tiers_timeseries_30d"] = partial(_tiers, Se.timeseries, "30d")
+    q["rollup_tiers_timeseries_7d"] = partial(_tiers, Se.timeseries, "7d")
+    q["rollup_tiers_provider_health_30d"] = partial(_tiers, None, "30d")
+    q["rollup_tiers_model_stats_24h_unaligned"] = partial(_tiers, B.model_stats, "24h", as_of=UNALIGNED_AS_OF)
     for w in ("7d", "30d"):
         q[f"newest_failover_events_{w}"] = partial(_newest, "events", w)
     q["newest_failover_events_scoped_30d"] = partial(_newest, "events", "30d", project=SCOPED_PROJECT)
@@ -417,6 +448,11 @@ def oracle_sql() -> dict[str, str]:
     o["rollup_deltas_metrics_7d"] = O.metrics("7d")
     o["rollup_deltas_model_stats_7d"] = O.model_stats("7d")
     o["rollup_deltas_provider_health_7d"] = O.provider_health("7d", sample=None)
+    o["rollup_tiers_metrics_30d"] = O.metrics("30d")
+    o["rollup_tiers_timeseries_30d"] = O.timeseries("30d")
+    o["rollup_tiers_timeseries_7d"] = O.timeseries("7d")
+    o["rollup_tiers_provider_health_30d"] = O.provider_health("30d", sample=None)
+    o["rollup_tiers_model_stats_24h_unaligned"] = O.model_stats("24h", as_of=UNALIGNED_AS_OF)
     for w in ("7d", "30d"):
         o[f"newest_failover_events_{w}"] = O.failover_events(w)
     o["newest_failover_events_scoped_30d"] = O.failover_events("30d", project=SCOPED_PROJECT)

@@ -31,6 +31,12 @@ A reader takes the deltas that hold only rows its own snapshot of the calls show
 and reads raw just the folders that no such delta covers. A replayed commit is
 known already; a replaced or rewritten batch has a new number, which makes the deltas that
 held the old one void. :func:`merge_deltas` folds the deltas of a date into one.
+
+**Tiers.** A folded delta is kept at an hour and at a day as well. A window's whole buckets
+are covered exactly by the widest spans that fit (:func:`cover`): days, then hours at both
+ends, then 300 s buckets, then the raw edges. A width is used only where it divides the
+bucket width of the window, so a series finds each row in its own bucket. A 30-day read thus
+takes one row a day and key, however many calls or 300 s buckets the days hold.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +60,8 @@ from relaywatch.sources.calls import read_calls, scope_filter
 
 GRAIN = 300
 DAY = 86400
+TIERS = [3600, DAY]     # wider widths of folded deltas, each a multiple of the one before
+TIER_FOLDER = "_tiers"
 MARKS = "_complete"
 MARKS_KEPT = 8          # older marks stay a while for readers that just listed them
 GROUP = ["project", "provider_key", "model_key"]
@@ -244,6 +253,30 @@ def _covered(folders: list[dict], deltas: list[dict]) -> tuple[list[dict], list[
     return use, raw
 
 
+def cover(lo: int, hi: int, widths: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Spans by width that fill ``[lo, hi)`` once, each aligned to its width.
+
+    ``widths`` go from wide to narrow, each a multiple of the next; ``lo`` and ``hi`` are
+    multiples of the narrowest. Every width but the widest used has at most one span at each end.
+    """
+    if lo >= hi:
+        return {}
+    width, *narrower = widths
+    first, last_end = -(-lo // width) * width, hi // width * width
+    if first >= last_end:
+        return cover(lo, hi, narrower)
+    out = {width: [(first, last_end)]}
+    for end in (cover(lo, first, narrower), cover(last_end, hi, narrower)):
+        for w, spans in end.items():
+            out[w] = out.get(w, []) + spans
+    return out
+
+
+def _tier(path: str, width: int) -> str:
+    """The folder that holds a rollup's deltas at ``width``."""
+    return path if width == GRAIN else os.path.join(path, TIER_FOLDER, str(width))
+
+
 def _write_deltas(out: DataFrame, path: str, name: str) -> None:
     (out.withColumn("part", F.lit(name)).hint("rebalance", "ts_date").sortWithinPartitions("t0")
      .write.mode("append").partitionBy("ts_date", "part").parquet(path))
@@ -252,7 +285,8 @@ def _write_deltas(out: DataFrame, path: str, name: str) -> None:
 def _publish_deltas(spark: SparkSession, path: str, mark: dict, dropped: list[dict]) -> None:
     """The next mark; the folders of deltas dropped ``KEPT`` marks ago are deleted."""
     number = mark["number"] + 1
-    gone = mark["gone"] + [[d["path"], number] for d in dropped]
+    gone = mark["gone"] + [[os.path.join(_tier("", w), d["path"]), number]
+                           for d in dropped for w in (GRAIN, *d.get("tiers", []))]
     commits.publish(spark, os.path.join(path, MARKS), mark | {"number": number, "gone": [g for g in gone if g[1] > number - commits.KEPT]}, number)
     for name, since in gone:
         if since <= number - commits.KEPT:
@@ -291,31 +325,68 @@ def add_deltas(spark: SparkSession, table_path: str, path: str, attempts: bool =
 
 
 def merge_deltas(spark: SparkSession, path: str, dates: Iterable[str]) -> None:
-    """Fold the deltas of each of ``dates`` into one, so that closed dates are read from few files."""
+    """Fold the deltas of each of ``dates`` into one and keep it in every tier too.
+
+    For closed dates: a date that grows again has another delta beside the folded one,
+    read at 300 s, until it is folded anew. A date that is folded already is left alone.
+    """
     mark, wanted = read_mark(spark, path), set(dates)
     if mark is None or "deltas" not in mark:
         return
-    many = {d["date"] for d in mark["deltas"]} & wanted
-    many = {d for d in many if sum(x["date"] == d for x in mark["deltas"]) > 1}
-    old = [d for d in mark["deltas"] if d["date"] in many]
+    of = {day: [d for d in mark["deltas"] if d["date"] == day] for day in wanted}
+    days = sorted(day for day, held in of.items() if len(held) > 1 or any("tiers" not in d for d in held))
+    old = [d for day in days for d in of[day]]
     if not old:
         return
-    rows = _delta_rows(spark, path, mark, old)
-    keys = [c for c in rows.columns if c in ("t0", "ts_date", *GROUP, *ATTEMPT_GROUP)]
-    sums = P.sums() if "calls" in rows.columns else [F.sum(c).alias(c) for c in ATTEMPT_MEASURES]
-    out = _cast(rows.groupBy(*keys).agg(*sums), T.StructType.fromJson(mark["schema"]))
     name = uuid.uuid4().hex
-    _write_deltas(out, path, name)
-    new = [{"path": f"ts_date={d}/part={name}", "date": d, "of": commits.ranges({n for x in old if x["date"] == d for n in commits.numbers(x)})}
-           for d in sorted(many)]
+    new = [{"path": f"ts_date={day}/part={name}", "date": day, "tiers": TIERS,
+            "of": commits.ranges({n for d in of[day] for n in commits.numbers(d)})} for day in days]
+    _write_deltas(_folded(_delta_rows(spark, path, mark, old), mark, GRAIN), path, name)
+    for below, width in zip([GRAIN, *TIERS], TIERS):
+        _write_deltas(_folded(_delta_rows(spark, path, mark, new, below), mark, width), _tier(path, width), name)
     _publish_deltas(spark, path, mark | {"deltas": [d for d in mark["deltas"] if d not in old] + new}, old)
 
 
-def _delta_rows(spark: SparkSession, path: str, mark: dict, deltas: list[dict]) -> DataFrame:
+def _folded(rows: DataFrame, mark: dict, width: int) -> DataFrame:
+    """Rollup rows summed to buckets of ``width``, in the rollup's own types."""
+    keys = [c for c in rows.columns if c in ("t0", "ts_date", *GROUP, *ATTEMPT_GROUP)]
+    sums = P.sums() if "calls" in rows.columns else [F.sum(c).alias(c) for c in ATTEMPT_MEASURES]
+    wider = rows.withColumn("t0", F.col("t0") - F.pmod("t0", F.lit(width)))
+    return _cast(wider.groupBy(*keys).agg(*sums), T.StructType.fromJson(mark["schema"]))
+
+
+def _delta_rows(spark: SparkSession, path: str, mark: dict, deltas: list[dict], width: int = GRAIN) -> DataFrame:
     schema = T.StructType.fromJson(mark["schema"])
     if not deltas:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*[os.path.join(path, d["path"]) for d in deltas])
+    base = _tier(path, width)
+    return spark.read.schema(schema).option("basePath", base).parquet(*[os.path.join(base, d["path"]) for d in deltas])
+
+
+def _inside(spans: list[tuple[int, int]]) -> Column:
+    out = F.lit(False)
+    for lo, hi in spans:
+        out = out | ((F.col("t0") >= F.lit(lo)) & (F.col("t0") < F.lit(hi)))
+    return out
+
+
+def _spanned(spark: SparkSession, path: str, mark: dict, deltas: list[dict], first: int, last_end: int,
+             bucket_seconds: int) -> DataFrame:
+    """Rows of ``deltas`` for the buckets in ``[first, last_end)``.
+
+    Folded deltas give the widest tiers that fit the span and divide ``bucket_seconds``; the others
+    give 300 s rows. Deltas hold different calls, so each may be read at widths of its own.
+    """
+    single = [d for d in deltas if "tiers" not in d]
+    parts = [(GRAIN, single, [(first, last_end)])] if single else []
+    widths = [w for w in reversed(TIERS) if bucket_seconds % w == 0]
+    for width, spans in cover(first, last_end, [*widths, GRAIN]).items():
+        here = [d for d in deltas if "tiers" in d and any(_day(lo) <= d["date"] <= _day(hi - 1) for lo, hi in spans)]
+        parts += [(width, here, spans)] if here else []
+    if not parts:
+        return _delta_rows(spark, path, mark, [])
+    rows = [_delta_rows(spark, path, mark, held, width).where(_inside(spans)) for width, held, spans in parts]
+    return reduce(DataFrame.unionByName, [r.select(*rows[0].columns) for r in rows])
 
 
 def _read_deltas(spark: SparkSession, path: str, mark: dict) -> DataFrame:
@@ -345,8 +416,7 @@ def _delta_parts(calls: DataFrame, rollup: DataFrame, held: dict, rng: W.TimeRan
     if raw:
         rows = commits.read(spark, seen["calls"], commit | {"folders": raw})
         rest = rest.unionByName(rows.where(_edge_rows(rows, lo, True, hi, False) & scope).select(*rest.columns))
-    interior = _delta_rows(spark, held["deltas_of"], mark, use)
-    return interior.where((F.col("t0") >= F.lit(first)) & (F.col("t0") < F.lit(last_end)) & scope), rest
+    return _spanned(spark, held["deltas_of"], mark, use, first, last_end, rng.bucket_seconds).where(scope), rest
 
 
 def _edges(start: dt.datetime, end: dt.datetime) -> tuple[int, int]:
@@ -396,12 +466,9 @@ def _parts(calls: DataFrame, rollup: DataFrame, rng: W.TimeRange,
     if not spans:
         return None, calls.where(rng.predicate() & scope)
     bounds = [(dt.datetime.fromtimestamp(lo, W.UTC), dt.datetime.fromtimestamp(hi, W.UTC)) for lo, hi in spans]
-    inside = F.lit(False)
-    for lo, hi in spans:
-        inside = inside | ((F.col("t0") >= F.lit(lo)) & (F.col("t0") < F.lit(hi)))
     interior = rollup.where(
         (F.col("ts_date") >= F.lit(bounds[0][0].date())) & (F.col("ts_date") <= F.lit(bounds[-1][1].date()))
-        & inside & scope)
+        & _inside(spans) & scope)
     rest = _edge_rows(calls, rng.start, False, bounds[0][0], False)
     for (_, lo), (hi, _) in zip(bounds, bounds[1:]):
         rest = rest | _edge_rows(calls, lo, True, hi, False)

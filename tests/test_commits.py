@@ -206,3 +206,60 @@ def test_streamed_deltas_serve_the_current_date(spark, scratch):
         assert Mt.metrics(R.measures(calls, rollup, rng)).first() == Mt.metrics(P.row_measures(sc)).first()
     SR.start(spark, path, rolled, f"{scratch}/other").awaitTermination()        # a lost checkpoint adds nothing
     assert R.read(spark, rolled).agg(F.sum("calls")).first()[0] == every.count()
+
+
+def test_a_span_is_covered_once_by_the_widest_aligned_spans():
+    rnd = random.Random(5)
+    for _ in range(300):
+        lo = rnd.randrange(-50, 900) * 300
+        hi = lo + rnd.randrange(0, 900) * 300
+        got = R.cover(lo, hi, [*reversed(R.TIERS), R.GRAIN])
+        assert all(a % w == 0 and b % w == 0 and a < b for w, spans in got.items() for a, b in spans)
+        spans = sorted(s for x in got.values() for s in x)
+        assert [a for a, _ in spans] + [hi] == [lo] + [b for _, b in spans] if spans else lo == hi
+        assert all(len(x) <= 2 for x in got.values())
+        for w, wider in zip([R.GRAIN, *R.TIERS], R.TIERS):                       # no span could have been wider
+            assert all(-(-a // wider) >= b // wider for a, b in got.get(w, []))
+
+
+def test_tiers_answer_like_the_raw_table_and_read_a_row_a_day(spark, scratch):
+    every = fixture_calls(spark, SF_SMALL).where("ts_date >= '2024-01-22'").cache()
+    path, rolled, tried = (f"{scratch}/{n}" for n in ("calls", "rollup", "attempts"))
+    odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+
+    def bring(batch, rows, fold):
+        commits.commit_batch(spark, rows, path, batch)
+        for to, a in ((rolled, False), (tried, True)):
+            R.add_deltas(spark, path, to, a)
+            R.merge_deltas(spark, to, fold)
+
+    def check():
+        calls, rollup, attempts = read_calls(spark, path), R.read(spark, rolled), R.read(spark, tried)
+        for as_of, w in ((AS_OF, "30d"), ("2024-01-29 17:03:27", "7d"), ("2024-01-29 17:03:27", "24h")):
+            rng, wanted = raw_panels(calls, w, as_of)
+            assert panels(calls, rollup, attempts, rng) == wanted, (as_of, w)
+
+    last = every.agg(F.max("ts_date")).first()[0].isoformat()
+    dates = sorted(r[0].isoformat() for r in every.select("ts_date").distinct().collect())
+    bring("most", every.where(odd | (F.col("ts_date") < dates[-4])), [d for d in dates if d < last])
+    check()
+    mark = R.read_mark(spark, rolled)
+    assert {d["date"] for d in mark["deltas"] if "tiers" in d} == set(dates) - {last}
+    inside = [d for d in mark["deltas"] if "2024-01-23" <= d["date"] <= "2024-01-25"]
+    lo = int(utc(2024, 1, 23).timestamp())
+    fine = R._delta_rows(spark, rolled, mark, inside)
+    day = R._spanned(spark, rolled, mark, mark["deltas"], lo, lo + 3 * R.DAY, R.DAY)
+    assert day.count() == fine.select("ts_date", *R.GROUP).distinct().count() < fine.count()
+    assert day.agg(F.sum("calls")).first() == fine.agg(F.sum("calls")).first()
+    hour = R._spanned(spark, rolled, mark, mark["deltas"], lo, lo + 3 * R.DAY, 21600)
+    assert hour.count() == fine.select((F.col("t0") / 3600).cast("long"), *R.GROUP).distinct().count()
+    bring("rest", every.where(~odd & (F.col("ts_date") >= dates[-4])), [])       # folded dates with another delta beside
+    check()
+    bring("rest", every.where(~odd & (F.col("ts_date") >= dates[-4]) & (F.col("project") != "alpha")), dates)
+    assert all("tiers" in d for d in R.read_mark(spark, rolled)["deltas"])
+    check()
+    number = R.read_mark(spark, rolled)["number"]
+    R.merge_deltas(spark, rolled, dates)                                         # nothing to fold
+    assert R.read_mark(spark, rolled)["number"] == number
+    bring("rest", every.where(~odd & (F.col("ts_date") >= dates[-4])), [])       # a replaced batch voids folded deltas
+    check()
