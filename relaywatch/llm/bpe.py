@@ -377,8 +377,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], automaton, names: list[str], tex
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=names)
 
 
+def _without(df: DataFrame, made: str, read: str) -> DataFrame:
+    """``df`` without columns named as the one to make, whatever their case."""
+    if made.lower() == read.lower():
+        raise ValueError(f"the column to make is the one to read: {made}")
+    return df.select(*[c for c in df.columns if c.lower() != made.lower()])
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with an array<int> column of token ids."""
+    """``df`` with an array<int> column of token ids; a column of that name is replaced."""
+    df = _without(df, ids, text)
     names = [*df.columns, ids]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(partial(_encoded, automaton=shared(df.sparkSession, path), names=names,
@@ -396,7 +404,8 @@ def _decoded(batches, automaton, names, ids_at):
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text that the token ids spell; null ids give null text."""
+    """``df`` with the text that the token ids spell; null ids give null text; a column of that name is replaced."""
+    df = _without(df, text, ids)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(partial(_decoded, automaton=shared(df.sparkSession, path), names=[*df.columns, text],
                                  ids_at=df.columns.index(ids)), f"{fields}, `{text}` string")

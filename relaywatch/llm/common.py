@@ -12,7 +12,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -48,8 +49,10 @@ class Scratch:
     """Tables written below ``spark.checkpoint.dir``, dropped when an operator ends.
 
     A written table cuts the lineage: a lost executor costs its running tasks
-    only. :meth:`keep` returns the operator's (small) result as a reliable
-    checkpoint, which Spark's own cleaner looks after.
+    only. A write that fails drops them too. :meth:`keep` returns the operator's (small)
+    result as a reliable checkpoint; Spark removes its files once nothing refers to it
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else the
+    owner of ``spark.checkpoint.dir`` does.
     """
 
     def __init__(self, spark: SparkSession):
@@ -60,13 +63,23 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        df.write.parquet(path)
+        with self.dropped_on_failure():
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        out = df.checkpoint()
-        self.drop()
-        return out
+        try:
+            return df.checkpoint()
+        finally:
+            self.drop()
+
+    @contextmanager
+    def dropped_on_failure(self) -> Iterator[None]:
+        try:
+            yield
+        except BaseException:
+            self.drop()
+            raise
 
     def drop(self) -> None:
         jvm, jsc = self.spark._jvm, self.spark._jsc
@@ -91,6 +104,14 @@ def tidy(task: Callable) -> Callable:
     return run
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, or the first longer one that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

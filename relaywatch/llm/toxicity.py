@@ -341,22 +341,23 @@ def _scores(w: Words, net: Network, leans: np.ndarray, gram_leans: np.ndarray) -
 
 
 @C.tidy
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, into: str) -> Iterator[pa.RecordBatch]:
     net, leans, gram_leans = model.value
     for batch in batches:
         for first, last, data, offsets in C.chunks(batch.column(1)):
             score = _scores(Words(data, offsets), net, leans, gram_leans)
             yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in batch.columns), pa.array(score)],
-                                             names=[*batch.schema.names, "score"])
+                                             names=[*batch.schema.names, into])
 
 
-def score(docs: DataFrame, model: tuple[Network, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` column, 0 to 1; a column of that name is replaced."""
+def score(docs: DataFrame, model: tuple[Network, np.ndarray], text: str = "text",
+          into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into`` of scores, 0 to 1; a column of that name is replaced."""
     net, counts = model
     rate = float(np.clip(counts[0, -1] / max(1.0, counts[:, -1].sum()), 0.001, 0.99))
     every = _lean(counts[0], counts[1], rate).astype(np.float32)
     shared = C.ship(docs.sparkSession).sparkContext.broadcast((net, every[:WORD_BINS], every[WORD_BINS:-1]))
-    others = [c for c in docs.columns if c not in (text, "score")]
+    others = [c for c in docs.columns if c != text and c.lower() != into.lower()]
     rows = docs.select(others[0] if others else F.lit(0).alias("_row"), text, *others[1:])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(partial(_score, model=shared), f"{kinds}, score double")
+    return rows.mapInArrow(partial(_score, model=shared, into=into), f"{kinds}, `{into}` double")

@@ -499,7 +499,7 @@ def test_bpe(spark):
         enc = ref.encode(text, add_special_tokens=False).ids
         assert ids == enc and own.decode(ids) == ref.decode(enc, skip_special_tokens=False)
     df = frame(spark, [(1, "hello world"), (2, None), (None, "")])
-    out = bpe.decode(bpe.encode(df, path), path)
+    out = bpe.decode(bpe.encode(df.selectExpr("*", "1 AS IDS", "'x' AS decoded"), path), path)    # names that clash
     assert [(r["text"], r["decoded"]) for r in out.collect()] == [("hello world", "hello world"), (None, ""), ("", "")]
     assert bpe.digests(df.limit(0), path).count() == 0
 
