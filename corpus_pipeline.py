@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaywatch.llm import bpe, catalog, decontaminate, minhash_dedup, secret_scan, toxicity
-from relaywatch.llm.common import Scratch, table
+from relaywatch.llm.common import Scratch, table, unused
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = F.coalesce(catalog.fold("doc_id", 4) == 2, F.lit(False))
     model = toxicity.fit(docs.filter(~held), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.filter(F.col("score") < catalog.TOXIC_FROM).select(*docs.columns)
+    column = unused("score", docs.columns)
+    scored = toxicity.score(docs, model, into=column)
+    return scored.filter(F.col(column) < catalog.TOXIC_FROM).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and reread."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
-    return scratch.keep(STAGES[-1][1](spark, docs, sf_dir))
+    with scratch.dropped_on_failure():
+        for _, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir))
